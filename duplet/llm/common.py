@@ -145,3 +145,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     discard(both)
     return labels
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of that many rows at most, so that a batch of very long texts fits a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def by_row(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duplet.llm import embedding_dedup, minhash, mixing, ogg_media, quality, sentencepiece_sampling, sharding, substring_dedup, toxicity
+from duplet.llm import embedding_dedup, html_extract, minhash, mixing, ogg_media, quality, sentencepiece_sampling, sharding, substring_dedup, toxicity
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -48,6 +48,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, index).select("doc_id", test.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     test = quality.held_out(F.col("doc_id"), 4, 2)
@@ -60,7 +64,7 @@ def op10_shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_ogg_media, op3_source_mixing, op4_minhash_dedup, op5_sentencepiece_sampling, op6_embedding_dedup, op7_toxicity, op9_quality_classifier, op10_shard_assignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_ogg_media, op3_source_mixing, op4_minhash_dedup, op5_sentencepiece_sampling, op6_embedding_dedup, op7_toxicity, op8_html_extraction, op9_quality_classifier, op10_shard_assignment)}
 
 _OP3 = r"""
 WITH sized AS (

@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duplet.llm import quality
+from duplet.llm import minhash, mixing, quality, sentencepiece_sampling, substring_dedup
 from duplet.llm.common import stored
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at the threshold or above; learns from labels outside the held-out fold."""
+    """Documents whose quality score is 0.7 or more. Learns from labelled rows outside the held-out fold; empty texts stay."""
     test = quality.held_out(F.col("doc_id"), 4, 2)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~test)
     return quality.keep(docs, model)
 
 
-STAGES = [("quality", keep_quality)]
-#: The stages after the first learn, sketch and sample; SQL does not express them.
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group linked by shingles of five words at 0.8 or more. Texts without words and rows without a doc_id stay."""
+    gone = minhash.near_duplicates(docs, percent=80, words_each=5).where("component_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the words that a repeated window of 35 words covers."""
+    return substring_dedup.remove(docs, length=35)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: sources weigh 5, 2 and 1 in turn and share 150 % of all words."""
+    return mixing.emit(mixing.mix(docs, (5.0, 2.0, 1.0), share=1.5, cap=2.0)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text. Copies that the mix made are alike."""
+    return sentencepiece_sampling.encode(docs, k=2)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeated_passages),
+    ("source mix", mix_sources),
+    ("segmentation", encode),
+]
+#: Stages learn, sketch and sample; SQL does not express them. tests/llm holds each against brute force.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,10 @@
 """The prose profile: the driver's tables as a tree of files, so that the detectors run on them.
 
 A document is a file with one unit: its path is source/number, its language is lang, a token is a lower-case run of letters and
-digits with numbers abstracted to NUM. There is no renaming of identifiers, and the vocabulary is the set of words. The
-benchmark table is a second source: the base snapshot has the documents, the head snapshot has both.
+digits with numbers abstracted to NUM. There is no renaming of identifiers, and the vocabulary is the set of words.
+
+Snapshots: "base" has the documents; for deltas, "old" has those that the table of labels knows, the older part of the corpus,
+and "head" has all documents and, as a second source, the benchmark's texts.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> DataFrame:
     """(path, path_parts, language, text, unit_ord, tokens, n_tokens). Dealt out evenly: small tables come as one split."""
     base = documents(spark, sf_dir)
-    both = base if snapshot == "base" else base.union(benchmark(spark, sf_dir))
+    if snapshot == "old":
+        base = base.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("unit_ord")), "unit_ord", "left_semi").select(*base.columns)
+    both = base.union(benchmark(spark, sf_dir)) if snapshot == "head" else base
     tokens = both.withColumn("path_parts", F.split("path", "/")).withColumn("tokens", prose_tokens(F.col("text")))
     return tokens.withColumn("n_tokens", F.size("tokens")).repartition("path")
 

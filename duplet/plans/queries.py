@@ -14,7 +14,9 @@ from duplet.plans import prose
 from duplet.sources.registry import EXTENSIONS
 
 #: Production parameters, those of the default configuration.
-SIMILARITY, NODES, OVERLAP, VOCABULARY, WORSENED, BLOCK = 0.85, 40, 0.55, 30, 0.05, 100
+SIMILARITY, NODES, OVERLAP, VOCABULARY, WORSENED = 0.85, 40, 0.55, 30, 0.05
+#: Tokens of a block. The default of 100 is for code, where each operator and node end counts; the passages that texts share have 16 to 60 words.
+BLOCK = 30
 NOISE = (("en", "the"), ("en", "of"), ("de", "der"), ("fr", "de"), ("es", "de"))
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +28,8 @@ _FILES = r"""
 docs AS (SELECT coalesce(source, 'none') || '/' || lpad(doc_id::VARCHAR, 8, '0') AS path, coalesce(lang, 'und') AS language, coalesce(text, '') AS text, doc_id AS unit_ord FROM documents),
 added AS (SELECT 'benchmark/' || lpad(item_id::VARCHAR, 8, '0') AS path, 'und' AS language, coalesce(text, '') AS text, item_id AS unit_ord FROM benchmark),
 base_files AS (SELECT *, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN 'NUM' ELSE x END) AS tokens FROM docs),
-head_files AS (SELECT * FROM base_files UNION ALL SELECT *, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN 'NUM' ELSE x END) AS tokens FROM added)
+head_files AS (SELECT * FROM base_files UNION ALL SELECT *, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN 'NUM' ELSE x END) AS tokens FROM added),
+old_files AS (SELECT * FROM base_files WHERE unit_ord IN (SELECT doc_id FROM labels))
 """
 _HASH = "substr(sha256(CASE WHEN len({0}) = 0 THEN '' ELSE array_to_string({0}, chr(31)) || chr(31) END), 1, 32)"
 
@@ -269,23 +272,23 @@ def _same_clones(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
     return clones.find_clones(prose.units(spark, sf_dir, at, NODES), 1.0)
 
 
-@query(f"WITH {_FILES}, {_units('base')}, {_units('head')}, {_same_pairs('base')}, {_same_pairs('head')} SELECT a_file, a_qualname, b_file, b_qualname, hash FROM head_clones h WHERE NOT EXISTS (SELECT 1 FROM base_clones b WHERE b.hash = h.hash)")
+@query(f"WITH {_FILES}, {_units('old')}, {_units('head')}, {_same_pairs('old')}, {_same_pairs('head')} SELECT a_file, a_qualname, b_file, b_qualname, hash FROM head_clones h WHERE NOT EXISTS (SELECT 1 FROM old_clones b WHERE b.hash = h.hash)")
 def delta_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact clone pairs that the benchmark texts add to the documents."""
-    found = delta.new_clones(_same_clones(spark, sf_dir, "head"), _same_clones(spark, sf_dir, "base"), 1.0)
+    """Exact clone pairs that are new since the labelled documents."""
+    found = delta.new_clones(_same_clones(spark, sf_dir, "head"), _same_clones(spark, sf_dir, "old"), 1.0)
     return found.select(F.col("a.file").alias("a_file"), F.col("a.qualname").alias("a_qualname"), F.col("b.file").alias("b_file"), F.col("b.qualname").alias("b_qualname"), F.col("a.hash").alias("hash"))
 
 
-_DELTA_BLOCKS = f"WITH {_FILES}, {_blocks('base')}, {_blocks('head')}, fresh AS (SELECT * FROM head_blocks h WHERE NOT EXISTS (SELECT 1 FROM base_blocks b WHERE b.hash = h.hash AND least(b.a_file, b.b_file) = least(h.a_file, h.b_file) AND greatest(b.a_file, b.b_file) = greatest(h.a_file, h.b_file)))"
+_DELTA_BLOCKS = f"WITH {_FILES}, {_blocks('old')}, {_blocks('head')}, fresh AS (SELECT * FROM head_blocks h WHERE NOT EXISTS (SELECT 1 FROM old_blocks b WHERE b.hash = h.hash AND least(b.a_file, b.b_file) = least(h.a_file, h.b_file) AND greatest(b.a_file, b.b_file) = greatest(h.a_file, h.b_file)))"
 
 
 def _new_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.new_blocks(blocks.find_blocks(prose.file_tokens(spark, sf_dir, "head"), BLOCK), blocks.find_blocks(prose.file_tokens(spark, sf_dir, "base"), BLOCK))
+    return delta.new_blocks(blocks.find_blocks(prose.file_tokens(spark, sf_dir, "head"), BLOCK), blocks.find_blocks(prose.file_tokens(spark, sf_dir, "old"), BLOCK))
 
 
 @query(_DELTA_BLOCKS + " SELECT * FROM fresh")
 def delta_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated runs that the benchmark texts add."""
+    """Repeated runs that are new since the labelled documents."""
     return _flat(_new_blocks(spark, sf_dir), ())
 
 
@@ -295,11 +298,11 @@ def delta_top_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(delta.truncate(blocks.in_order(_new_blocks(spark, sf_dir)), 10)[0], ())
 
 
-@query(f"WITH {_FILES}, {_vocab('base')}, {_vocab('head')} SELECT CASE WHEN b.a IS NULL THEN 'new' ELSE 'worsened' END AS change, h.a, h.b, h.overlap FROM head_vocab h LEFT JOIN base_vocab b ON b.a = h.a AND b.b = h.b WHERE b.a IS NULL OR h.overlap > b.overlap + {WORSENED}::DOUBLE")
+@query(f"WITH {_FILES}, {_vocab('old')}, {_vocab('head')} SELECT CASE WHEN b.a IS NULL THEN 'new' ELSE 'worsened' END AS change, h.a, h.b, h.overlap FROM head_vocab h LEFT JOIN old_vocab b ON b.a = h.a AND b.b = h.b WHERE b.a IS NULL OR h.overlap > b.overlap + {WORSENED}::DOUBLE")
 def delta_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary pairs that the benchmark texts add."""
+    """Vocabulary pairs that are new since the labelled documents."""
     pairs = lambda at: vocab.find_vocab_pairs(vocab.vocabulary(prose.identifiers(spark, sf_dir, at)), None, OVERLAP, VOCABULARY)
-    return delta.vocab_changes(pairs("head"), pairs("base"), WORSENED).select("change", "a", "b", "overlap")
+    return delta.vocab_changes(pairs("head"), pairs("old"), WORSENED).select("change", "a", "b", "overlap")
 
 
 @query(_DELTA_BLOCKS + """, sides AS (SELECT a_file AS file, a_start AS line, tokens, b_file AS other, b_start AS s, b_end AS e FROM fresh UNION ALL SELECT b_file, b_start, tokens, a_file, a_start, a_end FROM fresh)

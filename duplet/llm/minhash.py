@@ -115,13 +115,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 64)
     return stored(together.mapInArrow(run, "a long, b long"), "links")
 
 
+def _split(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """(band, rep, n, c) of the buckets whose members are in more than one component c so far."""
+    now = buckets.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    several = now.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("band")
+    return now.join(several, "band", "left_semi")
+
+
+def _may_link(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep): members of split buckets that could still link with one another.
+
+    Of a set's n shingles, those that no other of these sets has lie outside every intersection, and the union has n at
+    least; so with more than the rest of percent of n of them it links with none. This holds without a look at any pair, and
+    spares heavily edited copies, which share buckets with all others of their group, the comparison with each.
+    """
+    members = split.select("rep", "n").distinct()
+
+    def each(batches):
+        for b in batches:
+            sizes = [v.as_buffer().size // 8 for v in b.column(1)]
+            flat = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(1)]) if len(b) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(flat)], ["id", "item"])
+
+    items = sets.join(members, sets.id == members.rep, "left_semi").select("id", "items").mapInArrow(each, "id long, item long")
+    alone = items.groupBy("item").agg(F.count("*").alias("df"), F.min("id").alias("rep")).where("df = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    left = members.join(alone, "rep", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
+    return stored(left.select("rep"), "open")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
-    Equal sets count as one. Candidates share a band. To link a bucket of any size without all its pairs, rounds
-    compare its members with one leader and merge what is linked; after them every pair of a bucket whose members are still
-    in different components is compared, so a link can be missed only if it shares no band (for a similarity of 0.85 about 3e-7) or
-    if its ends are joined anyway. All comparisons are on full sets.
+    Equal sets count as one. Candidates share a band. To link a bucket of any size without all its pairs, a round
+    compares its members with one leader and merges what is linked; members whose shingles alone show that they link with none
+    go; another leader takes its turn; then every pair of a bucket whose members are still in different components is
+    compared. So a link can be missed only if it shares no band (for a similarity of 0.85 a chance of about 8e-7) or if
+    its ends are joined anyway. All comparisons are on full sets.
     Null, empty and blank texts: n_shingles 0, linked with nothing. Fewer words than a shingle: the sequence is the
     set. Rows with the same doc_id are one node; a null doc_id is linked with nothing and its component is null. No rows:
     no rows. Extra columns are left out.
@@ -138,15 +167,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) ->
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     links = _verified(buckets.where((F.col("leader") != F.col("rep")) & alike(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent)
     joined = components(links)
+    open_ones = _may_link(_split(buckets, joined), sets, percent)
     for last in (False, True):
-        now = buckets.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        split = now.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.max_by(F.struct("rep", "n", "c"), F.xxhash64("rep")).alias("lead")).where("least <> most").select("band", "lead")
+        now = _split(buckets.join(open_ones, "rep", "left_semi"), joined)
         if last:
-            x = now.join(split.select("band"), "band", "left_semi")
-            y = x.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = x.join(y, (x.band == y.band) & (x.rep < y.rep2) & (x.c != y.c2) & alike(x.n, y.n2)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            y = now.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+            pairs = now.join(y, (now.band == y.band) & (now.rep < y.rep2) & (now.c != y.c2) & alike(now.n, y.n2)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         else:
-            pairs = now.join(split, "band").where((F.col("c") != F.col("lead.c")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+            lead = now.groupBy("band").agg(F.max_by(F.struct("rep", "n", "c"), F.xxhash64("rep")).alias("lead"))
+            pairs = now.join(lead, "band").where((F.col("c") != F.col("lead.c")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
         links = links.union(_verified(pairs.distinct(), sets, percent))
         joined = components(links)
     names = one.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -61,10 +61,21 @@ def discover(options: WalkOptions, accept: Callable[[str], bool] = is_supported)
             if accept(top.name) and _fits(top, options):
                 found.setdefault(os.path.abspath(top), top.name)
             continue
-        _walk(top, top, [], options, accept, found, ())
+        above = [r for folder in reversed(Path(os.path.abspath(top)).parents) for r in _rules(folder)] if options.honor_ignore else []
+        _walk(top, top, above, options, accept, found, ())
     return sorted(found.items(), key=lambda x: PurePosixPath(x[1]).parts)
 
 
+def _rules(folder: Path) -> list[tuple]:
+    """(folder, pattern, takes back, folders only) for each line of the ignore files of a folder."""
+    out = []
+    for name in IGNORE_FILES:
+        if (folder / name).is_file():
+            lines = (folder / name).read_text(encoding="utf-8", errors="replace").splitlines()
+            out += [(folder, *p) for p in map(_pattern, lines) if p]
+    return out
+
+
 def _fits(path: Path, options: WalkOptions) -> bool:
     return options.max_bytes is None or path.stat().st_size <= options.max_bytes
 
@@ -78,10 +89,7 @@ def _walk(top: Path, folder: Path, rules: list, options: WalkOptions, accept, fo
     except OSError as e:
         raise WalkError(f"{folder}: {e.strerror}") from e
     if options.honor_ignore:
-        for name in IGNORE_FILES:
-            if (folder / name).is_file():
-                lines = (folder / name).read_text(encoding="utf-8", errors="replace").splitlines()
-                rules = rules + [(folder, *p) for p in map(_pattern, lines) if p]
+        rules = rules + _rules(Path(os.path.abspath(folder)))
     for e in entries:
         path = folder / e.name
         relative = path.relative_to(top).as_posix()
@@ -90,7 +98,7 @@ def _walk(top: Path, folder: Path, rules: list, options: WalkOptions, accept, fo
         directory = e.is_dir()
         dropped = False
         for base, pattern, back, folders in rules:
-            if (directory or not folders) and pattern.match(path.relative_to(base).as_posix()):
+            if (directory or not folders) and pattern.match(Path(os.path.abspath(path)).relative_to(base).as_posix()):
                 dropped = not back
         if dropped:
             continue

@@ -19,11 +19,11 @@ _NGRAM_BASE = 0xA0761D6478BD642F
 
 @dataclass(frozen=True)
 class Settings:
-    """per_class: labelled documents taken of each class at most, in an order by hash; all else covers all data."""
+    """per_class: labelled documents taken of each class at most, in an order by hash; all else covers all data. steps: of SGD, over as many passes as they fill, so that few examples train as long as many."""
 
     buckets: int = 1 << 16
     dims: int = 12
-    epochs: int = 4
+    steps: int = 12_000
     rate: float = 0.4
     per_class: int = 1500
     seed: int = 11
@@ -94,11 +94,11 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
     vectors = rng.uniform(-1 / s.dims, 1 / s.dims, (s.buckets, s.dims)).astype(np.float32)
     out, bias = np.zeros((2, s.dims), np.float32), np.zeros(2, np.float32)
     even = len(y) / (2 * np.bincount(y, minlength=2))
-    steps, total = 0, s.epochs * len(y)
-    for _ in range(s.epochs):
+    steps = 0
+    for _ in range(-(-s.steps // len(y))):
         for i in rng.permutation(len(y)):
             ids, share = docs[i]
-            rate = s.rate * (1 - steps / total)
+            rate = s.rate * max(0.0, 1 - steps / s.steps)
             steps += 1
             hidden = share @ vectors[ids] if len(ids) else np.zeros(s.dims, np.float32)
             z = out @ hidden + bias

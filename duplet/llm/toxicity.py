@@ -26,9 +26,9 @@ class Settings:
 
     per_class: int = 1500
     neighbours: int = 15
-    prefixes: tuple[int, ...] = (4, 5, 6)
+    prefixes: tuple[int, ...] = (4, 5, 6, 7, 8, 9)
     min_docs: int = 5
-    ratio: float = 5.0
+    ratio: float = 40.0
     min_chi: float = 15.0
     terms: int = 2048
     block: int = 128
@@ -107,8 +107,8 @@ class Index:
         return best, who
 
     def vote(self, cosines: np.ndarray, who: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, each weighing by the square of its cosine, with half a vote for the prior."""
-        w = cosines**2
+        """Share of label 1 among the neighbours, each weighing by the sixth power of its cosine, with half a vote for the prior."""
+        w = cosines**6
         return float((w @ self.labels[who] + 0.5 * self.prior) / (w.sum() + 0.5))
 
     def calibrated(self, vote: float) -> float:

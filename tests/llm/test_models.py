@@ -30,10 +30,10 @@ def corpus(n, seed):
 
 def test_quality_learns_and_holds_on_unseen_texts():
     train, test = corpus(300, 1), corpus(200, 2)
-    m = quality.fit([t for _, t, _, _ in train], [q for _, _, q, _ in train], quality.Settings(epochs=6))
+    m = quality.fit([t for _, t, _, _ in train], [q for _, _, q, _ in train], quality.Settings(steps=2400))
     s = m.scores(pa.array([t for _, t, _, _ in test]))
     assert np.mean((s >= 0.7) == np.array([q for _, _, q, _ in test])) > 0.97
-    again = quality.fit([t for _, t, _, _ in train], [q for _, _, q, _ in train], quality.Settings(epochs=6))
+    again = quality.fit([t for _, t, _, _ in train], [q for _, _, q, _ in train], quality.Settings(steps=2400))
     assert (again.weight == m.weight).all()
 
 

@@ -12,9 +12,9 @@ UNIT_REF = ("file", "qualname", "start_line", "end_line", "hash")
 
 
 def streams(units: DataFrame) -> DataFrame:
-    """Distinct token sequences: (hash, tokens, n_tokens, units, first): how many units have it and the first of them in file order."""
+    """Distinct token sequences: (hash, tokens, n_tokens, units, first, last): how many units have it, and the first and last of them in file order."""
     place = F.struct("path_parts", "start_line", "end_line", "unit_ord")
-    return units.groupBy("hash").agg(F.any_value("tokens").alias("tokens"), F.any_value("n_tokens").alias("n_tokens"), F.count("*").alias("units"), F.min(place).alias("first"))
+    return units.groupBy("hash").agg(F.any_value("tokens").alias("tokens"), F.any_value("n_tokens").alias("n_tokens"), F.count("*").alias("units"), F.min(place).alias("first"), F.max(place).alias("last"))
 
 
 def elements(sequences: DataFrame) -> DataFrame:
@@ -84,8 +84,10 @@ def find_clones(units: DataFrame, min_similarity: float = 0.85) -> DataFrame:
     else:
         near = sequences.select(F.col("hash").alias("hash_a")).join(sequences.select(F.col("hash").alias("hash_b")), F.col("hash_a") < F.col("hash_b"))
     way = near.union(near.select("hash_b", "hash_a"))
-    sides = [sequences.select(F.col("hash").alias(f"hash_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
-    scored = with_ratio(way.join(sides[0], "hash_a").join(sides[1], "hash_b").repartition("hash_b").sortWithinPartitions("hash_b"), min_similarity)
+    sides = [sequences.select(F.col("hash").alias(f"hash_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")) for s in "ab"]
+    # a direction counts only if some unit of a comes before some unit of b
+    both = way.join(sides[0], "hash_a").join(sides[1], "hash_b").where(F.col("first_a") < F.col("last_b")).drop("first_a", "last_a", "first_b", "last_b")
+    scored = with_ratio(both.repartition("hash_b").sortWithinPartitions("hash_b"), min_similarity)
     left = row.select(F.col("hash").alias("hash_a"), F.col("u").alias("a"))
     right = row.select(F.col("hash").alias("hash_b"), F.col("u").alias("b"))
     other = scored.join(left, "hash_a").join(right, "hash_b").where(F.col("a.order") < F.col("b.order")).select("similarity", "a", "b")

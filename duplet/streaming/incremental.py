@@ -1,6 +1,6 @@
 """New documents against what is known already, batch by batch with Structured Streaming.
 
-The reference has no streams; this is the keyed anti-join of a delta, kept up to date: each micro-batch is held against the
+This is the keyed anti-join of a delta, kept up to date: each micro-batch is held against the
 table of content hashes seen before, exact copies are written out with the first path that had the hash, and new hashes
 are appended. A batch that is repeated after a failure gives the same rows: its own earlier entries are known by batch id.
 """

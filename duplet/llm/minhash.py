@@ -123,11 +123,11 @@ def _split(buckets: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _may_link(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(rep): members of split buckets that could still link with one another.
+    """(rep, meets): members of split buckets that could still link with one another, and how many of their shingles some other of them has.
 
-    Of a set's n shingles, those that no other of these sets has lie outside every intersection, and the union has n at
-    least; so with more than the rest of percent of n of them it links with none. This holds without a look at any pair, and
-    spares heavily edited copies, which share buckets with all others of their group, the comparison with each.
+    Shingles that no other of these sets has lie outside every intersection, so an intersection has at most the lesser
+    `meets` of its two sets, and the union at least the sum of their sizes less that. Heavily edited copies, which share
+    buckets with all others of their group, are so told apart from them without a comparison of sets.
     """
     members = split.select("rep", "n").distinct()
 
@@ -139,8 +139,8 @@ def _may_link(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     items = sets.join(members, sets.id == members.rep, "left_semi").select("id", "items").mapInArrow(each, "id long, item long")
     alone = items.groupBy("item").agg(F.count("*").alias("df"), F.min("id").alias("rep")).where("df = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    left = members.join(alone, "rep", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
-    return stored(left.select("rep"), "open")
+    left = members.join(alone, "rep", "left").withColumn("meets", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("meets") >= percent * F.col("n"))
+    return stored(left.select("rep", "meets"), "open")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) -> DataFrame:
@@ -169,10 +169,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) ->
     joined = components(links)
     open_ones = _may_link(_split(buckets, joined), sets, percent)
     for last in (False, True):
-        now = _split(buckets.join(open_ones, "rep", "left_semi"), joined)
+        now = _split(buckets, joined).join(open_ones, "rep")
         if last:
-            y = now.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = now.join(y, (now.band == y.band) & (now.rep < y.rep2) & (now.c != y.c2) & alike(now.n, y.n2)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            y = now.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("meets").alias("meets2"))
+            most = F.least("meets", "meets2")
+            pairs = now.join(y, (now.band == y.band) & (now.rep < y.rep2) & (now.c != y.c2) & alike(now.n, y.n2) & (100 * most >= percent * (now.n + y.n2 - most))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         else:
             lead = now.groupBy("band").agg(F.max_by(F.struct("rep", "n", "c"), F.xxhash64("rep")).alias("lead"))
             pairs = now.join(lead, "band").where((F.col("c") != F.col("lead.c")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))

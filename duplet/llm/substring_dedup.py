@@ -90,7 +90,8 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
     """(doc_id, th, spans): for each document with repeated edges, the runs [first word, edges] of them; th is a hash of the text."""
     small_batches(docs.sparkSession)
     found = _occurrences(docs, length, k)
-    often = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # stored, so that the join with it has no aggregate in its stage and a hot minimizer's partition can be split
+    often = stored(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "often")
     places = stored(found.join(often, "seed"), "paths")
     compact = stored(places.groupBy("seed", "dig").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "edges")).alias("at")), "compact")
     branching = compact.groupBy("seed").agg(F.count("*").alias("ways")).where("ways > 1").select("seed")

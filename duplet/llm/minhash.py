@@ -122,6 +122,18 @@ def _split(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     return now.join(several, "band", "left_semi")
 
 
+def _shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, item) of each shingle of the members' sets."""
+
+    def each(batches):
+        for b in batches:
+            sizes = [v.as_buffer().size // 8 for v in b.column(1)]
+            flat = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(1)]) if len(b) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(flat)], ["rep", "item"])
+
+    return sets.join(members, sets.id == members.rep, "left_semi").select("id", "items").mapInArrow(each, "rep long, item long")
+
+
 def _may_link(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(rep, meets): members of split buckets that could still link with one another, and how many of their shingles some other of them has.
 
@@ -130,26 +142,39 @@ def _may_link(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     buckets with all others of their group, are so told apart from them without a comparison of sets.
     """
     members = split.select("rep", "n").distinct()
-
-    def each(batches):
-        for b in batches:
-            sizes = [v.as_buffer().size // 8 for v in b.column(1)]
-            flat = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(1)]) if len(b) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(flat)], ["id", "item"])
-
-    items = sets.join(members, sets.id == members.rep, "left_semi").select("id", "items").mapInArrow(each, "id long, item long")
-    alone = items.groupBy("item").agg(F.count("*").alias("df"), F.min("id").alias("rep")).where("df = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    items = _shingles(members, sets)
+    alone = items.groupBy("item").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     left = members.join(alone, "rep", "left").withColumn("meets", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("meets") >= percent * F.col("n"))
     return stored(left.select("rep", "meets"), "open")
 
 
+def _meeting(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, n, c) in different components c that can link, a superset of those that do.
+
+    Shingles are put in one order for all sets, rarest first. Sets that link have their first common shingle among the
+    first n - ceil(percent * n / 100) + 1 of either, and no more in common than what follows it in the shorter rest.
+    """
+    items = _shingles(apart, sets)
+    common = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    rare = items.join(common, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("rare"))
+    first = apart.join(rare, "rep").withColumn("alone", (F.col("n") - F.size("rare")).cast("int"))
+    room = F.floor((100 - percent) * F.col("n") / 100).cast("int") + 1 - F.col("alone")
+    first = first.where(room > 0).select("rep", "n", "c", "alone", F.posexplode(F.slice("rare", F.lit(1), room)))
+    first = stored(first.select("rep", "n", "c", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), F.col("col.item").alias("item")), "prefixes")
+    several = first.groupBy("item").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("item")
+    x = first.join(several, "item", "left_semi")
+    y = x.select("item", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("rest").alias("rest2"))
+    most = F.least("rest", "rest2")
+    return x.join(y, (x.item == y.item) & (x.rep < y.rep2) & (x.c != y.c2) & (100 * most >= percent * (x.n + y.n2 - most))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Equal sets count as one. Candidates share a band. To link a bucket of any size without all its pairs, a round
     compares its members with one leader and merges what is linked; members whose shingles alone show that they link with none
-    go; another leader takes its turn; then every pair of a bucket whose members are still in different components is
-    compared. So a link can be missed only if it shares no band (for a similarity of 0.85 a chance of about 8e-7) or if
+    go; another leader takes its turn; then members of buckets that still hold different components are compared with
+    all that they share one of their rarest shingles with, which leaves out no link. So a link can be missed only if it shares no band (for a similarity of 0.85 a chance of about 8e-7) or if
     its ends are joined anyway. All comparisons are on full sets.
     Null, empty and blank texts: n_shingles 0, linked with nothing. Fewer words than a shingle: the sequence is the
     set. Rows with the same doc_id are one node; a null doc_id is linked with nothing and its component is null. No rows:
@@ -171,9 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) ->
     for last in (False, True):
         now = _split(buckets, joined).join(open_ones, "rep")
         if last:
-            y = now.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("meets").alias("meets2"))
-            most = F.least("meets", "meets2")
-            pairs = now.join(y, (now.band == y.band) & (now.rep < y.rep2) & (now.c != y.c2) & alike(now.n, y.n2) & (100 * most >= percent * (now.n + y.n2 - most))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            pairs = _meeting(stored(now.select("rep", "n", "c").distinct(), "apart"), sets, percent)
         else:
             lead = now.groupBy("band").agg(F.max_by(F.struct("rep", "n", "c"), F.xxhash64("rep")).alias("lead"))
             pairs = now.join(lead, "band").where((F.col("c") != F.col("lead.c")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))

@@ -81,6 +81,23 @@ def test_nearest_equals_brute_force():
         assert who.tolist() == [j for j in want if all_[j] > 0] and np.allclose(c, all_[who])
 
 
+def test_toxicity_learns_insults_that_are_each_rare_or_quoted():
+    def texts(n, seed, quoted):
+        rng, out = random.Random(seed), []
+        names = ["".join(random.Random(j).choices("lmnopqrstuvwxyz", k=8)) for j in range(120)]
+        for i in range(n):
+            words = ["".join(rng.choices("abcdefghijk", k=2)) for _ in range(rng.randrange(40, 120))]
+            for _ in range(3 if i % 2 else int(rng.random() < quoted)):
+                words[rng.randrange(len(words))] = rng.choice(names)
+            out.append((i, " ".join(words), i % 2))
+        return out
+
+    for quoted, least in ((0.0, 0.9), (0.05, 0.8)):
+        s, evidence = toxicity.fit(texts(800, 1, quoted)).scores(pa.array([t for _, t, _ in texts(300, 2, quoted)]))
+        assert (s[1::2] >= 0.7).mean() > least and (s[::2] < 0.7).mean() > 0.9
+        assert all(evidence[1::2])
+
+
 def test_toxicity_edges(spark, edges, nothing):
     index = toxicity.fit([(i, t, y) for i, t, _, y in corpus(200, 6)])
     got = {r.doc_id: (r.score, r.predicted, r.evidence) for r in toxicity.score(edges, index).collect()}

@@ -1,8 +1,8 @@
 """Embedding near-dedup by sorted projection passes.
 
 Each pass draws random hyperplanes, orders a label's vectors lexicographically by the signs of their projections, and
-compares each vector with the `window` before it. The number of passes follows the size of the largest label, so that the
-chance to miss a pair at the threshold stays under `miss` at every size. Pairs verified in any pass are united. Within the
+compares each vector with the `window` before it. The number of passes follows each label's size and how crowded its vectors
+are, as measured on a sample, so that the chance to miss a pair at the threshold stays under `miss`. Equal vectors go as one. Pairs verified in any pass are united. Within the
 components that result, links are then counted over all members, so a vector's number of links doesn't depend on the window.
 """
 
@@ -22,6 +22,9 @@ BITS = 63
 #: Components up to this many members are compared whole in one task; larger ones go by balls around pivots.
 WHOLE = 512
 PIVOTS = 32
+#: Vectors of a label on which its crowding is measured, and passes that are under way at once.
+SAMPLE = 1024
+ROUND = 16
 #: Angles nearer than this to a bound are compared by cosine.
 MARGIN = 1e-7
 
@@ -49,17 +52,59 @@ def passes_for(largest: int, threshold: float, window: int, miss: float) -> int:
     return max(4, math.ceil(math.log(miss) / math.log(1 - min(near, 1 - 1e-9))))
 
 
-def _found(rows: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
-    """(a, b): for each window, links that join what its verified pairs join."""
+def passes_measured(x: np.ndarray, size: int, threshold: float, window: int, miss: float) -> int:
+    """Passes for a label of `size` vectors of which x is a sample: a vector needs the leading bits that leave half a window of
+    those it isn't linked with, as expected from its angles to the sample; the chance to miss is the mean over the sample."""
+    cosines = np.clip(x @ x.T, -1, 1)
+    each = np.where(cosines < threshold, 1 - np.arccos(cosines) / math.pi, 0.0)
+    share, bits = (each > 0).astype(float), np.zeros(len(x))
+    for _ in range(BITS):
+        crowded = share.mean(axis=1) * size > (window if size <= window else window / 2)
+        if not crowded.any():
+            break
+        bits += crowded
+        share *= each
+    apart = 1 - np.minimum((1 - math.acos(threshold) / math.pi) ** bits, 1 - 1e-9)
+    low, high = 0, 1
+    while (apart**high).mean() > miss:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if (apart**middle).mean() > miss else (low, middle)
+    return max(high, passes_for(size, threshold, window, miss))
+
+
+def _planned(rows: DataFrame, threshold: float, window: int, miss: float) -> DataFrame:
+    """(label, dims, passes)."""
+    sizes = rows.groupBy("label", "dims").agg(F.count("*").alias("size"))
+    u = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) / F.lit(1 << 30)
+    sampled = rows.join(F.broadcast(sizes), ["label", "dims"]).where(u * F.col("size") < SAMPLE).select("label", "dims", "size", "vec_id", "x")
+
+    def run(t: pa.Table):
+        n = passes_measured(_matrix(t.column("x")), t.column("size")[0].as_py(), threshold, window, miss)
+        yield pa.RecordBatch.from_arrays([t.column("label").combine_chunks()[:1], t.column("dims").combine_chunks()[:1], pa.array([n], pa.int32())], ["label", "dims", "passes"])
+
+    return stored(_grouped(sampled, ["label", "dims"], ["vec_id"], run, "label int, dims int, passes int"), "passes")
+
+
+def _alike(rows: DataFrame) -> DataFrame:
+    """rows with `first`, the least vec_id of those of its label with an equal vector."""
+    keyed = rows.withColumn("h", F.xxhash64("x")).withColumn("k", F.xxhash64(F.lit(1), "x"))
+    many = keyed.groupBy("label", "dims", "h", "k").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(many, ["label", "dims", "h", "k"], "left").select("vec_id", "label", "dims", "x", F.coalesce("first", "vec_id").alias("first"))
+
+
+def _found(rows: DataFrame, threshold: float, begin: int, end: int, window: int, seed: int) -> DataFrame:
+    """(a, b) of passes begin to end, as far as a row's label has them: for each window, links that join what its verified pairs join."""
 
     def project(batches):
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            sizes = batch.column(2).value_lengths().to_numpy()
+            sizes, passes = batch.column(2).value_lengths().to_numpy(), batch.column(3).to_numpy()
             for d in np.unique(sizes):
-                b = batch.filter(pa.array(sizes == d))
-                x = _matrix(b.column(2))
-                for p in range(passes):
+                for p in range(begin, min(end, int(passes[sizes == d].max()))):
+                    b = batch.filter(pa.array((sizes == d) & (passes > p)))
+                    x = _matrix(b.column(2))
                     key = (int(d), p)
                     if key not in planes:
                         planes[key] = np.random.default_rng((seed, p, int(d))).standard_normal((int(d), BITS))
@@ -196,8 +241,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 1
     """
     small_batches(vectors.sparkSession)
     rows = stored(usable(vectors).select("vec_id", F.col("label").cast("int").alias("label"), "x"), "vectors")
-    largest = rows.groupBy("label").count().agg(F.max("count").alias("n")).first().n or 1
-    joined = components(_found(rows, threshold, passes_for(largest, threshold, window, miss), window, seed))
+    rows = stored(_alike(rows.withColumn("dims", F.size("x"))), "firsts")
+    one = rows.where("vec_id = first").select("vec_id", "label", "dims", "x")
+    plan = _planned(one, threshold, window, miss)
+    most = plan.agg(F.max("passes").alias("n")).first().n or 0
+    one = one.join(F.broadcast(plan), ["label", "dims"]).select("vec_id", "label", "x", "passes")
+    links = rows.where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
+    for begin in range(0, most, ROUND):
+        links = links.union(stored(_found(one, threshold, begin, begin + ROUND, window, seed), "found"))
+    joined = components(links)
+    rows = rows.drop("first", "dims")
     # a node belongs to one component; its label keeps vectors of other labels that share an id apart
     members = rows.join(joined.withColumnsRenamed({"id": "vec_id"}), "vec_id").withColumn("dims", F.size("x"))
     sizes = stored(members.groupBy("component", "label", "dims").agg(F.count("*").alias("size")), "sizes")

@@ -148,3 +148,20 @@ def test_embedding_edges(spark):
 def test_passes_keep_the_chance_to_miss_at_any_size():
     few, many = (embedding_dedup.passes_for(n, 0.93, 128, 0.005) for n in (5_000, 10**9))
     assert 4 <= few < many
+
+
+def test_pairs_of_a_crowded_label_are_found(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    n, pairs = 3000, 200
+    x = np.sqrt(0.85) * np.eye(64)[0] + np.sqrt(0.15) * unit(rng.normal(size=(n, 64)))
+    x = unit(x)
+    apart = rng.normal(size=(pairs, 64))
+    apart = unit(apart - (apart * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    rows = np.vstack([x, 0.935 * x[:pairs] + np.sqrt(1 - 0.935**2) * apart, x[:5], x[:1], x[:1]])
+    frame = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame, 0.93).collect()}
+    want = brute_links(list(range(len(rows))), [0] * len(rows), rows, 0.93)
+    assert sum(got[i] == want[i] for i in want) >= 0.995 * len(want)
+    assert sum(want[i][0] > 0 for i in want) > 2 * pairs
+    assert embedding_dedup.passes_measured(x[:1000], 100_000, 0.93, 128, 0.005) > 10 * embedding_dedup.passes_for(100_000, 0.93, 128, 0.005)

@@ -122,6 +122,20 @@ def test_shards_are_even_and_copies_meet(spark, edges, nothing):
     assert sharding.assign(nothing, 4).count() == 0
 
 
+@pytest.mark.parametrize(("groups", "members", "pairs"), [(3, 70, 0), (9, 90, 0), (16, 50, 0), (2, 60, 600)])
+def test_groups_that_fit_a_shard_meet(spark, groups, members, pairs):
+    texts = [f"large {g:04}" for g in range(groups) for _ in range(members)] + [f"pairs {i:04}" for i in range(pairs) for _ in range(2)]
+    texts += [f"alone {i:04}" for i in range(2400 - len(texts))]
+    rows = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 24).collect()
+    load = check_shards(rows, 24)
+    mean = sum(load.values()) / 24
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(rows) == len(texts) and all(len(s) == 1 for s in where.values())
+    assert max(load.values()) < 1.05 * mean and min(load.values()) > 0.95 * mean
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no tables here")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):

@@ -10,7 +10,7 @@ from duplet.llm.common import stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.7 or more. Learns from labelled rows outside the held-out fold; empty texts stay."""
+    """Documents whose quality score is 0.7 or more. Learns from labelled rows outside the held-out fold. Null and empty texts score the bias alone, so all of them stay or all go, as it was fitted."""
     test = quality.held_out(F.col("doc_id"), 4, 2)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~test)
     return quality.keep(docs, model)

@@ -116,6 +116,11 @@ def test_blocks_decode_and_follow_open_tags():
     assert html_extract.blocks("") == [] and html_extract.blocks("<p>a < b &amp c <") and html_extract.blocks("<!-- open <p>x") == []
 
 
+def test_digits_are_counted_over_the_whole_block():
+    block = html_extract.blocks(f"<p>{'a' * 400}{'7' * 1200}</p>")[0]
+    assert html_extract._shape(block, 0, 1)[5] == pytest.approx(0.75)
+
+
 def test_gradients_are_those_of_the_loss():
     net = html_extract.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

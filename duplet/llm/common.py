@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes that one numpy step works on; documents longer than this go through alone.
 CHUNK_BYTES = 1 << 19
+#: Bytes that one Arrow batch brings to a worker; a longer row goes alone.
+BATCH_BYTES = 1 << 22
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,29 +40,33 @@ def crc32_text(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see; a default only where none is set, as in tests."""
+    """The folder that all machines see. Only a session on one machine, as in tests, may do without the setting: it gets a folder there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.gettempdir()}/duplet-checkpoints"
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/duplet-checkpoints"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage, survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/duplet/{name}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read again: cuts the lineage, survives a lost executor. The table goes with discard(), or else when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/duplet/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files of the finished job
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files of the finished job
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes what stored() wrote for df."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Removes what stored() wrote for each frame; none may be read again."""
+    for df in frames:
+        spark = df.sparkSession
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -147,9 +158,25 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return labels
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of that many rows at most, so that a batch of very long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: str | StructType, rows: int = 1000) -> DataFrame:
+    """df.mapInArrow(run, fields) with batches of that many rows and BATCH_BYTES at most, however long the texts. Workers give memory back when a task ends.
+
+    Frames are lazy, so the two settings of the session must hold until the caller acts: they are only ever lowered, and stay so.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+    def freed(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim is not None:
+            trim(0)
+
+    return df.mapInArrow(freed, fields)
 
 
 def by_row(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duplet.llm.common import components, small_batches, stored
+from duplet.llm.common import components, map_arrow, stored
 
 BITS = 63
 #: Components up to this many members are compared whole in one task; larger ones go by balls around pivots.
@@ -143,10 +143,10 @@ def _found(rows: DataFrame, threshold: float, begin: int, end: int, window: int,
             join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([join(a), join(z)], ["a", "b"])
 
-    keyed = rows.mapInArrow(project, "pass int, label int, dims int, key long, vec_id long, x array<double>")
+    keyed = map_arrow(rows, project, "pass int, label int, dims int, key long, vec_id long, x array<double>")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["pass", "label", "dims", "key", "vec_id"]
-    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return map_arrow(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order), compare, "a long, b long").where("a <> b").distinct()
 
 
 def _grouped(rows: DataFrame, keys: list[str], then: list[str], run, fields: str) -> DataFrame:
@@ -170,7 +170,7 @@ def _grouped(rows: DataFrame, keys: list[str], then: list[str], run, fields: str
             yield from run(pa.Table.from_batches(held).combine_chunks())
 
     together = rows.select(*keys, *[c for c in rows.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *then)
-    return together.mapInArrow(stream, fields)
+    return map_arrow(together, stream, fields)
 
 
 def _counts_whole(members: DataFrame, threshold: float) -> DataFrame:
@@ -239,7 +239,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 1
     links, component null, not kept. Vectors of different lengths are not compared. Rows that repeat whole count once;
     rows that share a vec_id are one node and share its links. No rows: no rows. Extra columns are left out.
     """
-    small_batches(vectors.sparkSession)
     rows = stored(usable(vectors).select("vec_id", F.col("label").cast("int").alias("label"), "x"), "vectors")
     rows = stored(_alike(rows.withColumn("dims", F.size("x"))), "firsts")
     one = rows.where("vec_id = first").select("vec_id", "label", "dims", "x")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duplet.llm.common import small_batches
+from duplet.llm.common import map_arrow
 
 # Element names of the HTML standard, by how they shape blocks.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -375,7 +375,6 @@ def extract(pages: DataFrame, net: Network | None = None, threshold: float = 0.5
     Null and empty pages, and pages without main text: an empty text. Repeated rows: each by itself. No rows: no rows.
     Extra columns are left out. The network is of fixed size and travels with the task.
     """
-    small_batches(pages.sparkSession, 500)
     kept = pages.sparkSession.sparkContext.broadcast(net or train())
 
     def run(batches):
@@ -386,4 +385,4 @@ def extract(pages: DataFrame, net: Network | None = None, threshold: float = 0.5
             texts = ["\n\n".join(x) for x in picked]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) for x in picked], pa.int32())], ["page_id", "url", "text", "n_chars", "blocks"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long, blocks int").withColumn("text", F.coalesce("text", F.lit("")))
+    return map_arrow(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long, blocks int").withColumn("text", F.coalesce("text", F.lit("")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duplet.llm.common import Words, by_row, components, discard, mix, run_hashes, signed, small_batches, stored, text_chunks
+from duplet.llm.common import Words, by_row, components, discard, map_arrow, mix, run_hashes, signed, stored, text_chunks
 
 _U = np.uint64
 BANDS, ROWS = 24, 5
@@ -62,6 +62,11 @@ def bands(s: np.ndarray) -> np.ndarray:
     return mix((mix(s.reshape(BANDS, ROWS)) * odd).sum(axis=1) + np.arange(BANDS, dtype=_U))
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    return np.array([mix(x).sum(dtype=_U) for x in sets], _U), np.array([mix(x ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U) for x in sets], _U)
+
+
 def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
     """(doc_id, n, d1, d2, bands) of every document; d1 and d2 are a digest of the set; bands is empty for an empty set."""
 
@@ -69,23 +74,28 @@ def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b.column(1)):
                 sets = shingle_sets(data, offsets, words_each)
-                d1 = np.array([mix(x).sum(dtype=_U) for x in sets], _U)
-                d2 = np.array([mix(x ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U) for x in sets], _U)
+                d1, d2 = _digests(sets)
                 bounds = np.cumsum([0, *(BANDS * (len(x) > 0) for x in sets)]).astype(np.int32)
                 every = [bands(sketch(x)) for x in sets if len(x)]
                 flat = signed(np.concatenate(every)) if every else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(signed(d1)), pa.array(signed(d2)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "n", "d1", "d2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+
 
+def _sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
+    """(id, items): the set of each of wanted (doc_id, names: its sets' id, d1 and d2), from a document that has it."""
 
-def _sets(docs: DataFrame, words_each: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([x.tobytes() for x in shingle_sets(data, offsets, words_each)], pa.binary())], ["id", "items"])
+                sets = shingle_sets(data, offsets, words_each)
+                found = [signed(d).tolist() for d in _digests(sets)]
+                have = [next((x["id"] for x in names if (x["d1"], x["d2"]) == d), None) for d, names in zip(zip(*found, strict=True), b.column(2)[lo:hi].to_pylist(), strict=True)]
+                at = [i for i, x in enumerate(have) if x is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([have[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, items binary")
+    return map_arrow(docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "names"), run, "id long, items binary").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 64) -> DataFrame:
@@ -112,7 +122,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 64)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return stored(together.mapInArrow(run, "a long, b long"), "links")
+    return stored(map_arrow(together, run, "a long, b long"), "links")
 
 
 def _split(buckets: DataFrame, joined: DataFrame) -> DataFrame:
@@ -131,7 +141,7 @@ def _shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
             flat = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(1)]) if len(b) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(flat)], ["rep", "item"])
 
-    return sets.join(members, sets.id == members.rep, "left_semi").select("id", "items").mapInArrow(each, "rep long, item long")
+    return map_arrow(sets.join(members, sets.id == members.rep, "left_semi").select("id", "items"), each, "rep long, item long")
 
 
 def _may_link(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,6 +178,20 @@ def _meeting(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (x.item == y.item) & (x.rep < y.rep2) & (x.c != y.c2) & (100 * most >= percent * (x.n + y.n2 - most))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
 
+def _apart(one: DataFrame, named: DataFrame) -> DataFrame:
+    """The sets one, each with a rep of its own: where a document stands for several sets, each gets a number outside the range of doc_id."""
+    span = named.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    number = F.monotonically_increasing_id()
+    if span.low > -(1 << 62):
+        number = F.lit(span.low - 1) - number
+    elif span.high < 1 << 62:
+        number = F.lit(span.high + 1) + number
+    else:
+        raise ValueError("doc_id leaves no numbers for documents with several texts")
+    shared = one.groupBy("rep").agg(F.count("*").alias("sets")).where("sets > 1").drop("sets").withColumn("shared", F.lit(True))
+    return stored(one.join(shared, "rep", "left").withColumn("rep", F.when(F.col("shared"), number).otherwise(F.col("rep"))).drop("shared"), "apart")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
@@ -177,20 +201,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) ->
     all that they share one of their rarest shingles with, which leaves out no link. So a link can be missed only if it shares no band (for a similarity of 0.85 a chance of about 8e-7) or if
     its ends are joined anyway. All comparisons are on full sets.
     Null, empty and blank texts: n_shingles 0, linked with nothing. Fewer words than a shingle: the sequence is the
-    set. Rows with the same doc_id are one node; a null doc_id is linked with nothing and its component is null. No rows:
+    set. Rows with the same doc_id are one node, with the sets of all their texts; n_shingles is each row's own; a null doc_id is linked with nothing and its component is null. No rows:
     no rows. Extra columns are left out.
     """
-    small_batches(docs.sparkSession)
     known = stored(_sketches(docs, words_each), "sketches")
-    one = known.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    one = stored(one, "sets")
+    named = known.where("n > 0 and doc_id is not null")
+    one = stored(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "sets")
+    several = stored(named.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n")).alias("x"), F.max(F.struct("d1", "d2", "n")).alias("y")).where("x <> y").select("doc_id"), "several")
+    torn = not several.isEmpty()
+    one = one.withColumn("doc_id", F.col("rep"))
+    if torn:
+        one = _apart(one, named)
     placed = one.select("rep", "n", F.explode("bands").alias("band"))
     full = placed.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
     buckets = stored(placed.join(full, "band").select("band", "rep", "n", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n")), "buckets")
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(wanted, "doc_id", "left_semi"), words_each).dropDuplicates(["id"]), "items")
+    wanted = one.join(buckets.select("rep").distinct(), "rep", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "d1", "d2")).alias("names"))
+    sets = stored(_sets(docs, wanted, words_each), "items")
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     links = _verified(buckets.where((F.col("leader") != F.col("rep")) & alike(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent)
+    if torn:  # one document with several sets ties them
+        of = named.join(several, "doc_id").join(one.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).select("doc_id", "rep").distinct()
+        ties = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+        links = links.union(stored(ties, "ties"))
     joined = components(links)
     open_ones = _may_link(_split(buckets, joined), sets, percent)
     for last in (False, True):
@@ -204,6 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_each: int = 3) ->
         joined = components(links)
     names = one.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = known.join(names, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("c"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("c"))).drop("c")
-    discard(sets)
+    if torn:  # names that are no doc_id: the smallest doc_id of the component instead
+        least = out.where("doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+        out = out.join(least, "c", "left").select("doc_id", "n_shingles", F.col("least").alias("c"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
+    discard(sets, buckets, open_ones)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from duplet.llm.common import map_arrow
+
 #: Fixed values of the container (RFC 3533).
 CAPTURE = b"OggS"
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -136,6 +138,8 @@ def read(data: bytes) -> list[Stream]:
                 parts, start, size = [], start + size, 0
         if n and lacing[-1] == 255:
             s.rest = [*parts, data[start : start + size]]
+        elif not n and flags & CONTINUED:  # a page without segments within a packet
+            s.rest = parts
         if granule != -1 and s.granules:
             s.granules[-1] = granule
         s.ended = bool(flags & LAST)
@@ -194,14 +198,17 @@ def features(payload: bytes, facts: dict) -> str:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text as an Ogg file; a null or empty text is one frame of spaces."""
+    """(doc_id, n_bytes, media): every whole text as an Ogg file; a null or empty text is one frame of spaces.
+
+    Any doc_id, null too, passes. Equal texts give equal files; repeated rows: each by itself. No rows: no rows. Extra columns are left out.
+    """
 
     def run(batches):
         for b in batches:
             raw = [(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in raw], pa.int64()), pa.array([write_samples(payload_of(t)) for t in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 def decode(media: DataFrame) -> DataFrame:
@@ -223,7 +230,7 @@ def decode(media: DataFrame) -> DataFrame:
                     to.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.binary()), pa.array(payloads, pa.binary()), pa.array(times, pa.list_(pa.float64())), pa.array(feats, pa.string()), pa.array(errors, pa.string())], ["doc_id", "n_bytes", "media", "payload", "times", "feature", "error"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, fields)
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, fields)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -244,4 +251,4 @@ def digest(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duplet.llm.common import Words, mix, powers, run_hashes, text_chunks
+from duplet.llm.common import Words, map_arrow, mix, powers, run_hashes, text_chunks
 
 _U = np.uint64
 #: Sizes of the character n-grams, as bytes of UTF-8 within a word.
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             x = m.scores(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x), pa.array((x >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -161,4 +161,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(kept.value.scores(b.column(column)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duplet.llm.common import Words, run_hashes, signed, small_batches, stored, text_chunks
+from duplet.llm.common import Words, map_arrow, run_hashes, signed, stored, text_chunks
 
 _SEED_BASE, _PATH_BASE, _EDGE_BASE = 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
 #: Bits of a position that ride below the hash in the sliding minimum.
@@ -79,7 +79,7 @@ def _occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
                 row = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].take(row), b.column(1)[lo:hi].take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(seed)), pa.array(signed(dig))], ["doc_id", "th", "start", "edges", "seed", "dig"])
 
-    return _key(docs).mapInArrow(run, "doc_id long, th int, start int, edges int, seed long, dig long")
+    return map_arrow(_key(docs), run, "doc_id long, th int, start int, edges int, seed long, dig long")
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -88,7 +88,6 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 def repeated_spans(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
     """(doc_id, th, spans): for each document with repeated edges, the runs [first word, edges] of them; th is a hash of the text."""
-    small_batches(docs.sparkSession)
     found = _occurrences(docs, length, k)
     # stored, so that the join with it has no aggregate in its stage and a hot minimizer's partition can be split
     often = stored(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "often")
@@ -123,7 +122,7 @@ def _edges(docs: DataFrame, need: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(e1)), pa.array(signed(e2)), pa.array(np.repeat(n, count)), b.column(0)[lo:hi].take(take), b.column(1)[lo:hi].take(take), pa.array(at.astype(np.int32))], ["e1", "e2", "n", "doc_id", "th", "at"])
 
     d = _key(docs)
-    return d.join(need, _same(d, need)).select(d.doc_id, d.th, "text", "parts").mapInArrow(run, "e1 long, e2 long, n long, doc_id long, th int, at int")
+    return map_arrow(d.join(need, _same(d, need)).select(d.doc_id, d.th, "text", "parts"), run, "e1 long, e2 long, n long, doc_id long, th int, at int")
 
 
 def _covered(spans: list | None, n: int, length: int) -> np.ndarray:
@@ -138,7 +137,7 @@ def _covered(spans: list | None, n: int, length: int) -> np.ndarray:
 def _apply(docs: DataFrame, length: int, k: int, run, fields, columns: list[str]) -> DataFrame:
     spans = repeated_spans(docs, length, k).withColumnsRenamed({"doc_id": "_id", "th": "_th", "spans": "_spans"})
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.hash(docs["text"]) == spans["_th"]), "left")
-    return joined.select(*columns, "_spans").mapInArrow(run, fields)
+    return map_arrow(joined.select(*columns, "_spans"), run, fields)
 
 
 def digest(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:

@@ -45,6 +45,19 @@ def test_any_changed_byte_is_seen():
         ogg_media.read(media + media)
 
 
+def test_a_page_without_segments_within_a_packet():
+    data = bytes(range(255)) * 2 + b"end"
+    head, *rest = ogg_media.pages(7, [(b"first", 0), (data, 3)], segments=2)
+
+    def numbered(page, n):
+        page = page[:18] + n.to_bytes(4, "little") + b"\0\0\0\0" + page[26:]
+        return page[:22] + ogg_media.page_crc(page).to_bytes(4, "little") + page[26:]
+
+    empty = ogg_media.HEADER.pack(b"OggS", 0, ogg_media.CONTINUED, -1, 7, 0, 0, 0)
+    (stream,) = ogg_media.read(head + rest[0] + numbered(empty, 2) + b"".join(numbered(p, 3 + i) for i, p in enumerate(rest[1:])))
+    assert stream.packets == [b"first", data]
+
+
 def test_media_columns(spark, edges, nothing):
     out = {r.doc_id: r for r in ogg_media.decode(ogg_media.encode(edges)).collect()}
     assert out[1].payload == b" " * 192 and out[8].payload.startswith(b"long long") and out[4].media == out[5].media and out[4].error is None

@@ -165,3 +165,12 @@ def test_pairs_of_a_crowded_label_are_found(spark):
     assert sum(got[i] == want[i] for i in want) >= 0.995 * len(want)
     assert sum(want[i][0] > 0 for i in want) > 2 * pairs
     assert embedding_dedup.passes_measured(x[:1000], 100_000, 0.93, 128, 0.005) > 10 * embedding_dedup.passes_for(100_000, 0.93, 128, 0.005)
+
+
+def test_one_id_on_several_texts_ties_their_groups(spark):
+    first, second = [" ".join(f"{x}{i}" for i in range(60)) for x in "ab"]
+    rows = [(1, first), (2, first + " end"), (1, second), (3, second + " end"), (4, first), (5, second), (6, "alone by itself here"), (7, None), (7, "alone by itself there")]
+    for low in (0, -(1 << 62) - 5):
+        docs = spark.createDataFrame([(d + low, t) for d, t in rows], "doc_id long, text string").repartition(3)
+        got = {(r.doc_id - low, r.component_id - low) for r in minhash.near_duplicates(docs, 85, 3).collect()}
+        assert got == {(d, 1) for d in range(1, 6)} | {(6, 6), (7, 7)}

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from duplet.llm.common import PUNCTUATION, Words, mix, run_hashes, small_batches, text_chunks
+from duplet.llm.common import PUNCTUATION, Words, map_arrow, mix, run_hashes, text_chunks
 from duplet.llm.quality import sample
 
 _U = np.uint64
@@ -29,7 +29,7 @@ class Settings:
 
     per_class: int = 1500
     neighbours: int = 15
-    prefixes: tuple[int, ...] = (4, 5, 6, 7, 8, 9)
+    prefixes: tuple[int, ...] = (4, 7)
     min_docs: int = 5
     ratio: float = 1.0
     min_chi: float = 0.0
@@ -266,7 +266,6 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     the calibrated prior and no evidence. Equal texts, equal scores; ties among neighbours go to the lower doc_id. No
     rows: no rows. Extra columns are left out. The index is bounded by 2 * per_class examples and travels with the task.
     """
-    small_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -277,4 +276,4 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, evidence)]), pa.int32()), parts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x), pa.array((x >= threshold).astype(np.int32)), lists], ["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double>>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double>>")

@@ -195,3 +195,21 @@ def test_segmentation_edges(spark, edges, nothing):
     assert rows[1].n_samples == rows[2].n_samples == 0 and rows[4].n_samples == 2 and rows[4].samples[0]["perturbed"] > rows[4].samples[1]["perturbed"]
     assert {r.doc_id: r.samples for r in sentencepiece_sampling.encode(edges.repartition(3), 2).collect()}[8] == rows[8].samples
     assert sentencepiece_sampling.encode(nothing).count() == 0
+
+
+@needs_tokenizer
+def test_segmentations_do_not_depend_on_what_is_held(monkeypatch):
+    p = sentencepiece_sampling.pieces(sentencepiece_sampling.DEFAULT_MODEL, 1.0)
+    rng = random.Random(4)
+    texts = pa.array([" ".join(rng.choice(["the", "cat", "sitting", "é▁😀", "\n\n", "", "zq" * 40, str(rng.random())]) for _ in range(rng.randrange(80))) for _ in range(120)])
+    keys = np.arange(120)
+    plain = lambda rows: [[(x[0].tolist(), *x[1:]) for x in r] for r in rows]
+    whole = plain(sentencepiece_sampling.segment(texts, keys, p, 3, 1))
+    for chunk, nodes in ((300, 200), (5000, 1 << 19), (1, 50)):
+        monkeypatch.setattr(sentencepiece_sampling, "CHUNK", chunk)
+        monkeypatch.setattr(sentencepiece_sampling, "NODES", nodes)
+        assert plain(sentencepiece_sampling.segment(texts, keys, p, 3, 1)) == whole
+    # units whose hashes collide are told apart by what their pieces spell
+    monkeypatch.setattr(sentencepiece_sampling, "run_hashes", lambda v, a, b, base: (b - a).astype(np.uint64))
+    for t, r in zip(texts.to_pylist(), sentencepiece_sampling.segment(texts, keys, p, 3, 1), strict=True):
+        assert all(sentencepiece_sampling.decode(x[0], p) == t for x in r)

@@ -6,7 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,5 +179,13 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(freed, fields)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_row(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

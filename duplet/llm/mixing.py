@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duplet.llm.common import n_words
+from duplet.llm.common import n_words, unused
+
+
+ADDED = ("size", "source_size", "target", "rate", "copies")
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -43,16 +46,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rows. Other columns pass; any named like those added are replaced. Only the table of sources (one row each) is
     ranked in one task; documents are pre-aggregated by source and never sorted.
     """
-    added = ("size", "source_size", "target", "rate", "copies")
-    base = docs.drop(*added).withColumn("size", n_words(F.col("text")))
+    base = docs.drop(*ADDED).withColumn("size", n_words(F.col("text")))
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    known = targets(sources, weights, share, cap).select(F.col("source").alias("_source"), "source_size", "target", (F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).alias("rate"))
-    joined = base.join(known, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    name = unused(base.columns, "of_source")
+    known = targets(sources, weights, share, cap).select(F.col("source").alias(name), "source_size", "target", (F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).alias("rate"))
+    joined = base.join(known, F.col("source").eqNullSafe(F.col(name)), "left").drop(name)
     whole = F.floor("rate")
     extra = (uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed) < F.col("rate") - whole).cast("long")
     return joined.withColumn("copies", F.least(whole + extra, F.lit(int(cap)).cast("long")))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row for each copy that the mix takes, with copy (0-based)."""
+    """One row for each copy that the mix takes, with copy (0-based), which replaces a column of that name.
+
+    Rows of mix() with copies 0 or null go. Repeated rows: each by itself. No rows: no rows. Other columns pass.
+    """
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs only, those named like what mix() and emit() add among them."""
+    names = list(docs.columns)
+    for i, c in enumerate(names):
+        if c.lower() in (*ADDED, "copy"):
+            names[i] = unused([*names, *ADDED, "copy"], c)
+    return emit(mix(docs.toDF(*names), weights, share, cap, seed)).select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -8,12 +8,16 @@ paths with an equal minimizer (as in minimizer-partitioned graph builders). Then
 1. paths whose minimizer occurs once in the corpus hold no repeated edge and go;
 2. equal paths (minimizer and content digest) compact to one with its count. A count of 2 or more is a repeated
    nonbranching path: all its edges repeat, wherever it lies;
-3. where a minimizer has different paths, the graph branches. There, one representative of each path is expanded into its
+3. repeated paths compact further: two are one chain if the places at which one ends are exactly those at which the other
+   begins. Only a chain's head is looked up in the documents, and brings the whole chain;
+4. where a minimizer has different paths, the graph branches. There, one representative of each path is expanded into its
    edges, with its count as weight, and edges with a weight of 2 or more in sum repeat;
-4. source coordinates (document, first word, edges) bring both back to every document, where successive ones join into
-   maximal spans.
+5. source coordinates (document, first word, edges) bring both back to every document, where successive ones join into
+   maximal spans. There the words of each chain are held against its representative's, which is read at its own
+   coordinates, by a cryptographic digest, and a chain with other words is not cut.
 
-Edges meet by 128 bits (the minimizer's 64-bit hash with the path's digest, or two digests of the edge).
+Paths meet by 128 bits (the minimizer's 64-bit hash with the path's digest), edges by 128 bits of a cryptographic digest of
+their words. So no words are cut that don't repeat; a repeat is missed where two paths that differ share 128 bits.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duplet.llm.common import Words, map_arrow, run_hashes, signed, stored, text_chunks
+from duplet.llm.common import Words, discard, map_arrow, run_hashes, signed, stored, text_chunks, unused
 
-_SEED_BASE, _PATH_BASE, _EDGE_BASE = 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
+_SEED_BASE, _PATH_BASE = 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 #: Bits of a position that ride below the hash in the sliding minimum.
 _PLACE = np.uint64(28)
 
@@ -86,69 +90,124 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a.doc_id.eqNullSafe(b.doc_id) & (a.th == b.th)
 
 
+def _places(at: Column, *more: str) -> list[Column]:
+    """Two sums over a path's places (document, word) that tell sets of places apart: of 28 bits each, so that they don't overflow under 2**35 places."""
+    h = F.xxhash64("doc_id", "th", at)
+    return [F.sum(F.shiftright(h, 36)).alias(more[0]), F.sum(h.bitwiseAND((1 << 28) - 1)).alias(more[1])]
+
+
+def _chains(repeated: DataFrame) -> DataFrame:
+    """(doc_id, th, start, edges, seed, dig): the chains of repeated paths, with the head's hashes, at their first places.
+
+    Paths of one chain have the same places but for their offsets, so their first places lie in one document, in a row.
+    """
+    by_place = Window.partitionBy("doc_id", "th").orderBy("start")
+    before = F.lag(F.struct((F.col("start") + F.col("edges")).alias("start"), "n", F.col("end1").alias("begin1"), F.col("end2").alias("begin2"))).over(by_place)
+    linked = repeated.withColumn("head", ~F.coalesce(before == F.struct("start", "n", "begin1", "begin2"), F.lit(False)))
+    numbered = linked.withColumn("chain", F.sum(F.col("head").cast("int")).over(by_place))
+    out = numbered.groupBy("doc_id", "th", "chain").agg(F.min("start").alias("start"), F.sum("edges").cast("int").alias("edges"), F.min_by(F.struct("seed", "dig"), "start").alias("head"))
+    return out.select("doc_id", "th", "start", "edges", "head.seed", "head.dig")
+
+
 def repeated_spans(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
-    """(doc_id, th, spans): for each document with repeated edges, the runs [first word, edges] of them; th is a hash of the text."""
+    """(doc_id, th, spans): for each document with repeated edges, the runs [first word, edges, proof] of them; th is a hash of the text, proof() of a run's words must give proof where there is one."""
     found = _occurrences(docs, length, k)
     # stored, so that the join with it has no aggregate in its stage and a hot minimizer's partition can be split
     often = stored(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "often")
     places = stored(found.join(often, "seed"), "paths")
-    compact = stored(places.groupBy("seed", "dig").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start", "edges")).alias("at")), "compact")
+    discard(often)
+    first = F.min(F.struct("doc_id", "th", "start", "edges")).alias("at")
+    compact = stored(places.groupBy("seed", "dig").agg(F.count("*").alias("n"), first, *_places(F.col("start"), "begin1", "begin2"), *_places(F.col("start") + F.col("edges"), "end1", "end2")), "compact")
     branching = compact.groupBy("seed").agg(F.count("*").alias("ways")).where("ways > 1").select("seed")
-    need = compact.join(branching, "seed", "left_semi").select("at.*", "n").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "edges", "n")).alias("parts"))
+    none = F.lit(None).cast("long")
+    expand = compact.join(branching, "seed", "left_semi").select("at.*", "n", none.alias("seed"), none.alias("dig"))
+    chains = stored(_chains(compact.where("n > 1").select("at.*", "n", "seed", "dig", "begin1", "begin2", "end1", "end2")), "chains")
+    parts = expand.union(chains.select("doc_id", "th", "start", "edges", F.lit(0).cast("long").alias("n"), "seed", "dig"))
+    need = parts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "edges", "n", "seed", "dig")).alias("parts"))
     edges = stored(_edges(docs, need, length), "edges")
-    twice = edges.groupBy("e1", "e2").agg(F.sum("n").alias("total")).where("total > 1").select("e1", "e2")
-    single = edges.where("n = 1").join(twice, ["e1", "e2"], "left_semi").select("doc_id", "th", F.col("at").alias("start"), F.lit(1).alias("edges"))
-    whole = places.join(compact.where("n > 1").select("seed", "dig"), ["seed", "dig"], "left_semi").select("doc_id", "th", "start", "edges")
-    return stored(whole.union(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "edges")).alias("spans")), "spans")
+    discard(compact, chains)
+    twice = edges.where("n > 0").groupBy("e1", "e2").agg(F.sum("n").alias("total")).where("total > 1").select("e1", "e2")
+    single = edges.where("n = 1").join(twice, ["e1", "e2"], "left_semi").select("doc_id", "th", F.col("at").alias("start"), F.lit(1).alias("edges"), F.lit(None).cast("binary").alias("proof"))
+    heads = edges.where("n = 0").select("seed", "dig", F.col("at").alias("edges"), "proof").dropDuplicates(["seed", "dig"])
+    whole = places.drop("edges").join(heads, ["seed", "dig"]).select("doc_id", "th", "start", "edges", "proof")
+    spans = stored(whole.union(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "edges", "proof")).alias("spans")), "spans")
+    discard(places, edges)
+    return spans
+
+
+def proof(words: bytes) -> bytes:
+    """Of words joined by one space."""
+    return hashlib.blake2b(words, digest_size=16).digest()
 
 
 def _edges(docs: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """(e1, e2, n, doc_id, th, at): the edges of the paths in need, each with its path's count."""
+    """Of the paths in need: (e1, e2, n, doc_id, th, at) for each edge of those with a count n, which is their path's; (seed, dig, n = 0, proof, at = edges) of each chain."""
+    names = ["e1", "e2", "n", "doc_id", "th", "at", "seed", "dig", "proof"]
 
     def run(batches):
         for b in batches:
-            parts = b.column(3)
-            for lo, hi, data, offsets in text_chunks(b.column(2)):
-                words = Words(data, offsets)
-                mine = parts[lo:hi]
-                doc = np.repeat(np.arange(hi - lo), np.diff(mine.offsets.to_numpy()))
-                flat = mine.flatten()
-                start, count, n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "edges", "n"))
-                at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
-                row = np.repeat(doc, count)
-                first = at + words.first[row]
-                e1, e2 = (run_hashes(words.hash, first, first + length, x) for x in (_PATH_BASE, _EDGE_BASE))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(e1)), pa.array(signed(e2)), pa.array(np.repeat(n, count)), b.column(0)[lo:hi].take(take), b.column(1)[lo:hi].take(take), pa.array(at.astype(np.int32))], ["e1", "e2", "n", "doc_id", "th", "at"])
+            parts, texts, out = b.column(3), b.column(2), []
+            for i in range(len(b)):
+                words = (texts[i].as_py() or "").encode().split()
+                whole, cut = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+                said = lambda at, n: proof(whole[cut[at] : cut[at + n] - 1])  # noqa: B023, E731
+                own = parts[i : i + 1].flatten()
+                start, count, n = (own.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "edges", "n"))
+                for chain in (False, True):
+                    rows = np.flatnonzero((n == 0) == chain)
+                    if not len(rows):
+                        continue
+                    if chain:
+                        at, weight = count[rows], n[rows]
+                        proofs = pa.array([said(s, e + length - 1) for s, e in zip(start[rows].tolist(), count[rows].tolist(), strict=True)], pa.binary())
+                        blank = pa.nulls(len(rows), pa.int64())
+                        keys = [blank, blank, *(own.field(x).take(pa.array(rows)) for x in ("seed", "dig")), proofs]
+                    else:
+                        c = count[rows]
+                        at, weight = np.repeat(start[rows] - np.cumsum(c) + c, c) + np.arange(c.sum()), np.repeat(n[rows], c)
+                        both = np.frombuffer(b"".join([said(x, length) for x in at.tolist()]), "<i8").reshape(-1, 2)
+                        blank = pa.nulls(len(at), pa.int64())
+                        keys = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), blank, blank, pa.nulls(len(at), pa.binary())]
+                    row = pa.array(np.full(len(at), i))
+                    out.append(pa.RecordBatch.from_arrays([*keys[:2], pa.array(weight), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32)), *keys[2:]], names))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     d = _key(docs)
-    return map_arrow(d.join(need, _same(d, need)).select(d.doc_id, d.th, "text", "parts"), run, "e1 long, e2 long, n long, doc_id long, th int, at int")
+    return map_arrow(d.join(need, _same(d, need)).select(d.doc_id, d.th, "text", "parts"), run, "e1 long, e2 long, n long, doc_id long, th int, at int, seed long, dig long, proof binary")
 
 
-def _covered(spans: list | None, n: int, length: int) -> np.ndarray:
-    """For each of n words, whether a repeated edge covers it."""
-    steps = np.zeros(n + 1, np.int64)
+def covered(spans: list | None, words: list[bytes], length: int) -> np.ndarray:
+    """For each word, whether a repeated edge covers it; a span whose words don't give its proof counts for nothing."""
+    steps = np.zeros(len(words) + 1, np.int64)
     for s in spans or ():
-        steps[s["start"]] += 1
-        steps[s["start"] + s["edges"] + length - 1] -= 1
+        end = s["start"] + s["edges"] + length - 1
+        if s["proof"] is None or s["proof"] == proof(b" ".join(words[s["start"] : end])):
+            steps[s["start"]] += 1
+            steps[end] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
 def _apply(docs: DataFrame, length: int, k: int, run, fields, columns: list[str]) -> DataFrame:
-    spans = repeated_spans(docs, length, k).withColumnsRenamed({"doc_id": "_id", "th": "_th", "spans": "_spans"})
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.hash(docs["text"]) == spans["_th"]), "left")
-    return map_arrow(joined.select(*columns, "_spans"), run, fields)
+    """run over the columns of docs, and last each document's spans; names that docs has too don't matter."""
+    name = {c: unused(docs.columns, f"its_{c}") for c in ("doc_id", "th", "spans")}
+    spans = repeated_spans(docs, length, k).withColumnsRenamed(name)
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[name["doc_id"]]) & (F.hash(docs["text"]) == spans[name["th"]]), "left")
+    return map_arrow(joined.select(*(docs[f"`{c}`"] for c in columns), name["spans"]), run, fields)
 
 
 def digest(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of every document: see remove() for what is removed."""
+    """(doc_id, n_words, n_removed, kept_sha256) of every document: see remove() for what is removed.
+
+    Null, empty and blank texts: no words. Repeated rows: each by itself. No rows: no rows. Extra columns are left out.
+    """
 
     def run(batches):
         for b in batches:
             rows = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (text or "").encode().split()
-                gone = _covered(spans, len(words), length)
+                gone = covered(spans, words, length)
                 kept = words if not spans else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             a, c, d = zip(*rows, strict=True) if rows else ((), (), ())
@@ -174,7 +233,7 @@ def remove(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
             for i, s in enumerate(spans):
                 if s:
                     words = texts[i].encode().split()
-                    gone = _covered(s, len(words), length).tolist()
+                    gone = covered(s, words, length).tolist()
                     texts[i] = b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode()
             out = b.columns[:-1]
             out[column] = pa.array(texts, pa.string())

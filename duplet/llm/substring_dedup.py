@@ -5,7 +5,7 @@ shuffling every edge, each document is cut into paths: runs of successive edges
 with the least hash among those within the window. Equal edges share it at the same place, so they can meet only in
 paths with an equal minimizer (as in minimizer-partitioned graph builders). Then
 
-1. paths whose minimizer occurs once in the corpus hold no repeated edge and go;
+1. a path that follows itself, as in periodic text, is one with a number of times; paths whose minimizer occurs once in the corpus hold no repeated edge and go;
 2. equal paths (minimizer and content digest) compact to one with its count. A count of 2 or more is a repeated
    nonbranching path: all its edges repeat, wherever it lies;
 3. repeated paths compact further: two are one chain if the places at which one ends are exactly those at which the other
@@ -53,9 +53,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def paths(words: Words, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(document, first word, edges, minimizer, digest) of the paths of some texts."""
+    """(document, first word, edges, times, minimizer, digest) of the paths of some texts; a path that comes several times in a row, as in periodic text, is one with that many times."""
     n = len(words.hash)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if n < length:
         return none
     last = np.repeat(words.first[1:], np.diff(words.first))  # of each word, the end of its document
@@ -72,18 +72,21 @@ def paths(words: Words, length: int, k: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(fresh)
     count = np.diff(np.append(begin, len(edges)))
     start = edges[begin]
-    return doc[begin], start - words.first[doc[begin]], count, seeds[chosen[begin]], run_hashes(words.hash, start, start + count + length - 1, _PATH_BASE)
+    doc, seed, dig = doc[begin], seeds[chosen[begin]], run_hashes(words.hash, start, start + count + length - 1, _PATH_BASE)
+    lead = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (dig[1:] != dig[:-1]) | (doc[1:] != doc[:-1])))
+    times = np.diff(np.append(lead, len(seed)))
+    return doc[lead], (start - words.first[doc])[lead], count[lead], times, seed[lead], dig[lead]
 
 
 def _occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b.column(2)):
-                doc, start, count, seed, dig = paths(Words(data, offsets), length, k)
+                doc, start, count, times, seed, dig = paths(Words(data, offsets), length, k)
                 row = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].take(row), b.column(1)[lo:hi].take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(seed)), pa.array(signed(dig))], ["doc_id", "th", "start", "edges", "seed", "dig"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].take(row), b.column(1)[lo:hi].take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(signed(seed)), pa.array(signed(dig))], ["doc_id", "th", "start", "edges", "times", "seed", "dig"])
 
-    return map_arrow(_key(docs), run, "doc_id long, th int, start int, edges int, seed long, dig long")
+    return map_arrow(_key(docs), run, "doc_id long, th int, start int, edges int, times int, seed long, dig long")
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -99,38 +102,39 @@ def _places(at: Column, *more: str) -> list[Column]:
 def _chains(repeated: DataFrame) -> DataFrame:
     """(doc_id, th, start, edges, seed, dig): the chains of repeated paths, with the head's hashes, at their first places.
 
-    Paths of one chain have the same places but for their offsets, so their first places lie in one document, in a row.
+    Paths of one chain have the same places but for their offsets, so their first places lie in one document, in a row. A
+    path that anywhere follows itself is a chain of its own.
     """
     by_place = Window.partitionBy("doc_id", "th").orderBy("start")
-    before = F.lag(F.struct((F.col("start") + F.col("edges")).alias("start"), "n", F.col("end1").alias("begin1"), F.col("end2").alias("begin2"))).over(by_place)
-    linked = repeated.withColumn("head", ~F.coalesce(before == F.struct("start", "n", "begin1", "begin2"), F.lit(False)))
+    before = F.lag(F.struct((F.col("start") + F.col("edges")).alias("start"), "n", "loops", F.col("end1").alias("begin1"), F.col("end2").alias("begin2"))).over(by_place)
+    linked = repeated.withColumn("head", F.col("loops") | ~F.coalesce(before == F.struct("start", "n", "loops", "begin1", "begin2"), F.lit(False)))
     numbered = linked.withColumn("chain", F.sum(F.col("head").cast("int")).over(by_place))
     out = numbered.groupBy("doc_id", "th", "chain").agg(F.min("start").alias("start"), F.sum("edges").cast("int").alias("edges"), F.min_by(F.struct("seed", "dig"), "start").alias("head"))
     return out.select("doc_id", "th", "start", "edges", "head.seed", "head.dig")
 
 
 def repeated_spans(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
-    """(doc_id, th, spans): for each document with repeated edges, the runs [first word, edges, proof] of them; th is a hash of the text, proof() of a run's words must give proof where there is one."""
+    """(doc_id, th, spans): for each document with repeated edges, the runs [first word, edges, times, proof] of them, edges that many times in a row; th is a hash of the text, proof() of the words of the first time must give proof where there is one."""
     found = _occurrences(docs, length, k)
     # stored, so that the join with it has no aggregate in its stage and a hot minimizer's partition can be split
-    often = stored(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "often")
+    often = stored(found.groupBy("seed").agg(F.sum("times").alias("n")).where("n > 1").select("seed"), "often")
     places = stored(found.join(often, "seed"), "paths")
     discard(often)
     first = F.min(F.struct("doc_id", "th", "start", "edges")).alias("at")
-    compact = stored(places.groupBy("seed", "dig").agg(F.count("*").alias("n"), first, *_places(F.col("start"), "begin1", "begin2"), *_places(F.col("start") + F.col("edges"), "end1", "end2")), "compact")
+    compact = stored(places.groupBy("seed", "dig").agg(F.sum("times").alias("n"), (F.max("times") > 1).alias("loops"), first, *_places(F.col("start"), "begin1", "begin2"), *_places(F.col("start") + F.col("edges"), "end1", "end2")), "compact")
     branching = compact.groupBy("seed").agg(F.count("*").alias("ways")).where("ways > 1").select("seed")
     none = F.lit(None).cast("long")
     expand = compact.join(branching, "seed", "left_semi").select("at.*", "n", none.alias("seed"), none.alias("dig"))
-    chains = stored(_chains(compact.where("n > 1").select("at.*", "n", "seed", "dig", "begin1", "begin2", "end1", "end2")), "chains")
+    chains = stored(_chains(compact.where("n > 1").select("at.*", "n", "loops", "seed", "dig", "begin1", "begin2", "end1", "end2")), "chains")
     parts = expand.union(chains.select("doc_id", "th", "start", "edges", F.lit(0).cast("long").alias("n"), "seed", "dig"))
     need = parts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "edges", "n", "seed", "dig")).alias("parts"))
     edges = stored(_edges(docs, need, length), "edges")
     discard(compact, chains)
     twice = edges.where("n > 0").groupBy("e1", "e2").agg(F.sum("n").alias("total")).where("total > 1").select("e1", "e2")
-    single = edges.where("n = 1").join(twice, ["e1", "e2"], "left_semi").select("doc_id", "th", F.col("at").alias("start"), F.lit(1).alias("edges"), F.lit(None).cast("binary").alias("proof"))
+    single = edges.where("n = 1").join(twice, ["e1", "e2"], "left_semi").select("doc_id", "th", F.col("at").alias("start"), F.lit(1).alias("edges"), F.lit(1).alias("times"), F.lit(None).cast("binary").alias("proof"))
     heads = edges.where("n = 0").select("seed", "dig", F.col("at").alias("edges"), "proof").dropDuplicates(["seed", "dig"])
-    whole = places.drop("edges").join(heads, ["seed", "dig"]).select("doc_id", "th", "start", "edges", "proof")
-    spans = stored(whole.union(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "edges", "proof")).alias("spans")), "spans")
+    whole = places.drop("edges").join(heads, ["seed", "dig"]).select("doc_id", "th", "start", "edges", "times", "proof")
+    spans = stored(whole.union(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "edges", "times", "proof")).alias("spans")), "spans")
     discard(places, edges)
     return spans
 
@@ -181,9 +185,10 @@ def covered(spans: list | None, words: list[bytes], length: int) -> np.ndarray:
     """For each word, whether a repeated edge covers it; a span whose words don't give its proof counts for nothing."""
     steps = np.zeros(len(words) + 1, np.int64)
     for s in spans or ():
-        end = s["start"] + s["edges"] + length - 1
-        if s["proof"] is None or s["proof"] == proof(b" ".join(words[s["start"] : end])):
-            steps[s["start"]] += 1
+        start, edges = s["start"], s["edges"]
+        one, end = start + edges + length - 1, start + edges * s["times"] + length - 1
+        if s["proof"] is None or (s["proof"] == proof(b" ".join(words[start:one])) and (one == end or words[start + edges : end] == words[start : end - edges])):
+            steps[start] += 1
             steps[end] -= 1
     return np.cumsum(steps[:-1]) > 0
 

@@ -31,7 +31,7 @@ def test_substring_dedup_equals_brute_force(spark, length, k):
             if rng.random() < 0.3:
                 words[rng.randrange(len(words) + 1) : 0] = ["cut"]
             if rng.random() < 0.1:
-                words += ["be"] * 50
+                words += rng.choice([["be"] * 50, ["be", "so"] * 40, ["to", "be", "so"] * rng.randrange(40), ["in", "a", "row", "of", "more"] * 20])
         texts.append((d, " ".join(words)))
     words, kept = removed(texts, length)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
@@ -43,6 +43,18 @@ def test_substring_dedup_equals_brute_force(spark, length, k):
             assert r.text.encode() == b" ".join(kept[r.doc_id])
 
 
+def test_words_that_fail_their_proof_stay():
+    words = [b"w%d" % i for i in range(12)]
+    right, wrong = substring_dedup.proof(b" ".join(words[2:8])), substring_dedup.proof(b"others")
+    span = {"start": 2, "edges": 3, "times": 1, "proof": right}
+    assert substring_dedup.covered([span], words, 4).tolist() == [2 <= i < 8 for i in range(12)]
+    for bad in (span | {"proof": wrong}, span | {"times": 2}):
+        assert not substring_dedup.covered([bad], words, 4).any()
+    turns = [b"a", b"b"] * 6
+    twice = {"start": 0, "edges": 2, "times": 4, "proof": substring_dedup.proof(b" ".join(turns[:5]))}
+    assert substring_dedup.covered([twice], turns, 4).tolist() == [i < 11 for i in range(12)]
+
+
 def test_substring_dedup_edges(spark, edges, nothing):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.digest(edges, 35).collect()}
     assert {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (8, 30_000, 30_000), (None, 5, 0)} <= got

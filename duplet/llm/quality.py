@@ -24,13 +24,13 @@ class Settings:
     buckets: int = 1 << 16
     dims: int = 12
     steps: int = 12_000
-    rate: float = 0.4
+    rate: float = 2.0
     per_class: int = 1500
     seed: int = 11
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of every feature of some texts: each word, a mark where a word repeats the one before it, and each n-gram within a word, which knows if it begins or ends the word."""
+    """(bucket, document) of every feature of some texts: each word, one for any word that repeats the one before it (the word pairs x x, all in one bucket), and each n-gram within a word, which knows if it begins or ends the word."""
     words = Words(data, offsets)
     if not len(words.hash):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -110,8 +110,7 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
             out -= rate * np.outer(p, hidden)
             bias -= rate * p
             if len(ids):
-                # vectors of rare features must move too: the mean makes each one's gradient small
-                vectors[ids] -= np.float32(rate) * np.minimum(share * 40, 1)[:, None] * back
+                vectors[ids] -= np.float32(rate) * share[:, None] * back
     return Model((vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
@@ -126,7 +125,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, pe
     for c in (0, 1):
         of = known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picks = of if picks is None else picks.union(of)
-    found = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").collect()  # at most 2 * per_class ids
+    # of a doc_id with several rows the least text, so that at most 2 * per_class come to the driver
+    found = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     return sorted((r.doc_id, r.text or "", r.label) for r in found)
 
 
@@ -153,7 +153,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores threshold or more."""
+    """The rows of docs, with all their columns, whose text scores threshold or more.
+
+    Null and empty texts score the bias alone, so all of them stay or all go. Repeated rows: each by itself. No rows: no rows. Columns of any name pass.
+    """
     kept = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index("text")
 

@@ -6,9 +6,6 @@ from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
 
 def real_quick_ratio(a: int, b: int) -> float:
     """Upper bound from lengths alone."""
@@ -52,20 +49,3 @@ def ratio(a: Sequence, b: Sequence) -> float:
 
 def matching_blocks(a: Sequence, b: Sequence) -> list[tuple[int, int, int]]:
     return Matcher(b).matching_blocks(a)
-
-
-def with_ratio(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs (hash_a, hash_b, tokens_a, tokens_b) whose ratio is at least `least`, as (hash_a, hash_b, similarity). The multiset bound goes first; pairs should come in order of hash_b, so that each right side is indexed once."""
-
-    def run(batches):
-        known: tuple[str, Matcher] | None = None
-        for b in batches:
-            out = []
-            for ha, hb, ta, tb in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if known is None or known[0] != hb:
-                    known = (hb, Matcher(tb))
-                if known[1].quick_ratio(ta) >= least and (r := known[1].ratio(ta)) >= least:
-                    out.append((ha, hb, r))
-            yield pa.RecordBatch.from_pylist([dict(zip(("hash_a", "hash_b", "similarity"), x, strict=True)) for x in out], schema=pa.schema([("hash_a", pa.string()), ("hash_b", pa.string()), ("similarity", pa.float64())]))
-
-    return pairs.select("hash_a", "hash_b", "tokens_a", "tokens_b").mapInArrow(run, "hash_a string, hash_b string, similarity double")

@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """df by way of the shared folder, so that iterations don't recompute and a lost executor costs nothing."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.gettempdir()}/duplet-checkpoints"
-    path = f"{folder}/duplet/classes-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from duplet.operators.storage import stored
 
 
 def classes(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, class_id) for the ends of edges (a, b): the least id reachable. Labels spread by joins, pointers are halved each round."""
-    both = _stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = _stored(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("class_id")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "classes")
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("class_id")), "classes")
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.least("class_id", "near").alias("class_id"), F.col("class_id").alias("was"))
         jump = labels.select(F.col("id").alias("class_id"), F.col("class_id").alias("further"))
-        after = _stored(step.join(jump, "class_id", "left").select("id", F.least("class_id", "further").alias("class_id"), (F.least("class_id", "further") < F.col("was")).alias("moved")))
+        after = stored(step.join(jump, "class_id", "left").select("id", F.least("class_id", "further").alias("class_id"), (F.least("class_id", "further") < F.col("was")).alias("moved")), "classes")
         labels = after.drop("moved")
         if after.where("moved").isEmpty():
             return labels

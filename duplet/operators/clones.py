@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duplet.functions.similarity import with_ratio
+from duplet.functions.similarity import Matcher
 from duplet.functions.text import length_bound
+from duplet.operators.cells import Cell, compared
+from duplet.operators.storage import stored
 
+FORTH, BACK = 1, 2
 UNIT_REF = ("file", "qualname", "start_line", "end_line", "hash")
 
 
@@ -45,17 +52,52 @@ def similar_streams(sequences: DataFrame, least: float) -> DataFrame:
 
     least = 0 asks for every pair by definition and compares all.
     """
+    sequences = stored(sequences, "sequences")
     if least > 0:
         pairs = candidates(sequences, least)
     else:
         pairs = sequences.select(F.col("hash").alias("hash_a")).join(sequences.select(F.col("hash").alias("hash_b")), F.col("hash_a") < F.col("hash_b"))
-    x = sequences.select(F.col("hash").alias("hash_a"), F.col("tokens").alias("ta"), F.col("first").alias("fa"))
-    y = sequences.select(F.col("hash").alias("hash_b"), F.col("tokens").alias("tb"), F.col("first").alias("fb"))
-    both = pairs.join(x, "hash_a").join(y, "hash_b")
-    turn = F.col("fb") < F.col("fa")
-    pick = lambda p, q, name: F.when(turn, F.col(q)).otherwise(F.col(p)).alias(name)
-    laid = both.select(pick("hash_a", "hash_b", "hash_a"), pick("hash_b", "hash_a", "hash_b"), pick("ta", "tb", "tokens_a"), pick("tb", "ta", "tokens_b"))
-    return with_ratio(laid.repartition("hash_b").sortWithinPartitions("hash_b"), least)
+    x, y = (sequences.select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
+    turn = F.col("first_b") < F.col("first_a")
+    both = pairs.join(x, "hash_a").join(y, "hash_b").select("hash_a", "hash_b", F.when(turn, F.lit(BACK)).otherwise(F.lit(FORTH)).alias("marks"))
+    return _scored(both, sequences, least)
+
+
+def _scored(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """(hash_a, hash_b, similarity) of pairs (hash_a, hash_b, marks) that reach least, in the directions that marks ask for: FORTH, BACK or both. The multiset bound goes first, once for both."""
+
+    def run(cell: Cell):
+        lengths = cell.sequences.value_lengths().to_numpy()
+        total = lengths[cell.left] + lengths[cell.right]
+        near = np.flatnonzero(2.0 * cell.shared() >= least * total - 1e-9)
+        asked = sorted([(int(b), int(a)) for i in near.tolist() for a, b, way in ((cell.left[i], cell.right[i], FORTH), (cell.right[i], cell.left[i], BACK)) if cell.marks[i] & way])
+        rows: list[tuple[str, str, float]] = []
+        for b, group in groupby(asked, key=lambda x: x[0]):
+            matcher = Matcher(cell.sequences[b].as_py())
+            for _, a in group:
+                if (r := matcher.ratio(cell.sequences[a].as_py())) >= least:
+                    rows.append((cell.ids[a], cell.ids[b], r))
+        a, b, r = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(r, pa.float64())], ["hash_a", "hash_b", "similarity"])
+
+    named = pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"), "marks")
+    return compared(named, sequences.select(F.col("hash").alias("id"), "tokens"), run, "hash_a string, hash_b string, similarity double")
+
+
+def quick_ratios(sequences: DataFrame, least: float) -> DataFrame:
+    """(hash_a, hash_b, quick_ratio) of the pairs of distinct sequences whose multiset bound reaches least > 0."""
+    sequences = stored(sequences, "sequences")
+    pairs = candidates(sequences, least)
+
+    def run(cell: Cell):
+        lengths = cell.sequences.value_lengths().to_numpy().astype(np.int64)
+        bound = 2.0 * cell.shared() / np.maximum(lengths[cell.left] + lengths[cell.right], 1)
+        near = np.flatnonzero(bound >= least)
+        a, b = (pa.array([cell.ids[x] for x in side[near].tolist()], pa.string()) for side in (cell.left, cell.right))
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(bound[near])], ["hash_a", "hash_b", "quick_ratio"])
+
+    named = pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"), F.lit(0).alias("marks"))
+    return compared(named, sequences.select(F.col("hash").alias("id"), "tokens"), run, "hash_a string, hash_b string, quick_ratio double")
 
 
 def unit_ref(side: str) -> Column:
@@ -79,19 +121,22 @@ def find_clones(units: DataFrame, min_similarity: float = 0.85) -> DataFrame:
     row = known.select("hash", F.struct(*UNIT_REF, order.alias("order")).alias("u"))
     sequences = streams(units)
     same = row.select("hash", F.col("u").alias("a")).join(row.select("hash", F.col("u").alias("b")), "hash").where(F.col("a.order") < F.col("b.order")).select(F.lit(1.0).alias("similarity"), "a", "b")
+    same = same.where(F.lit(1.0 >= min_similarity)).where(~nested(F.col("a"), F.col("b"))).select("similarity", unit_ref("a"), unit_ref("b"))
+    if min_similarity >= 1:  # sequences that differ never reach it
+        return same
+    sequences = stored(sequences, "sequences")
     if min_similarity > 0:
         near = candidates(sequences, min_similarity)
     else:
         near = sequences.select(F.col("hash").alias("hash_a")).join(sequences.select(F.col("hash").alias("hash_b")), F.col("hash_a") < F.col("hash_b"))
-    way = near.union(near.select("hash_b", "hash_a"))
-    sides = [sequences.select(F.col("hash").alias(f"hash_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")) for s in "ab"]
+    sides = [sequences.select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")) for s in "ab"]
     # a direction counts only if some unit of a comes before some unit of b
-    both = way.join(sides[0], "hash_a").join(sides[1], "hash_b").where(F.col("first_a") < F.col("last_b")).drop("first_a", "last_a", "first_b", "last_b")
-    scored = with_ratio(both.repartition("hash_b").sortWithinPartitions("hash_b"), min_similarity)
+    marks = F.when(F.col("first_a") < F.col("last_b"), F.lit(FORTH)).otherwise(F.lit(0)) + F.when(F.col("first_b") < F.col("last_a"), F.lit(BACK)).otherwise(F.lit(0))
+    scored = _scored(near.join(sides[0], "hash_a").join(sides[1], "hash_b").select("hash_a", "hash_b", marks.alias("marks")), sequences, min_similarity)
     left = row.select(F.col("hash").alias("hash_a"), F.col("u").alias("a"))
     right = row.select(F.col("hash").alias("hash_b"), F.col("u").alias("b"))
     other = scored.join(left, "hash_a").join(right, "hash_b").where(F.col("a.order") < F.col("b.order")).select("similarity", "a", "b")
-    return same.where(F.lit(1.0 >= min_similarity)).union(other).where(~nested(F.col("a"), F.col("b"))).select("similarity", unit_ref("a"), unit_ref("b"))
+    return same.union(other.where(~nested(F.col("a"), F.col("b"))).select("similarity", unit_ref("a"), unit_ref("b")))
 
 
 def clone_key() -> list[Column]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duplet.functions.text import REFERENCE, dotted_path, file_stem, is_import, lines, overlap, reference_names
+from duplet.operators.cells import Cell, compared
+from duplet.operators.storage import stored
 
 SAMPLE = 25
 
@@ -28,12 +32,30 @@ def inbound_imports(files: DataFrame, extensions: list[str]) -> DataFrame:
     return files.select("path").join(counted, "path", "left").select("path", F.coalesce("inbound", F.lit(0)).alias("inbound"))
 
 
+def _overlapping(least: float):
+    """Of a cell's pairs (the smaller set left) those that reach the overlap: ids, number of shared names, and the first of them."""
+
+    def run(cell: Cell):
+        shared = cell.shared()
+        sizes = cell.sequences.value_lengths().to_numpy()
+        near = np.flatnonzero(shared >= least * sizes[cell.left] - 1e-9)
+        common = []
+        for i in near.tolist():
+            a, b = (cell.sequences[int(x)].as_py() for x in (cell.left[i], cell.right[i]))
+            common.append(sorted(set(a).intersection(b))[:SAMPLE])
+        a, b = ([cell.ids[x] for x in side[near].tolist()] for side in (cell.left, cell.right))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(shared[near]), pa.array(common, pa.list_(pa.string()))], ["small", "large", "shared", "common"])
+
+    return run
+
+
 def find_vocab_pairs(vocab: DataFrame, inbound: DataFrame | None = None, min_overlap: float = 0.55, min_vocabulary: int = 30) -> DataFrame:
     """Pairs of files whose vocabularies overlap: shared / size of the smaller >= min_overlap, both sizes >= min_vocabulary.
 
     For min_overlap > 0 the smaller side brings only its rarest n - ceil(t n) + 1 names, one of which the other must have;
-    shared names are counted for the pairs found that way. min_overlap = 0 asks for every pair and gets all.
+    shared names are counted for the pairs found that way, cell by cell. min_overlap = 0 asks for every pair and gets all.
     """
+    vocab = stored(vocab, "names")
     sizes = vocab.groupBy("path", "path_parts").agg(F.count("*").cast("long").alias("n")).where((F.col("n") >= min_vocabulary) & (F.col("n") > 0))
     named = vocab.join(sizes, ["path", "path_parts"])
     order = F.struct("n", "path_parts")
@@ -49,15 +71,13 @@ def find_vocab_pairs(vocab: DataFrame, inbound: DataFrame | None = None, min_ove
     else:
         x, y = sizes.select(F.col("path").alias("small"), order.alias("o1")), sizes.select(F.col("path").alias("large"), order.alias("o2"))
         met = x.join(y, F.col("o1") < F.col("o2")).select("small", "large")
-    names = vocab.groupBy("path").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    info = sizes.join(names, "path")
-    a = info.select(F.col("path").alias("small"), F.col("path_parts").alias("p1"), F.col("n").alias("n1"), F.col("names").alias("v1"))
-    b = info.select(F.col("path").alias("large"), F.col("path_parts").alias("p2"), F.col("n").alias("n2"), F.col("names").alias("v2"))
-    both = met.join(a, "small").join(b, "large").withColumn("common", F.array_sort(F.array_intersect("v1", "v2")))
+    names = vocab.groupBy("path").agg(F.collect_list("name").alias("tokens")).withColumnRenamed("path", "id")
+    counted = compared(met.select(F.col("small").alias("a"), F.col("large").alias("b"), F.lit(0).alias("marks")), names, _overlapping(min_overlap), "small string, large string, shared long, common array<string>")
+    a, b = (sizes.select(F.col("path").alias(side), F.col("path_parts").alias(f"p{i}"), F.col("n").alias(f"n{i}")) for i, side in ((1, "small"), (2, "large")))
+    both = counted.join(a, "small").join(b, "large")
     ahead = F.col("p1") < F.col("p2")
     pick = lambda p, q, name: F.when(ahead, F.col(p)).otherwise(F.col(q)).alias(name)
-    shared = F.size("common").cast("long")
-    found = both.select(pick("small", "large", "a"), pick("large", "small", "b"), overlap(shared, F.col("n1"), F.col("n2")).alias("overlap"), shared.alias("shared"), pick("n1", "n2", "a_vocabulary"), pick("n2", "n1", "b_vocabulary"), F.slice("common", 1, SAMPLE).alias("sample_shared")).where(F.col("overlap") >= min_overlap)
+    found = both.select(pick("small", "large", "a"), pick("large", "small", "b"), overlap(F.col("shared"), F.col("n1"), F.col("n2")).alias("overlap"), "shared", pick("n1", "n2", "a_vocabulary"), pick("n2", "n1", "b_vocabulary"), F.col("common").alias("sample_shared")).where(F.col("overlap") >= min_overlap)
     if inbound is None:
         found = found.withColumn("a_inbound_imports", F.lit(0).cast("long")).withColumn("b_inbound_imports", F.lit(0).cast("long"))
     else:

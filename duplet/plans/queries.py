@@ -129,13 +129,7 @@ _DISTINCT = f"WITH {_FILES}, {_units('base')}, s AS (SELECT hash, any_value(toke
 def quick_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct sequences whose multiset bound reaches the threshold."""
     s = clones.streams(prose.units(spark, sf_dir, min_nodes=NODES))
-    near = clones.candidates(s, SIMILARITY)
-    counts = s.select("hash", "n_tokens", F.explode("tokens").alias("token")).groupBy("hash", "n_tokens", "token").count()
-    bags = counts.groupBy("hash", "n_tokens").agg(F.map_from_entries(F.collect_list(F.struct("token", "count"))).alias("bag"))
-    a, b = (bags.select(F.col("hash").alias(f"hash_{x}"), F.col("n_tokens").alias(f"n_{x}"), F.col("bag").alias(f"bag_{x}")) for x in "ab")
-    both = F.aggregate(F.map_values(F.map_zip_with("bag_a", "bag_b", lambda _, x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))), F.lit(0).cast("long"), lambda t, x: t + x)
-    ratio = F.lit(2.0) * both / (F.col("n_a") + F.col("n_b"))
-    return near.join(a, "hash_a").join(b, "hash_b").select("hash_a", "hash_b", ratio.alias("quick_ratio")).where(F.col("quick_ratio") >= SIMILARITY)
+    return clones.quick_ratios(s, SIMILARITY)
 
 
 @query(_DISTINCT + ", lengths AS (SELECT n, count(*) AS c FROM s GROUP BY n)" + f" SELECT sum(CASE WHEN a.n = b.n THEN a.c * (a.c - 1) // 2 ELSE a.c * b.c END)::BIGINT AS pairs FROM lengths a JOIN lengths b ON a.n <= b.n AND 2.0::DOUBLE * a.n / (a.n + b.n) >= {SIMILARITY}")

@@ -35,6 +35,17 @@ class WalkOptions:
     hidden: bool = False
 
 
+#: In a translated pattern: what is escaped, a class, and what stands for any characters.
+_TRANSLATED = re.compile(r"\\.|\[\^?\]?[^\]]*\]|\.\*|\.")
+
+
+def _within(m: re.Match) -> str:
+    """The same for one component of a path: nothing matches the separator."""
+    if m[0].startswith("["):
+        return f"(?!/){m[0]}"
+    return m[0].replace(".", "[^/]") if m[0] in (".", ".*") else m[0]
+
+
 def _pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
     """(pattern over the relative path, takes back, folders only) of a line of an ignore file."""
     line = line.rstrip("\n").rstrip()
@@ -45,7 +56,7 @@ def _pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
     fixed = "/" in line
     parts = []
     for piece in line.lstrip("/").split("/"):
-        parts.append("(?:.*)" if piece == "**" else fnmatch.translate(piece).removesuffix("\\Z").removesuffix("\\z").replace(".*", "[^/]*"))
+        parts.append("(?:.*)" if piece == "**" else _TRANSLATED.sub(_within, fnmatch.translate(piece).removesuffix("\\Z").removesuffix("\\z")))
     text = "/".join(parts).replace("(?:.*)/", "(?:.*/)?")
     return re.compile(("" if fixed else "(?:.*/)?") + text + r"\Z"), back, folders
 

@@ -123,7 +123,7 @@ def test_ci_reports_what_the_working_tree_adds(spark, tmp_path, capsys, monkeypa
     assert cli.main(["ci", "--base", "main"]) == 0
     assert render.NOTHING in capsys.readouterr().out
     (tmp_path / "two.py").write_text(TWINS[0].format("compute").replace("rate", "pct"))
-    out = tmp_path / "count"
+    out = tmp_path.parent / f"{tmp_path.name}-count"  # not in the tree, which is committed below
     assert cli.main(["ci", "--base", "main", "--github-annotations", "--findings-out", str(out)]) == 0
     said = capsys.readouterr().out
     assert "100%25 duplicate of `compute` at two.py:1-7" in said and out.read_text() == "1\n"

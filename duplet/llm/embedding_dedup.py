@@ -21,6 +21,8 @@ from duplet.llm.common import components, map_arrow, stored
 BITS = 63
 #: Components up to this many members are compared whole in one task; larger ones go by balls around pivots.
 WHOLE = 512
+#: Windows that a range of sorted vectors holds at least, on average: pairs across its ends are not compared in that pass.
+WINDOWS = 256
 PIVOTS = 32
 #: Vectors of a label on which its crowding is measured, and passes that are under way at once.
 SAMPLE = 1024
@@ -75,16 +77,16 @@ def passes_measured(x: np.ndarray, size: int, threshold: float, window: int, mis
 
 
 def _planned(rows: DataFrame, threshold: float, window: int, miss: float) -> DataFrame:
-    """(label, dims, passes)."""
+    """(label, dims, size, passes)."""
     sizes = rows.groupBy("label", "dims").agg(F.count("*").alias("size"))
     u = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) / F.lit(1 << 30)
     sampled = rows.join(F.broadcast(sizes), ["label", "dims"]).where(u * F.col("size") < SAMPLE).select("label", "dims", "size", "vec_id", "x")
 
     def run(t: pa.Table):
         n = passes_measured(_matrix(t.column("x")), t.column("size")[0].as_py(), threshold, window, miss)
-        yield pa.RecordBatch.from_arrays([t.column("label").combine_chunks()[:1], t.column("dims").combine_chunks()[:1], pa.array([n], pa.int32())], ["label", "dims", "passes"])
+        yield pa.RecordBatch.from_arrays([t.column("label").combine_chunks()[:1], t.column("dims").combine_chunks()[:1], t.column("size").combine_chunks()[:1], pa.array([n], pa.int32())], ["label", "dims", "size", "passes"])
 
-    return stored(_grouped(sampled, ["label", "dims"], ["vec_id"], run, "label int, dims int, passes int"), "passes")
+    return stored(_grouped(sampled, ["label", "dims"], ["vec_id"], run, "label int, dims int, size long, passes int"), "passes")
 
 
 def _alike(rows: DataFrame) -> DataFrame:
@@ -94,8 +96,8 @@ def _alike(rows: DataFrame) -> DataFrame:
     return keyed.join(many, ["label", "dims", "h", "k"], "left").select("vec_id", "label", "dims", "x", F.coalesce("first", "vec_id").alias("first"))
 
 
-def _found(rows: DataFrame, threshold: float, begin: int, end: int, window: int, seed: int) -> DataFrame:
-    """(a, b) of passes begin to end, as far as a row's label has them: for each window, links that join what its verified pairs join."""
+def _found(rows: DataFrame, keys: int, threshold: float, begin: int, end: int, window: int, seed: int) -> DataFrame:
+    """(a, b) of passes begin to end, which give that many keys, as far as a row's label has them: for each window, links that join what its verified pairs join."""
 
     def project(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -144,7 +146,7 @@ def _found(rows: DataFrame, threshold: float, begin: int, end: int, window: int,
             yield pa.RecordBatch.from_arrays([join(a), join(z)], ["a", "b"])
 
     keyed = map_arrow(rows, project, "pass int, label int, dims int, key long, vec_id long, x array<double>")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys // (WINDOWS * window)))
     order = ["pass", "label", "dims", "key", "vec_id"]
     return map_arrow(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order), compare, "a long, b long").where("a <> b").distinct()
 
@@ -244,10 +246,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 1
     one = rows.where("vec_id = first").select("vec_id", "label", "dims", "x")
     plan = _planned(one, threshold, window, miss)
     most = plan.agg(F.max("passes").alias("n")).first().n or 0
-    one = one.join(F.broadcast(plan), ["label", "dims"]).select("vec_id", "label", "x", "passes")
+    one = one.join(F.broadcast(plan.drop("size")), ["label", "dims"]).select("vec_id", "label", "x", "passes")
     links = rows.where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
     for begin in range(0, most, ROUND):
-        links = links.union(stored(_found(one, threshold, begin, begin + ROUND, window, seed), "found"))
+        keys = plan.agg(F.sum(F.col("size") * F.greatest(F.lit(0), F.least("passes", F.lit(begin + ROUND)) - begin)).alias("n")).first().n
+        links = links.union(stored(_found(one, keys, threshold, begin, begin + ROUND, window, seed), "found"))
     joined = components(links)
     rows = rows.drop("first", "dims")
     # a node belongs to one component; its label keeps vectors of other labels that share an id apart

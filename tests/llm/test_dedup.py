@@ -186,3 +186,19 @@ def test_one_id_on_several_texts_ties_their_groups(spark):
         docs = spark.createDataFrame([(d + low, t) for d, t in rows], "doc_id long, text string").repartition(3)
         got = {(r.doc_id - low, r.component_id - low) for r in minhash.near_duplicates(docs, 85, 3).collect()}
         assert got == {(d, 1) for d in range(1, 6)} | {(6, 6), (7, 7)}
+
+
+def test_links_do_not_depend_on_the_number_of_partitions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 32))
+    x[1500:] = x[:1500] + 0.22 * rng.standard_normal((1500, 32))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    vectors = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    try:
+        for n in (4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors, 0.93).collect()}
+            assert want.sum() > 1000 and sum(got[i] != want[i] for i in range(3000)) <= 0.005 * want.sum()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)

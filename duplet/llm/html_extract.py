@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ RAW = frozenset("script style template noscript iframe object svg canvas textare
 #: An opening tag of the key closes an open one of these, unless one of the BOUNDS lies between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 BOUNDS = frozenset("ul ol dl table select".split())
+#: A parameter of the model: how many of the innermost block-level tags a block's path has.
+LEVELS = 32
 INLINE_ENDED_BY_BLOCK = frozenset("a abbr b cite code em font i mark q s small span strong sub sup time u".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -43,9 +46,11 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order: references decoded, white space in a block made one space, blank ones left out. Unclosed tags, cut tags and cut comments are taken as far as they go."""
+    """The leaf blocks of a page in order: references decoded, white space in a block made one space, blank ones left out. Unclosed tags, cut tags and cut comments are taken as far as they go, however deep: a path has the LEVELS innermost ones."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    outer: list[tuple[str, tuple[str, ...]]] = []  # those of the stack that shape blocks
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
 
@@ -54,16 +59,22 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(x for t, names in stack if t not in INLINE_ENDED_BY_BLOCK for x in (t, *names)), min(1.0, linked / len(text))))
+                out.append(Block(text, tuple(x for t, names in outer[-LEVELS:] for x in (t, *names)), min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        if any(t == "a" for t, _ in stack):
+        if opened["a"]:
             linked += len(text)
 
+    def close(i: int) -> None:
+        gone = [t for t, _ in stack[i:]]
+        opened.subtract(gone)
+        del stack[i:]
+        del outer[len(outer) - sum(t not in INLINE_ENDED_BY_BLOCK for t in gone) :]
+
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -79,10 +90,8 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
@@ -91,24 +100,23 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE_ENDED_BY_BLOCK:
-                    break
-            if tag in CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BOUNDS:
-                        break
+            if opened["p"]:
+                top = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] not in INLINE_ENDED_BY_BLOCK)
+                if stack[top][0] == "p":
+                    close(top)
+            if any(opened[t] for t in CLOSES.get(tag, ())):
+                ends = CLOSES[tag] | BOUNDS
+                top = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends)
+                if stack[top][0] in CLOSES[tag]:
+                    close(top)
         elif tag == "br":
             parts.append(" ")
         if tag not in VOID:
             names = tuple(w.lower() for a in _NAMES.finditer(m[3]) for w in _WORDS.findall(a[1] or a[2] or a[3] or "")) if m[3] else ()
             stack.append((tag, names))
+            if tag not in INLINE_ENDED_BY_BLOCK:
+                outer.append(stack[-1])
+            opened[tag] += 1
     flush()
     return out
 

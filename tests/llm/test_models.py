@@ -213,3 +213,11 @@ def test_segmentations_do_not_depend_on_what_is_held(monkeypatch):
     monkeypatch.setattr(sentencepiece_sampling, "run_hashes", lambda v, a, b, base: (b - a).astype(np.uint64))
     for t, r in zip(texts.to_pylist(), sentencepiece_sampling.segment(texts, keys, p, 3, 1), strict=True):
         assert all(sentencepiece_sampling.decode(x[0], p) == t for x in r)
+
+
+def test_deep_and_unclosed_tags_take_time_in_proportion():
+    n = 30_000
+    for page in ("<div>t" * n, "<b>" * n + "<hr>t" * n, "<div>" * n + "</x>t" * n, "<p><b>" * n + "<hr>t" * n, "<ul><li>" * n + "<li>t" * n):
+        found = html_extract.blocks(page)
+        assert found and max(len(b.path) for b in found) <= html_extract.LEVELS
+    assert [b.path[-1] for b in html_extract.blocks("<div>" * 100 + "<section>a</section>b")] == ["section", "div"]

@@ -21,19 +21,19 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 40, slack: float = 0
     """docs with size, text_crc32, shard and slot; sizes of shards are near equal, equal texts meet where room allows.
 
     Documents with equal texts are linked. All start in the shard of a hash of doc_id. What isn't placed can still leave,
-    so a shard's room is (1 + slack) of the mean less the bytes of the groups placed there. Large groups are placed first,
-    by size. In each round every group left asks for the shard with room for it that holds most of its bytes (ties: the
+    so a shard's room is (1 + slack) of the mean less the bytes placed there. Large groups and large single documents are
+    placed first, by size, the latter in the emptiest shard. In each round every group left asks for the shard with room for it that holds most of its bytes (ties: the
     higher shard), or by hash for any with room; a shard admits groups in an order by hash while room lasts, and those refused
     ask again, until a round places none. A group that fits nowhere stays divided. Then what isn't placed, unlinked documents
     and divided groups, moves from shards above the mean to those below. A shard's quota becomes a threshold on
     the hash through a histogram of BINS bins, so no task sees a whole shard. slot numbers a shard's documents from 0
     without gaps, counted within hash bins plus an offset for each bin.
-    Null text: size 8, its own group of nulls. Rows that repeat are told apart only by their slot. No rows: no rows.
+    Null text: size 8, checksum 0 (that of no bytes), its own group of nulls. Rows that repeat are told apart only by their slot. No rows: no rows.
     Other columns pass; any named like those added are replaced.
     """
     spark = docs.sparkSession
     base = docs.drop("size", "text_crc32", "shard", "slot", "law", "grown_shard")
-    sized = base.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).withColumn("text_crc32", crc32_text(F.col("text")))
+    sized = base.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).withColumn("text_crc32", F.coalesce(crc32_text(F.col("text")), F.lit(0)).cast("long"))
     group = F.coalesce(F.xxhash64("text", F.md5("text")), F.lit(0))
     rows = sized.select("doc_id", "size", "text_crc32", group.alias("g"))
     start = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed)), F.lit(shards)).cast("int")
@@ -41,17 +41,20 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 40, slack: float = 0
     every = stored(held.groupBy("g").agg(F.sum("bytes").alias("total"), F.sum("members").alias("members"), F.collect_list(F.struct("bytes", F.col("start").alias("shard"))).alias("held")), "groups")
     mean = (every.agg(F.sum("total").alias("n")).first().n or 0) / shards
     room = [mean * (1 + slack)] * shards
-    left = every.where(F.col("members") > 1).where(F.col("total") <= F.lit(room[0]))
     chosen: list[tuple[int, int]] = []
-    for r in left.where(F.col("total") >= F.lit(mean * LARGE)).orderBy(F.desc("total"), "g").collect():  # at most shards / LARGE
+    for r in every.where(F.col("total") >= F.lit(mean * LARGE)).orderBy(F.desc("total"), "g").collect():  # at most shards / LARGE
         fits = [s for s in range(shards) if room[s] >= r.total]
-        if fits:
+        if r.members == 1:  # nothing links it: to the emptiest shard, so that the rest can level out
+            best = max(range(shards), key=lambda s: (room[s], s))
+            room[best] -= r.total
+            chosen.append((r.g, best))
+        elif fits:
             bytes_in = {h.shard: h.bytes for h in r.held}
             best = max(fits, key=lambda s: (bytes_in.get(s, 0), room[s], s))
             room[best] -= r.total
             chosen.append((r.g, best))
     settled = stored(spark.createDataFrame(chosen, "g long, shard int"), "settled")
-    left = left.where(F.col("total") < F.lit(mean * LARGE))
+    left = every.where(F.col("members") > 1).where(F.col("total") < F.lit(mean * LARGE))
     for r in range(rounds):
         rooms = F.array(*[F.struct(F.lit(float(x)).alias("room"), F.lit(i).alias("shard")) for i, x in enumerate(room)])
         own = F.array_max(F.filter("held", lambda h: F.element_at(rooms, h["shard"] + 1)["room"] >= F.col("total")))["shard"]

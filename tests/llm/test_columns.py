@@ -169,3 +169,15 @@ def test_pipeline_keeps_columns_and_runs_whole(spark):
         out = stage(spark, docs, str(SF))
         assert out.columns == docs.columns
     assert corpus_pipeline.run(spark, str(SF)).count() > 0
+
+
+def test_shards_of_a_small_table_are_even(spark):
+    docs = spark.read.parquet(str(SF / "documents.parquet"))
+    rows = sharding.assign(docs, 24).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    sizes = [r.n for r in rows]
+    assert len(sizes) == 24 and max(sizes) <= 1.02 * sum(sizes) / 24 and min(sizes) >= 0.97 * sum(sizes) / 24
+
+
+def test_null_text_has_the_checksum_of_no_bytes(spark, edges):
+    got = {r.doc_id: (r.size, r.text_crc32) for r in sharding.assign(edges, 3).collect()}
+    assert got[1] == got[2] == (8, 0)

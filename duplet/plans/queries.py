@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duplet.functions.similarity import Matcher
-from duplet.functions.text import content_hash, dotted_path, escape_message, escape_property, file_stem, length_bound, percent, prose_tokens
+from duplet.functions.text import REFERENCE, content_hash, dotted_path, escape_message, escape_property, file_stem, is_import, length_bound, lines, percent, prose_tokens, reference_names
 from duplet.operators import blocks, classes, clones, delta, vocab
 from duplet.plans import prose
-from duplet.sources.registry import EXTENSIONS
+from duplet.sources.registry import EXTENSIONS, LANGUAGES, extension, registry
 
 #: Production parameters, those of the default configuration.
 SIMILARITY, NODES, OVERLAP, VOCABULARY, WORSENED = 0.85, 40, 0.55, 30, 0.05
@@ -317,3 +317,133 @@ def overlap_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT conv_id, turn, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'))::BIGINT AS n_tokens FROM conversations")
 def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(prose_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+# ---- filters, orders, caps and messages
+
+
+_HALVES = "halves AS (SELECT path, unnest([{'kind': 'whole', 's': 1, 'e': n}, {'kind': 'first', 's': 1, 'e': (n + 1) // 2}, {'kind': 'rest', 's': (n + 1) // 2, 'e': n}]) AS u FROM (SELECT path, len(string_split(text, chr(10))) AS n FROM base_files))"
+
+
+@query(f"WITH {_FILES}, {_HALVES} SELECT a.path AS path, a.u.kind AS a, b.u.kind AS b, (a.u.s <= b.u.s AND b.u.e <= a.u.e) OR (b.u.s <= a.u.s AND a.u.e <= b.u.e) AS nested FROM halves a JOIN halves b ON a.path = b.path AND a.u.kind < b.u.kind")
+def nested_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a document's whole and halves, by lines, hold one another; the halves share a line."""
+    n = F.size(F.split("text", "\n"))
+    unit = lambda kind, start, end: F.struct(F.lit(kind).alias("kind"), F.col("path").alias("file"), start.alias("start_line"), end.alias("end_line"))
+    middle = F.floor((n + 1) / 2).cast("int")
+    parts = prose.documents(spark, sf_dir).select("path", F.explode(F.array(unit("whole", F.lit(1), n), unit("first", F.lit(1), middle), unit("rest", middle, n))).alias("u"))
+    both = parts.withColumnRenamed("u", "x").join(parts.withColumnRenamed("u", "y"), "path").where("x.kind < y.kind")
+    return both.select("path", F.col("x.kind").alias("a"), F.col("y.kind").alias("b"), clones.nested(F.col("x"), F.col("y")).alias("nested"))
+
+
+_IMPORTS = r"""imports AS (SELECT path, line FROM (SELECT path, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM docs) WHERE regexp_extract(ltrim(line, ' '), '^[^\t\n\x0b\f\r ]*') IN ('import', 'from', 'require', 'use', 'include') OR contains(line, 'require(') OR contains(line, 'import('))"""
+
+
+@query(f"WITH {_FILES}, {_IMPORTS} SELECT path, count(*)::BIGINT AS n_lines FROM imports GROUP BY path")
+def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that read like imports: prose has them too, by their first word."""
+    line = prose.documents(spark, sf_dir).select("path", F.explode(lines(F.col("text"))).alias("line")).where(is_import(F.col("line")))
+    return line.groupBy("path").agg(F.count("*").alias("n_lines"))
+
+
+@query(rf"""WITH {_FILES}, {_IMPORTS}, tokens AS (SELECT path, unnest(regexp_extract_all(line, '[\p{{L}}\p{{N}}_./-]+')) AS token FROM imports),
+bare AS (SELECT path, regexp_replace(regexp_replace(token, '^(\.{{1,2}}/)+', ''), '^/+', '') AS name FROM tokens)
+SELECT path, name, count(*)::BIGINT AS n FROM (SELECT path, unnest(list_distinct([name, replace(name, '/', '.')])) AS name FROM bare WHERE NOT contains(name, '.')) GROUP BY path, name""")
+def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tokens without a dot on those lines may name."""
+    line = prose.documents(spark, sf_dir).select("path", F.explode(lines(F.col("text"))).alias("line")).where(is_import(F.col("line")))
+    token = line.select("path", F.explode(F.regexp_extract_all("line", F.lit(REFERENCE), F.lit(0))).alias("token"))
+    bare = F.regexp_replace(F.regexp_replace("token", r"^(\.{1,2}/)+", ""), "^/+", "")
+    return token.where(~F.contains(bare, F.lit("."))).select("path", F.explode(reference_names(F.col("token"), EXTENSIONS)).alias("name")).groupBy("path", "name").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FILES}, {_units('base')}, {_same_pairs('base')}, named AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, hash, string_split(b_file, '/'), b_start, b_end, string_split(a_file, '/'), a_start, a_end) AS place FROM base_clones) SELECT place::BIGINT AS place, a_file, b_file FROM named WHERE place <= 50")
+def clone_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty exact clones as reports list them: a top-k report."""
+    from pyspark.sql import Window
+
+    shown = clones.in_order(_same_clones(spark, sf_dir, "base")).limit(50)
+    place = F.row_number().over(Window.orderBy(F.col("similarity").desc(), "a.hash", F.split("b.file", "/"), "b.start_line", "b.end_line", F.split("a.file", "/"), "a.start_line", "a.end_line"))
+    return shown.select(place.cast("long").alias("place"), F.col("a.file").alias("a_file"), F.col("b.file").alias("b_file"))
+
+
+#: Importers of each document in place of code: its number by its last digit, so that some have none.
+_INBOUND = "inbound AS (SELECT path, (unit_ord % 3)::BIGINT AS inbound FROM base_files)"
+
+
+@query(f"WITH {_FILES}, {_vocab('base')}, {_INBOUND} SELECT v.a, v.b, x.inbound AS a_inbound_imports, y.inbound AS b_inbound_imports, x.inbound = 0 OR y.inbound = 0 AS zero_inbound FROM base_vocab v JOIN inbound x ON x.path = v.a JOIN inbound y ON y.path = v.b")
+def vocab_zero_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary pairs with their importers and whether a side has none."""
+    inbound = prose.documents(spark, sf_dir).select("path", (F.col("unit_ord") % 3).alias("inbound"))
+    found = vocab.find_vocab_pairs(vocab.vocabulary(prose.identifiers(spark, sf_dir)), inbound, OVERLAP, VOCABULARY)
+    return found.select("a", "b", "a_inbound_imports", "b_inbound_imports", "zero_inbound")
+
+
+@query(f"WITH {_FILES}, {_vocab('base')}, {_INBOUND}, ranked AS (SELECT v.a, v.b, row_number() OVER (ORDER BY x.inbound = 0 OR y.inbound = 0 DESC, overlap DESC, least(a, b), greatest(a, b)) AS detector, row_number() OVER (ORDER BY overlap DESC, least(a, b), greatest(a, b)) AS report FROM base_vocab v JOIN inbound x ON x.path = v.a JOIN inbound y ON y.path = v.b) SELECT 'detector' AS kind, a, b FROM ranked WHERE detector <= 20 UNION ALL SELECT 'report', a, b FROM ranked WHERE report <= 20")
+def vocab_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty vocabulary pairs as the detector ranks and as reports list them: top-k reports."""
+    inbound = prose.documents(spark, sf_dir).select("path", (F.col("unit_ord") % 3).alias("inbound"))
+    found = vocab.find_vocab_pairs(vocab.vocabulary(prose.identifiers(spark, sf_dir)), inbound, OVERLAP, VOCABULARY)
+    first = lambda kind, pairs: pairs.limit(20).select(F.lit(kind).alias("kind"), "a", "b")
+    return first("detector", vocab.detector_order(found)).union(first("report", vocab.in_order(found)))
+
+
+@query(_DELTA_BLOCKS + " SELECT least(count(*), 10)::BIGINT AS shown, greatest(0, count(*) - 10)::BIGINT AS withheld FROM fresh")
+def delta_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many new blocks a cap of ten shows and how many it withholds."""
+    shown, withheld = delta.truncate(blocks.in_order(_new_blocks(spark, sf_dir)), 10)
+    return shown.agg(F.count("*").alias("shown"), F.lit(withheld).cast("long").alias("withheld"))
+
+
+@query(f"WITH {_FILES}, {_vocab('base')} SELECT a, b, overlap FROM base_vocab WHERE overlap >= 0.7::DOUBLE AND overlap < 0.8::DOUBLE")
+def delta_refiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A head report at a threshold of 0.7 against a base report at 0.8: what the base knows is not new."""
+    found = vocab.find_vocab_pairs(vocab.vocabulary(prose.identifiers(spark, sf_dir)), None, 0.7, VOCABULARY)
+    return delta.vocab_changes(found, found.where("overlap >= 0.8"), WORSENED).select("a", "b", "overlap")
+
+
+@query(f"WITH {_FILES}, {_units('old')}, {_units('head')}, {_same_pairs('old')}, {_same_pairs('head')} SELECT 'same' AS against, count(*) = 0 AS is_empty FROM old_clones WHERE false UNION ALL SELECT 'head', count(*) = 0 FROM head_clones h WHERE NOT EXISTS (SELECT 1 FROM old_clones b WHERE b.hash = h.hash)")
+def delta_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delta of a snapshot with itself is empty; that of head with old is, if it has no new clones."""
+    old, head = _same_clones(spark, sf_dir, "old"), _same_clones(spark, sf_dir, "head")
+    rows = [("same", delta.new_clones(old, old, 1.0)), ("head", delta.new_clones(head, old, 1.0))]
+    nothing = spark.createDataFrame([], "x int")
+    return spark.createDataFrame([(k, delta.Delta(d, nothing, nothing, 0).is_empty()) for k, d in rows], "against string, is_empty boolean")
+
+
+_LANGUAGES = f"languages(language, extension) AS (VALUES {', '.join(f"('{x.name}', '{e}')" for x in LANGUAGES for e in x.extensions)})"
+
+
+@query(f"WITH {_LANGUAGES} SELECT language, count(*)::BIGINT AS extensions, min(extension) AS first FROM languages GROUP BY language")
+def language_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages as data, with the number of their file endings."""
+    return registry(spark).groupBy("language").agg(F.count("*").alias("extensions"), F.min("extension").alias("first"))
+
+
+@query(rf"WITH {_LANGUAGES} SELECT page_id, l.language FROM (SELECT page_id, lower(regexp_extract(url, '[^/]\.([^./]*)$', 1)) AS extension FROM pages) p LEFT JOIN languages l USING (extension)")
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language that the ending of a page's address routes it to, null for none."""
+    pages = prose.table(spark, sf_dir, "pages").select("page_id", extension(F.col("url")).alias("extension"))
+    return pages.join(F.broadcast(registry(spark)), "extension", "left").select("page_id", "language")
+
+
+_CLONE_NEWS = "fresh AS (SELECT * FROM head_clones h WHERE NOT EXISTS (SELECT 1 FROM old_clones b WHERE b.hash = h.hash))"
+
+
+@query(f"""WITH {_FILES}, {_units('old')}, {_units('head')}, {_same_pairs('old')}, {_same_pairs('head')}, {_CLONE_NEWS}, sides AS (SELECT a_file AS file, a_start AS line, b_qualname AS q, b_file AS other, b_start AS s, b_end AS e FROM fresh UNION ALL SELECT b_file, b_start, a_qualname, a_file, a_start, a_end FROM fresh)
+SELECT '::warning file=' || replace(replace(replace(file, '%', '%25'), ':', '%3A'), ',', '%2C') || ',line=' || line || '::' || replace('100% duplicate of `' || q || '` at ' || other || ':' || s || '-' || e, '%', '%25') AS command FROM sides""")
+def clone_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workflow command for each side of each new exact clone."""
+    found = delta.new_clones(_same_clones(spark, sf_dir, "head"), _same_clones(spark, sf_dir, "old"), 1.0)
+    sides = found.select("similarity", F.explode(F.array(F.struct(F.col("a").alias("on"), F.col("b").alias("other")), F.struct(F.col("b").alias("on"), F.col("a").alias("other")))).alias("s"))
+    text = F.concat(percent(F.col("similarity")), F.lit(" duplicate of `"), F.col("s.other.qualname"), F.lit("` at "), F.col("s.other.file"), F.lit(":"), F.col("s.other.start_line").cast("string"), F.lit("-"), F.col("s.other.end_line").cast("string"))
+    return sides.select(F.concat(F.lit("::warning file="), escape_property(F.col("s.on.file")), F.lit(",line="), F.col("s.on.start_line").cast("string"), F.lit("::"), escape_message(text)).alias("command"))
+
+
+@query(f"WITH {_FILES}, {_vocab('base')} SELECT a AS file, 'new vocabulary overlap with ' || b || ': ' || round_even(overlap * 100, 0)::BIGINT || '% (' || shared || ' shared identifiers)' AS message FROM base_vocab")
+def vocab_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of every pair, all being new against an empty base."""
+    found = vocab.find_vocab_pairs(vocab.vocabulary(prose.identifiers(spark, sf_dir)), None, OVERLAP, VOCABULARY)
+    news = delta.vocab_changes(found, found.limit(0), WORSENED)
+    text = F.concat(F.lit("new vocabulary overlap with "), F.col("b"), F.lit(": "), percent(F.col("overlap")), F.lit(" ("), F.col("shared").cast("string"), F.lit(" shared identifiers)"))
+    return news.select(F.col("a").alias("file"), text.alias("message"))

@@ -336,13 +336,13 @@ def nested_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("path", F.col("x.kind").alias("a"), F.col("y.kind").alias("b"), clones.nested(F.col("x"), F.col("y")).alias("nested"))
 
 
-_IMPORTS = r"""imports AS (SELECT path, line FROM (SELECT path, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM docs) WHERE regexp_extract(ltrim(line, ' '), '^[^\t\n\x0b\f\r ]*') IN ('import', 'from', 'require', 'use', 'include') OR contains(line, 'require(') OR contains(line, 'import('))"""
+_IMPORTS = r"""imports AS (SELECT path, line FROM (SELECT path, unnest(string_split(replace(lower(text), chr(13) || chr(10), chr(10)), chr(10))) AS line FROM docs) WHERE regexp_extract(ltrim(line, ' '), '^[^\t\n\x0b\f\r ]*') IN ('import', 'from', 'require', 'use', 'include') OR contains(line, 'require(') OR contains(line, 'import('))"""
 
 
 @query(f"WITH {_FILES}, {_IMPORTS} SELECT path, count(*)::BIGINT AS n_lines FROM imports GROUP BY path")
 def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document that read like imports: prose has them too, by their first word."""
-    line = prose.documents(spark, sf_dir).select("path", F.explode(lines(F.col("text"))).alias("line")).where(is_import(F.col("line")))
+    """Lines of each document, in lower case, that read like imports: prose has some too, by their first word."""
+    line = prose.documents(spark, sf_dir).select("path", F.explode(lines(F.lower("text"))).alias("line")).where(is_import(F.col("line")))
     return line.groupBy("path").agg(F.count("*").alias("n_lines"))
 
 
@@ -351,7 +351,7 @@ bare AS (SELECT path, regexp_replace(regexp_replace(token, '^(\.{{1,2}}/)+', '')
 SELECT path, name, count(*)::BIGINT AS n FROM (SELECT path, unnest(list_distinct([name, replace(name, '/', '.')])) AS name FROM bare WHERE NOT contains(name, '.')) GROUP BY path, name""")
 def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the tokens without a dot on those lines may name."""
-    line = prose.documents(spark, sf_dir).select("path", F.explode(lines(F.col("text"))).alias("line")).where(is_import(F.col("line")))
+    line = prose.documents(spark, sf_dir).select("path", F.explode(lines(F.lower("text"))).alias("line")).where(is_import(F.col("line")))
     token = line.select("path", F.explode(F.regexp_extract_all("line", F.lit(REFERENCE), F.lit(0))).alias("token"))
     bare = F.regexp_replace(F.regexp_replace("token", r"^(\.{1,2}/)+", ""), "^/+", "")
     return token.where(~F.contains(bare, F.lit("."))).select("path", F.explode(reference_names(F.col("token"), EXTENSIONS)).alias("name")).groupBy("path", "name").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from duplet.functions.similarity import ratio
 from duplet.functions.text import content_hash
-from duplet.operators import blocks, classes, clones, delta, vocab
+from duplet.operators import blocks, cells, classes, clones, delta, vocab
 
 
 def units_of(spark, rows):
@@ -156,3 +156,14 @@ def test_vocab_delta(spark):
 def test_truncate(spark):
     rows = spark.range(5).orderBy("id")
     assert [(d.count(), n) for d, n in (delta.truncate(rows, k) for k in (None, 0, 3, 9))] == [(5, 0), (0, 5), (3, 2), (5, 0)]
+
+
+def test_pairs_of_many_cells_equal_a_naive_count(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SEQUENCES", 3)  # a grid of four by four
+    rng = random.Random(9)
+    words = {f"s{i}": [rng.choice("abcde") for _ in range(rng.randrange(1, 12))] for i in range(12)}
+    sequences = spark.createDataFrame([(h, t, len(t)) for h, t in words.items()], "hash string, tokens array<string>, n_tokens int")
+    got = {(r.hash_a, r.hash_b): r.quick_ratio for r in clones.quick_ratios(sequences, 0.6).collect()}
+    bound = lambda a, b: 2.0 * sum(min(a.count(x), b.count(x)) for x in set(a)) / (len(a) + len(b))
+    want = {(x, y): bound(words[x], words[y]) for x in words for y in words if x < y and bound(words[x], words[y]) >= 0.6}
+    assert want and got == pytest.approx(want)

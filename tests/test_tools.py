@@ -8,7 +8,7 @@ from duplet import cli, render, report
 from duplet.config import Config, ConfigError
 from duplet.sources.git import GitError, Repo
 from duplet.sources.registry import LANGUAGES, for_path
-from duplet.sources.walk import WalkError, WalkOptions, discover, read_tree
+from duplet.sources.walk import WalkError, WalkOptions, _pattern, discover, read_tree
 from duplet.syntax.provider import LexicalProvider, PythonProvider, UnsupportedLanguage, provider
 
 TWINS = ["def {0}(rate, years, base):\n    result = base\n    for year in range(years):\n        result = result * (1 + rate)\n        if result > 1000:\n            result = result - 5\n    return result\n"]
@@ -146,3 +146,8 @@ def test_streaming_finds_copies_across_batches(spark, tmp_path):
         watch(spark, stream, str(tmp_path / "known"), str(tmp_path / "out"), str(tmp_path / "check"), min_tokens=1).awaitTermination()
         del n
     assert {(r.path, r.first) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("b", "a"), ("d", "c")}
+
+
+@pytest.mark.parametrize(("line", "path", "ignored"), [("/a?b", "a/b", False), ("/a?b", "axb", True), ("*.py", "d/x.py", True), ("a/**/b", "a/x/y/b", True), ("d/*.c", "d/e/f.c", False), ("x.c", "xzc", False), ("a*b*c", "a1b2c", True), ("a*b*c", "a/b2c", False), ("x[!a]y", "x/y", False)])
+def test_ignore_patterns_keep_to_a_component(line, path, ignored):
+    assert bool(_pattern(line)[0].match(path)) == ignored

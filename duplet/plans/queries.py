@@ -122,7 +122,8 @@ def exact_clone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("a").join(side("b"), "hash").where("a_parts < b_parts").drop("a_parts", "b_parts").withColumn("similarity", F.lit(1.0))
 
 
-_DISTINCT = f"WITH {_FILES}, {_units('base')}, s AS (SELECT hash, any_value(tokens) AS tokens, any_value(n_tokens) AS n FROM base_units GROUP BY hash), counts AS (SELECT hash, n, token, count(*) AS c FROM (SELECT hash, n, unnest(tokens) AS token FROM s) GROUP BY hash, n, token)"
+_SEQUENCES = "s AS (SELECT hash, any_value(tokens) AS tokens, any_value(n_tokens) AS n FROM base_units GROUP BY hash), counts AS (SELECT hash, n, token, count(*) AS c FROM (SELECT hash, n, unnest(tokens) AS token FROM s) GROUP BY hash, n, token)"
+_DISTINCT = f"WITH {_FILES}, {_units('base')}, {_SEQUENCES}"
 
 
 @query(_DISTINCT + f" SELECT a.hash AS hash_a, b.hash AS hash_b, 2.0::DOUBLE * sum(least(a.c, b.c))::DOUBLE / (any_value(a.n) + any_value(b.n)) AS quick_ratio FROM counts a JOIN counts b ON a.token = b.token AND a.hash < b.hash GROUP BY a.hash, b.hash HAVING 2.0::DOUBLE * sum(least(a.c, b.c))::DOUBLE / (any_value(a.n) + any_value(b.n)) >= {SIMILARITY}")
@@ -146,13 +147,48 @@ def length_bound_pair_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.agg(F.sum(n).alias("pairs"))
 
 
-@query()
+def _matched(directed: str) -> str:
+    """blocks (ha, hb, i, j, k) and ratios (ha, hb, similarity) of the pairs that `directed` selects as (ha, hb) from units and near pairs.
+
+    Runs of equal tokens are islands on diagonals. A region's block is its longest run, cut at the region's ends, ties to the
+    earliest; the regions left and right of it follow.
+    """
+    return f"""{_FILES}, {_units('base')}, {_SEQUENCES},
+near AS MATERIALIZED (SELECT a.hash AS x, b.hash AS y FROM counts a JOIN counts b ON a.token = b.token AND a.hash < b.hash GROUP BY a.hash, b.hash HAVING 2.0::DOUBLE * sum(least(a.c, b.c))::DOUBLE / (any_value(a.n) + any_value(b.n)) >= {SIMILARITY}),
+ways AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+firsts AS MATERIALIZED (SELECT hash, min(string_split(path, '/')) AS place, max(string_split(path, '/')) AS last_place, arg_min(unit_ord, string_split(path, '/')) AS first FROM base_units GROUP BY hash),
+directed AS MATERIALIZED ({directed}),
+places AS (SELECT hash, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS at FROM s),
+hits AS (SELECT ha, hb, p.at AS i, q.at AS j FROM directed JOIN places p ON p.hash = ha JOIN places q ON q.hash = hb AND q.token = p.token),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY ha, hb, i - j ORDER BY i) AS island FROM hits),
+runs AS MATERIALIZED (SELECT ha, hb, i, j, max(i) OVER (PARTITION BY ha, hb, i - j, island) - i + 1 AS run FROM islands),
+regions(ha, hb, i_from, i_to, j_from, j_to, best) AS (
+  SELECT ha, hb, 0::BIGINT, any_value(a.n), 0::BIGINT, any_value(b.n), max(struct_pack(k := run, i := -i, j := -j)) FROM runs JOIN s a ON a.hash = ha JOIN s b ON b.hash = hb GROUP BY ha, hb
+  UNION ALL
+  SELECT c.ha, c.hb, c.i_from, c.i_to, c.j_from, c.j_to, max(struct_pack(k := least(run, c.i_to - i, c.j_to - j), i := -i, j := -j))
+  FROM (SELECT ha, hb, i_from, -best.i AS i_to, j_from, -best.j AS j_to FROM regions UNION ALL SELECT ha, hb, best.k - best.i, i_to, best.k - best.j, j_to FROM regions) c
+  JOIN runs r ON r.ha = c.ha AND r.hb = c.hb AND r.i >= c.i_from AND r.i < c.i_to AND r.j >= c.j_from AND r.j < c.j_to
+  GROUP BY c.ha, c.hb, c.i_from, c.i_to, c.j_from, c.j_to),
+blocks AS (SELECT ha, hb, -best.i AS i, -best.j AS j, best.k AS k FROM regions),
+ratios AS (SELECT ha, hb, 2.0::DOUBLE * sum(k)::DOUBLE / (any_value(a.n) + any_value(b.n)) AS similarity FROM blocks JOIN s a ON a.hash = ha JOIN s b ON b.hash = hb GROUP BY ha, hb HAVING 2.0::DOUBLE * sum(k)::DOUBLE / (any_value(a.n) + any_value(b.n)) >= {SIMILARITY})"""
+
+
+#: Each pair once, from the sequence whose first unit comes first.
+_BY_FIRST = "SELECT x AS ha, y AS hb FROM ways JOIN firsts a ON a.hash = x JOIN firsts b ON b.hash = y WHERE a.place < b.place"
+#: In every direction in which two units come.
+_BY_UNITS = "SELECT x AS ha, y AS hb FROM ways JOIN firsts a ON a.hash = x JOIN firsts b ON b.hash = y WHERE a.place < b.last_place"
+
+
+@query(f"""WITH RECURSIVE {_matched(_BY_UNITS)}, {_same_pairs('base')}
+SELECT similarity, a_file, a_qualname, a_start, a_end, hash AS a_hash, b_file, b_qualname, b_start, b_end, hash AS b_hash FROM base_clones
+UNION ALL SELECT similarity, a.path, a.qualname, a.start_line, a.end_line, a.hash, b.path, b.qualname, b.start_line, b.end_line, b.hash
+FROM ratios JOIN base_units a ON a.hash = ha JOIN base_units b ON b.hash = hb WHERE string_split(a.path, '/') < string_split(b.path, '/')""")
 def clone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of units that reaches the exact ratio."""
     return _flat(clones.find_clones(prose.units(spark, sf_dir, min_nodes=NODES), SIMILARITY), ("qualname", "hash"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_matched(_BY_FIRST)} SELECT ha AS hash_a, hb AS hash_b, i::INTEGER AS at_a, j::INTEGER AS at_b, k::INTEGER AS size FROM blocks JOIN ratios USING (ha, hb)")
 def matching_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matching runs of each similar pair of distinct sequences."""
     import pyarrow as pa
@@ -181,7 +217,11 @@ def clone_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.classes(u.join(first, "hash").select(F.col("unit_ord").alias("a"), "b").where("a <> b"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_matched(_BY_FIRST)},
+linked AS (SELECT a.first AS a, b.first AS b FROM ratios JOIN firsts a ON a.hash = ha JOIN firsts b ON b.hash = hb UNION SELECT u.unit_ord, f.first FROM base_units u JOIN firsts f USING (hash) WHERE u.unit_ord <> f.first),
+same AS MATERIALIZED (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+walk(id, seen) AS (SELECT a, b FROM same UNION SELECT w.id, s.b FROM walk w JOIN same s ON w.seen = s.a)
+SELECT id, least(id, min(seen))::BIGINT AS class_id FROM walk GROUP BY id""")
 def near_clone_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all clone pairs over distinct sequences, by the smallest unit, with each unit's class."""
     u = prose.units(spark, sf_dir, min_nodes=NODES)

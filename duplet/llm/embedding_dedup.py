@@ -1,7 +1,8 @@
 """Embedding near-dedup by sorted projection passes.
 
 Each pass draws random hyperplanes, orders a label's vectors lexicographically by the signs of their projections, and
-compares each vector with the `window` before it. The number of passes follows each label's size and how crowded its vectors
+compares each vector with the `window` before it. What travels is each vector in 16 bits a component with the length of what that leaves out, which
+tells links for sure but for cosines next to the threshold; those pairs are verified on the vectors. The number of passes follows each label's size and how crowded its vectors
 are, as measured on a sample, so that the chance to miss a pair at the threshold stays under `miss`. Equal vectors go as one. Pairs verified in any pass are united. Within the
 components that result, links are then counted over all members, so a vector's number of links doesn't depend on the window.
 """
@@ -29,6 +30,8 @@ SAMPLE = 1024
 ROUND = 16
 #: Angles nearer than this to a bound are compared by cosine.
 MARGIN = 1e-7
+#: More than a cosine of two unit vectors loses by rounding in double precision.
+ROUNDING = 1e-12
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -36,6 +39,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of x as bytes: the step between values, the length of what rounding leaves out, 16 bits a component."""
+    step = np.abs(x).max(axis=1, keepdims=True) / 32767
+    whole = np.rint(x / step).astype(np.int16)
+    left = np.linalg.norm(x - whole * step, axis=1, keepdims=True)
+    data = np.concatenate([np.ascontiguousarray(v).view(np.uint8) for v in (step, left, whole)], axis=1)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(data.ravel())])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, lengths of what they leave out) of rows of one number of dimensions."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
+    part = lambda v, kind: np.ascontiguousarray(v).view(kind)
+    return part(data[:, 16:], np.int16) * part(data[:, :8], np.float64), part(data[:, 8:16], np.float64)[:, 0]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, x): distinct rows with a label, an id and a finite nonzero vector, as unit vectors in double precision."""
     x = F.transform("embedding", lambda v: v.cast("double"))
@@ -97,7 +118,8 @@ def _alike(rows: DataFrame) -> DataFrame:
 
 
 def _found(rows: DataFrame, keys: int, threshold: float, begin: int, end: int, window: int, seed: int) -> DataFrame:
-    """(a, b) of passes begin to end, which give that many keys, as far as a row's label has them: for each window, links that join what its verified pairs join."""
+    """(a, b, sure) of passes begin to end, which give that many keys, as far as a row's label has them: for each window, links
+    that join what its sure pairs join, and the pairs between what these leave apart whose cosine is too near the threshold to tell."""
 
     def project(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -106,31 +128,35 @@ def _found(rows: DataFrame, keys: int, threshold: float, begin: int, end: int, w
             for d in np.unique(sizes):
                 for p in range(begin, min(end, int(passes[sizes == d].max()))):
                     b = batch.filter(pa.array((sizes == d) & (passes > p)))
+                    if not len(b):
+                        continue
                     x = _matrix(b.column(2))
                     key = (int(d), p)
                     if key not in planes:
                         planes[key] = np.random.default_rng((seed, p, int(d))).standard_normal((int(d), BITS))
                     bits = (x @ planes[key] > 0).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), b.column(1), pa.array(np.full(len(x), d, np.int32)), pa.array(bits @ (1 << np.arange(BITS - 1, -1, -1))), b.column(0), b.column(2)], ["pass", "label", "dims", "key", "vec_id", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), b.column(1), pa.array(np.full(len(x), d, np.int32)), pa.array(bits @ (1 << np.arange(BITS - 1, -1, -1))), b.column(0), _packed(x)], ["pass", "label", "dims", "key", "vec_id", "x"])
 
     def compare(batches):
-        tail = None  # the last rows before this batch: (pass, label, dims), ids, vectors
+        tail = None  # the last rows before this batch: (pass, label, dims), ids, vectors, what they leave out
         for b in batches:
             group = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
-            a, z = [], []
+            a, z, sure = [], [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if lo == hi:
                     continue
                 name = tuple(group[lo].tolist())
-                ids, x = b.column(4)[lo:hi].to_numpy(zero_copy_only=False), _matrix(b.column(5)[lo:hi])
+                ids, (x, left) = b.column(4)[lo:hi].to_numpy(zero_copy_only=False), _unpacked(b.column(5)[lo:hi])
                 if tail is not None and tail[0] == name:
-                    ids, x = np.concatenate([tail[1], ids]), np.concatenate([tail[2], x])
+                    ids, x, left = (np.concatenate(v) for v in zip(tail[1:], (ids, x, left), strict=True))
                 for start in range(0, len(ids), window):
                     part = slice(max(0, start - window), start + window)
-                    near = x[part] @ x[part].T >= threshold
-                    place = np.arange(len(near))
-                    near &= np.abs(place[:, None] - place[None, :]) <= window
+                    cosine, e = x[part] @ x[part].T, left[part]
+                    error = e[:, None] + (1 + e[:, None]) * e[None, :] + ROUNDING
+                    place = np.arange(len(cosine))
+                    close = np.abs(place[:, None] - place[None, :]) <= window
+                    near = close & (cosine >= threshold + error)
                     root = place.copy()
                     while True:
                         lower = np.where(near, root[None, :], len(place)).min(axis=1)
@@ -139,16 +165,25 @@ def _found(rows: DataFrame, keys: int, threshold: float, begin: int, end: int, w
                             break
                         root = lower
                     far = np.flatnonzero(root != place)
-                    a.append(ids[part][root[far]])
-                    z.append(ids[part][far])
-                tail = (name, ids[-window:], x[-window:])
+                    one, other = np.nonzero(np.triu(close & ~near & (cosine >= threshold - error) & (root[:, None] != root[None, :]), 1))
+                    a += [ids[part][root[far]], ids[part][one]]
+                    z += [ids[part][far], ids[part][other]]
+                    sure += [np.ones(len(far), bool), np.zeros(len(one), bool)]
+                tail = (name, ids[-window:], x[-window:], left[-window:])
             join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([join(a), join(z)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([join(a), join(z), pa.array(np.concatenate(sure) if sure else np.zeros(0, bool))], ["a", "b", "sure"])
 
-    keyed = map_arrow(rows, project, "pass int, label int, dims int, key long, vec_id long, x array<double>")
+    keyed = map_arrow(rows, project, "pass int, label int, dims int, key long, vec_id long, x binary")
     parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys // (WINDOWS * window)))
     order = ["pass", "label", "dims", "key", "vec_id"]
-    return map_arrow(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order), compare, "a long, b long").where("a <> b").distinct()
+    return map_arrow(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order), compare, "a long, b long, sure boolean").where("a <> b").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs (a, b) that reach the threshold within a label."""
+    a, b = (rows.select(F.col("vec_id").alias(s), "label", F.size("x").alias("dims"), F.col("x").alias(f"x{s}")) for s in "ab")
+    cosine = F.aggregate(F.zip_with("xa", "xb", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "label", "dims"]).where(cosine >= threshold).select("a", "b")
 
 
 def _grouped(rows: DataFrame, keys: list[str], then: list[str], run, fields: str) -> DataFrame:
@@ -248,9 +283,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 1
     most = plan.agg(F.max("passes").alias("n")).first().n or 0
     one = one.join(F.broadcast(plan.drop("size")), ["label", "dims"]).select("vec_id", "label", "x", "passes")
     links = rows.where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
+    unsure = None
     for begin in range(0, most, ROUND):
         keys = plan.agg(F.sum(F.col("size") * F.greatest(F.lit(0), F.least("passes", F.lit(begin + ROUND)) - begin)).alias("n")).first().n
-        links = links.union(stored(_found(one, keys, threshold, begin, begin + ROUND, window, seed), "found"))
+        found = stored(_found(one, keys, threshold, begin, begin + ROUND, window, seed), "found")
+        links = links.union(found.where("sure").select("a", "b"))
+        unsure = found if unsure is None else unsure.union(found)
+    if unsure is not None:
+        links = links.union(_verified(unsure.where("not sure"), one, threshold))
     joined = components(links)
     rows = rows.drop("first", "dims")
     # a node belongs to one component; its label keeps vectors of other labels that share an id apart

@@ -202,3 +202,23 @@ def test_links_do_not_depend_on_the_number_of_partitions(spark):
             assert want.sum() > 1000 and sum(got[i] != want[i] for i in range(3000)) <= 0.005 * want.sum()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_sixteen_bits_decide_all_but_what_is_next_to_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((500, 48)) * rng.choice([0.01, 1.0, 30.0], (1, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    packed = embedding_dedup._packed(x)
+    back, left = embedding_dedup._unpacked(packed.slice(7, 400))
+    assert (np.abs(np.linalg.norm(back - x[7:407], axis=1) - left) < 1e-15).all() and left.max() < 1e-3
+    error = left[:, None] + (1 + left[:, None]) * left[None, :] + embedding_dedup.ROUNDING
+    assert (np.abs(back @ back.T - x[7:407] @ x[7:407].T) <= error).all()
+    # pairs at the threshold itself, within a few units of the last place above and below it
+    turn = np.eye(48)[1]
+    rows = [np.eye(48)[0]]
+    for c in (0.93 - 1e-9, 0.93 + 1e-9, 0.93 - 1e-6, 0.93 + 1e-6):
+        turn = np.roll(turn, 7)
+        rows.append(c * rows[0] + np.sqrt(1 - c * c) * turn)
+    frame = spark.createDataFrame([(i, 0, [float(v) for v in r]) for i, r in enumerate(rows)], "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame, 0.93).collect()}
+    assert got == {0: (2, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3), 4: (1, 0)}

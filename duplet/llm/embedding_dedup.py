@@ -58,14 +58,25 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, x): distinct rows with a label, an id and a finite nonzero vector, as unit vectors in double precision."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    fine = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    good = vectors.select("vec_id", "label", "embedding").where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine).select("vec_id", "label", x.alias("x"))
-    top = F.array_max(F.transform("x", F.abs))  # scaled first: squares of very large or small components stay finite
-    good = good.withColumn("top", top).where("top > 0").select("vec_id", "label", F.transform("x", lambda v: v / F.col("top")).alias("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    return good.withColumn("norm", norm).select("vec_id", "label", F.transform("x", lambda v: v / F.col("norm")).alias("x")).distinct()
+    """(vec_id, label, dims, x): distinct rows with a label, an id and a finite nonzero vector, as unit vectors in double precision."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes[sizes > 0]):
+                b = batch.filter(pa.array(sizes == d))
+                x = _matrix(b.column(2))  # a null component is not a number here
+                top = np.abs(x).max(axis=1, keepdims=True)
+                fine = np.isfinite(top[:, 0]) & (top[:, 0] > 0)
+                x = x[fine] / top[fine]  # scaled first: squares of very large or small components stay finite
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                kept = b.filter(pa.array(fine))
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(d))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(np.full(len(x), d, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["vec_id", "label", "dims", "x"])
+
+    asked = vectors.where("vec_id is not null and label is not null and embedding is not null")
+    asked = asked.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return map_arrow(asked, run, "vec_id long, label int, dims int, x array<double>").distinct()
 
 
 def passes_for(largest: int, threshold: float, window: int, miss: float) -> int:
@@ -276,8 +287,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 1
     links, component null, not kept. Vectors of different lengths are not compared. Rows that repeat whole count once;
     rows that share a vec_id are one node and share its links. No rows: no rows. Extra columns are left out.
     """
-    rows = stored(usable(vectors).select("vec_id", F.col("label").cast("int").alias("label"), "x"), "vectors")
-    rows = stored(_alike(rows.withColumn("dims", F.size("x"))), "firsts")
+    rows = stored(_alike(stored(usable(vectors), "vectors")), "firsts")
     one = rows.where("vec_id = first").select("vec_id", "label", "dims", "x")
     plan = _planned(one, threshold, window, miss)
     most = plan.agg(F.max("passes").alias("n")).first().n or 0

@@ -149,11 +149,11 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, whole):
 
 def test_embedding_edges(spark):
     nan = float("nan")
-    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [], 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [1.0, None], 1), (10, [1.0, 0.0, 0.0], 1), (2, [2.0, 0.0], 1), (None, [1.0, 0.0], 1)]
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [], 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [1.0, None], 1), (11, [float("inf"), 1.0], 1), (12, [-float("inf"), nan], 1), (10, [1.0, 0.0, 0.0], 1), (2, [2.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     frame = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, component long")
     got = [tuple(r) for r in embedding_dedup.near_duplicates(frame).collect()]
     assert (1, 1, 1, True) in got and got.count((2, 1, 1, False)) == 2 and (None, 0, None, False) in got
-    assert all((i, 0, i, True) in got for i in range(3, 11)) and len(got) == len(rows)
+    assert all((i, 0, i, True) in got for i in range(3, 13)) and len(got) == len(rows)
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 

@@ -18,7 +18,8 @@ LITERALS = ("NUM", "STR", "BOOL", "NIL", "LIT")
 
 @dataclass(frozen=True)
 class Language:
-    """unit_words: keywords that open a function; scope_words: those that open another named scope; truths, nils: words that are literals."""
+    """unit_words: keywords that open a function; scope_words: those that open another named scope; truths, nils: words that are
+    literals; closure: what tells a function without a name, an arrow after its parameters or what it begins with."""
 
     name: str
     extensions: tuple[str, ...]
@@ -30,6 +31,7 @@ class Language:
     line_comment: tuple[str, ...] = ("//",)
     block_comment: tuple[tuple[str, str], ...] = (("/*", "*/"),)
     quotes: str = "\"'"
+    closure: str = ""
     ends: bool = False  # blocks close with a word instead of a brace
 
 
@@ -42,17 +44,17 @@ _JS = "async await break case catch class const continue debugger default delete
 _JAVA = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var record"
 LANGUAGES = (
     Language("c", ("c", "h"), (), ("struct", "union", "enum"), nils=("NULL",), keywords=_words(_C)),
-    Language("cpp", ("cpp", "cc", "cxx", "hpp", "hh", "hxx"), (), ("struct", "union", "enum", "class", "namespace"), nils=("NULL", "nullptr"), keywords=_words(_C + " class namespace template typename public private protected virtual override new delete using try catch throw operator friend constexpr bool this")),
-    Language("csharp", ("cs",), (), ("class", "interface", "struct", "namespace"), nils=("null",), keywords=_words(_JAVA + " namespace using string decimal bool object foreach async await override virtual internal sealed readonly out ref params get set value where yield")),
+    Language("cpp", ("cpp", "cc", "cxx", "hpp", "hh", "hxx"), (), ("struct", "union", "enum", "class", "namespace"), nils=("NULL", "nullptr"), keywords=_words(_C + " class namespace template typename public private protected virtual override new delete using try catch throw operator friend constexpr bool this"), closure="["),
+    Language("csharp", ("cs",), (), ("class", "interface", "struct", "namespace"), nils=("null",), keywords=_words(_JAVA + " namespace using string decimal bool object foreach async await override virtual internal sealed readonly out ref params get set value where yield"), closure="=>"),
     Language("go", ("go",), ("func",), ("type",), nils=("nil",), keywords=_words("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"), quotes="\"'`"),
-    Language("java", ("java",), (), ("class", "interface", "enum"), nils=("null",), keywords=_words(_JAVA)),
-    Language("javascript", ("js", "mjs", "cjs", "jsx"), ("function",), ("class",), nils=("null", "undefined"), keywords=_words(_JS), quotes="\"'`"),
-    Language("php", ("php",), ("function", "fn"), ("class", "interface", "trait", "namespace", "enum"), nils=("null",), keywords=_words("abstract as break callable case catch class clone const continue declare default do echo else elseif extends final finally fn for foreach function global goto if implements include instanceof insteadof interface match namespace new print private protected public readonly require return static switch throw trait try use var while yield int string bool float array void php"), line_comment=("//", "#")),
+    Language("java", ("java",), (), ("class", "interface", "enum"), nils=("null",), keywords=_words(_JAVA), closure="->"),
+    Language("javascript", ("js", "mjs", "cjs", "jsx"), ("function",), ("class",), nils=("null", "undefined"), keywords=_words(_JS), quotes="\"'`", closure="=>"),
+    Language("php", ("php",), ("function", "fn"), ("class", "interface", "trait", "namespace", "enum"), nils=("null",), keywords=_words("abstract as break callable case catch class clone const continue declare default do echo else elseif extends final finally fn for foreach function global goto if implements include instanceof insteadof interface match namespace new print private protected public readonly require return static switch throw trait try use var while yield int string bool float array void php"), line_comment=("//", "#"), closure="fn"),
     Language("python", ("py", "pyi"), ("def",), ("class",), truths=("True", "False"), nils=("None",), line_comment=("#",), block_comment=()),
-    Language("ruby", ("rb",), ("def",), ("module", "class"), nils=("nil",), keywords=_words("alias begin break case class def defined? do else elsif end ensure for if module next redo rescue retry return self super then undef unless until when while yield"), line_comment=("#",), block_comment=(("=begin", "=end"),), ends=True),
-    Language("rust", ("rs",), ("fn",), ("struct", "trait", "impl", "mod"), keywords=_words("as async await break const continue crate dyn else enum extern fn for if impl let loop match mod move mut pub ref return self Self static struct super trait type unsafe use where while"), quotes='"'),
-    Language("tsx", ("tsx",), ("function",), ("class", "interface", "namespace"), nils=("null", "undefined"), keywords=_words(_JS + " interface type namespace enum implements declare readonly private public protected abstract as"), quotes="\"'`"),
-    Language("typescript", ("ts",), ("function",), ("class", "interface", "namespace"), nils=("null", "undefined"), keywords=_words(_JS + " interface type namespace enum implements declare readonly private public protected abstract as"), quotes="\"'`"),
+    Language("ruby", ("rb",), ("def",), ("module", "class"), nils=("nil",), keywords=_words("alias begin break case class def defined? do else elsif end ensure for if module next redo rescue retry return self super then undef unless until when while yield"), line_comment=("#",), block_comment=(("=begin", "=end"),), closure="->", ends=True),
+    Language("rust", ("rs",), ("fn",), ("struct", "trait", "impl", "mod"), keywords=_words("as async await break const continue crate dyn else enum extern fn for if impl let loop match mod move mut pub ref return self Self static struct super trait type unsafe use where while"), quotes='"', closure="|"),
+    Language("tsx", ("tsx",), ("function",), ("class", "interface", "namespace"), nils=("null", "undefined"), keywords=_words(_JS + " interface type namespace enum implements declare readonly private public protected abstract as"), quotes="\"'`", closure="=>"),
+    Language("typescript", ("ts",), ("function",), ("class", "interface", "namespace"), nils=("null", "undefined"), keywords=_words(_JS + " interface type namespace enum implements declare readonly private public protected abstract as"), quotes="\"'`", closure="=>"),
 )
 EXTENSIONS = sorted(e for lang in LANGUAGES for e in lang.extensions)
 

@@ -110,7 +110,10 @@ class PythonProvider:
 
 
 _NUMBER = r"0[xX][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?\w*"
-_SYMBOLS = sorted((o for o in OPERATORS if not o[0].isalpha()), key=len, reverse=True)
+#: The arrow and the separators are no operators; they only tell where functions and expressions end.
+_SYMBOLS = sorted([*(o for o in OPERATORS if not o[0].isalpha()), "->", ";", ","], key=len, reverse=True)
+#: Words that begin a statement: on a new line they end an expression that has no semicolon.
+_STATEMENTS = frozenset("break class const continue do export for function if import let return switch throw try var while".split())
 
 
 class LexicalProvider:
@@ -142,7 +145,7 @@ def _normal(kind: str, value: str, line: int) -> list[tuple[str, int]]:
         return [(value, line)]
     if kind == "close":
         return [(NODE_END, line)]
-    return [(value, line), (NODE_END, line)] if value not in (";", ",") else []
+    return [(value, line), (NODE_END, line)]
 
 
 def _lex(text: str, lang: Language, out: Extraction):
@@ -151,7 +154,8 @@ def _lex(text: str, lang: Language, out: Extraction):
     strings = [rf"{re.escape(q * 3)}.*?(?:{re.escape(q * 3)}|\Z)" for q in lang.quotes if lang.name == "python"] + [rf"{re.escape(q)}(?:\\.|[^\\{re.escape(q)}{'' if q == '`' else chr(10)}])*{re.escape(q)}" for q in lang.quotes]
     if lang.name == "rust":
         strings.append(r"'(?:\\.[^']*|[^\\'])'")
-    rule = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("c", "|".join(comments)), ("s", "|".join(strings)), ("n", _NUMBER), ("w", r"[^\W\d]\w*[?!]?" if lang.ends else r"[$@]*[^\W\d]\w*"), ("b", r"[(){}\[\]]"), ("o", "|".join(map(re.escape, _SYMBOLS))), ("g", r"\s+|."))), re.S)
+    word = r"[^\W\d]\w*[?!]?" if lang.ends else r"'?[^\W\d]\w*" if lang.name == "rust" else r"[$@]*[^\W\d]\w*"  # with Rust's lifetimes
+    rule = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("c", "|".join(comments)), ("s", "|".join(strings)), ("n", _NUMBER), ("w", word), ("b", r"[(){}\[\]]"), ("o", "|".join(map(re.escape, _SYMBOLS))), ("g", r"\s+|."))), re.S)
     line = 1
     open_brackets: list[str] = []
     for m in rule.finditer(text):
@@ -161,6 +165,7 @@ def _lex(text: str, lang: Language, out: Extraction):
         elif kind == "n":
             yield "literal", "NUM", line
         elif kind == "w":
+            value = value.lstrip("'")
             if value in lang.truths:
                 yield "literal", "BOOL", line
             elif value in lang.nils:
@@ -187,48 +192,112 @@ def _lex(text: str, lang: Language, out: Extraction):
     out.had_syntax_errors |= bool(open_brackets)
 
 
-def _braced(lexed: list, lang: Language, out: Extraction) -> list[tuple[str, int, int]]:
-    """(qualified name, first, last) of functions: a name and parentheses before a brace, or a function word, or an arrow."""
-    spans, stack, partner = [], [], {}
-    opens = []
+def _brackets(lexed: list) -> tuple[dict[int, int], dict[int, int]]:
+    """Where the partner of a closing bracket opens, and where that of an opening one closes."""
+    partner, opens = {}, []
     for i, (kind, _, _) in enumerate(lexed):
         if kind == "open":
             opens.append(i)
         elif kind == "close" and opens:
             partner[i] = opens.pop()
-    closing = {a: z for z, a in partner.items()}
+    return partner, {a: z for z, a in partner.items()}
+
+
+def _closures(lexed: list, lang: Language, partner: dict[int, int], closing: dict[int, int]) -> dict[int, tuple[int, int, str]]:
+    """First token of a function without a name -> (first of its body, last, name). A body is a block, or an expression that goes on to a separator or the end of its brackets."""
+    n = len(lexed)
+    scripts = lang.name in ("javascript", "typescript", "tsx")
+    at = lambda i: lexed[i][:2] if 0 <= i < n else ("", "")
+    ends = [n] * (n + 1)  # of the expression that goes on at a token
+    for i in range(n - 1, -1, -1):
+        kind, value, line = lexed[i]
+        stop = kind == "close" or value in (";", ",") or (scripts and kind == "word" and value in _STATEMENTS and i > 0 and lexed[i - 1][2] != line)
+        ends[i] = i if stop else ends[closing[i] + 1] if i in closing else ends[i + 1]
+
+    def before_block(i: int) -> int:
+        while at(i)[0] in ("name", "word") or at(i) in (("op", "->"), ("op", "<"), ("op", ">"), ("op", "&"), ("op", "*")):
+            i += 1
+        return i
+
+    found = {}
     for i, (kind, value, line) in enumerate(lexed):
+        begin, body, name = i, None, None
+        free = at(i - 1)[0] not in ("name", "literal", "close") and at(i - 1)[1] not in ("self", "Self", "await")  # not after an operand
+        if lang.closure in ("=>", "->") and kind == "op" and value == lang.closure:
+            last = i - 1
+            if scripts and at(last)[0] == "name" and at(last - 1) == ("close", ")"):
+                last -= 1  # what it returns
+            begin = partner.get(last, last)
+            if at(last) != ("close", ")") and at(last)[0] != "name" or at(begin - 1)[1] in ("case", "default"):
+                continue
+            body = i + 1
+            if lang.name == "csharp" and last != begin and at(begin - 1)[0] == "name":
+                begin, name = begin - 1, at(begin - 1)[1]  # a method that is one expression
+        elif lang.closure == "fn" and kind == "word" and value == "fn" and i + 1 in closing:
+            arrow = before_block(closing[i + 1] + 1)
+            body = arrow + 1 if at(arrow)[1] == "=>" else None
+        elif lang.closure == "[" and kind == "open" and value == "[" and i in closing and free and (at(i - 1)[0] != "word" or at(i - 1)[1] == "return"):
+            after = closing[i] + 1
+            after = before_block(closing[after] + 1) if at(after) == ("open", "(") and after in closing else after
+            body = after if at(after) == ("open", "{") else None
+        elif lang.closure == "|" and kind == "op" and value in ("|", "||") and free:
+            after = i
+            while value == "|" and (after == i or (after < n and lexed[after][1] != "|")):
+                after = closing.get(after, after) + 1
+            body = before_block(after + 1) if at(after + 1) == ("op", "->") else after + 1
+        if body is None or body >= n:
+            continue
+        last = closing[body] if at(body) == ("open", "{") and body in closing else ends[body] - 1
+        if last < body:
+            continue
+        if name is None:
+            given = begin - 2 if at(begin - 1)[1] in ("async", "move") else begin - 1
+            name = at(given - 1)[1] if scripts and at(given)[1] == "=" and at(given - 1)[0] == "name" else f"<anonymous@{lexed[begin][2]}>"
+        found[begin] = (body, last, name)
+    return found
+
+
+def _braced(lexed: list, lang: Language, out: Extraction) -> list[tuple[str, int, int]]:
+    """(qualified name, first, last) of functions: a name and parentheses before a brace, or a function word, or a closure."""
+    spans, stack = [], []
+    partner, closing = _brackets(lexed)
+    closures = _closures(lexed, lang, partner, closing)
+    bodies = {body for body, _, _ in closures.values()}
+    for i, (kind, value, _) in enumerate(lexed):
         while stack and stack[-1][1] < i:
             stack.pop()
-        if kind != "open" or value != "{" or i not in closing:
+        if i in closures:
+            _, last, name = closures[i]
+            spans.append((".".join([*(n for n, _ in stack), name]), i, last))
+            stack.append((name, last))
+        if kind != "open" or value != "{" or i not in closing or i in bodies:
             continue
         j = i - 1
         begin = i
-        depth_guard = 0
-        while j >= 0 and depth_guard < 200 and not (lexed[j][0] == "open" and lexed[j][1] == "{") and not (lexed[j][0] == "close" and lexed[j][1] == "}") and lexed[j][1] != ";":
+        while j >= 0 and not (lexed[j][0] == "open" and lexed[j][1] == "{") and not (lexed[j][0] == "close" and lexed[j][1] == "}") and lexed[j][1] != ";":
             j = partner[j] - 1 if j in partner else j - 1
-            depth_guard += 1
         head = range(j + 1, i)
         names = [x for x in head if lexed[x][0] == "name"]
         word = next((x for x in head if lexed[x][0] == "word" and lexed[x][1] in lang.unit_words), None)
         scope = next((x for x in head if lexed[x][0] == "word" and lexed[x][1] in lang.scope_words), None)
-        arrow = i > 0 and lexed[i - 1][1] == "=>"
-        call = next((x for x in head if lexed[x][0] == "open" and lexed[x][1] == "(" and x > 0 and lexed[x - 1][0] == "name"), None)
+        call = next((x for x in head if lexed[x][0] == "open" and lexed[x][1] == "(" and closing.get(x, i) < i and x > 0 and lexed[x - 1][0] == "name" and (x < 2 or lexed[x - 2][1] != "new")), None)
         control = any(lexed[x][0] == "word" and lexed[x][1] in ("if", "for", "while", "switch", "catch", "foreach", "match", "using", "synchronized", "else", "do", "try", "return") for x in head)
         begin = head[0] if len(head) else i
         name = None
         if word is not None and scope is None:
-            after = next((x for x in head if x > word and lexed[x][0] == "name"), None)
+            after = next((x for x in head if x > word and lexed[x][0] != "op"), None)
+            after = after if after is not None and lexed[after][0] == "name" else None
             begin = word
             if lang.name == "go":
                 after = next((x - 1 for x in head if x > word and lexed[x][1] == "(" and lexed[x - 1][0] == "name"), None)
-            name = lexed[after][1] if after is not None and (call is None or after < call or lang.name == "go") else f"<anonymous@{lexed[word][2]}>"
-        elif arrow:
-            opened = i - 2 if i >= 2 else i
-            begin = partner.get(opened, opened)
-            assigned = next((x for x in reversed(head) if x < begin and lexed[x][1] == "="), None)
-            name = lexed[assigned - 1][1] if assigned and lexed[assigned - 1][0] == "name" else f"<anonymous@{line}>"
+            name = lexed[after][1] if after is not None else f"<anonymous@{lexed[word][2]}>"
         elif scope is not None:
+            if lexed[scope][1] == "impl":  # after its own parameters; what it is for, if it is a trait's
+                angle, x = 0, scope + 1
+                while x < i and (angle or lexed[x][1] == "<"):
+                    angle += {"<": 1, ">": -1, ">>": -2, ">>>": -3}.get(lexed[x][1], 0)
+                    x += 1
+                scope = next((y for y in range(x, i) if lexed[y][1] == "for"), x - 1)
             following = [x for x in names if x > scope]
             if following:
                 stack.append((lexed[following[0]][1], closing[i]))
@@ -237,7 +306,7 @@ def _braced(lexed: list, lang: Language, out: Extraction) -> list[tuple[str, int
             name = lexed[call - 1][1]
         if name is None:
             continue
-        qualified = name if lang.name == "go" else ".".join([*(n for n, _ in stack), name])
+        qualified = ".".join([*(n for n, _ in stack), name])
         spans.append((qualified, begin, closing[i]))
         stack.append((name, closing[i]))
     return spans
@@ -247,20 +316,40 @@ def _worded(lexed: list) -> list[tuple[str, int, int]]:
     """Blocks that a word closes: def ... end and the like."""
     starts = {"def", "class", "module", "begin", "case", "do", "unless", "until", "while", "for", "if"}
     spans, stack = [], []
+    _, closing = _brackets(lexed)
+    looped = None  # the line of a loop whose `do` is to come
+    lambdas: dict[int, int] = {}  # first of a body -> its arrow
     for i, (kind, value, line) in enumerate(lexed):
-        if kind == "word" and value in starts:
-            first = i == 0 or lexed[i - 1][2] != line or lexed[i - 1][1] == "="
+        before = lexed[i - 1] if i else ("", "", 0)
+        if kind == "op" and value == "->":
+            j = closing.get(i + 1, i) + 1 if i + 1 < len(lexed) and lexed[i + 1][1] == "(" else i + 1
+            while j < len(lexed) and lexed[j][0] == "name" or j < len(lexed) and lexed[j][1] == ",":
+                j += 1
+            lambdas[j] = i
+        elif kind == "open" and value == "{" and i in closing and (i in lambdas or before[0] == "name" or before[1] == ")"):
+            anonymous = ".".join([*(n for w, n, _ in stack if w in ("def", "class", "module")), f"<anonymous@{line}>"])
+            spans.append((anonymous, i, closing[i]))
+            if i in lambdas:
+                spans.append((anonymous, lambdas[i], closing[i]))
+        elif kind == "word" and value in starts:
+            first = i == 0 or before[2] != line or before[1] in ("=", ";")
             if value in ("if", "unless", "while", "until") and not first:
                 continue  # a modifier
-            if value == "do" and any(lexed[j][1] in ("while", "until", "for") and lexed[j][2] == line for j in range(max(0, i - 20), i)):
+            if value in ("while", "until", "for"):
+                looped = line
+            if value == "do" and looped == line:
+                looped = None
                 continue
-            after = next((lexed[j][1] for j in range(i + 1, min(i + 6, len(lexed))) if lexed[j][0] == "name"), f"<anonymous@{line}>")
-            stack.append((value, after if value in ("def", "class", "module") else f"<anonymous@{line}>", i))
+            after = next((lexed[j][1] for j in range(i + 1, len(lexed)) if lexed[j][0] == "name" or lexed[j][2] != line), "")
+            named = value in ("def", "class", "module") and after
+            stack.append((value, after if named else f"<anonymous@{line}>", i))
         elif kind == "word" and value == "end" and stack:
-            word, name, at = stack.pop()
+            word, name, start = stack.pop()
             if word in ("def", "do"):
                 scope = [n for w, n, _ in stack if w in ("def", "class", "module")]
-                spans.append((".".join([*scope, name]), at, i))
+                spans.append((".".join([*scope, name]), start, i))
+                if start in lambdas:
+                    spans.append((".".join([*scope, name]), lambdas[start], i))
     return spans
 
 

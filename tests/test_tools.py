@@ -68,6 +68,37 @@ def test_units_have_qualified_names(language, code, names):
     assert [u.qualname for u in got.units] == names and not got.had_syntax_errors
 
 
+@pytest.mark.parametrize(
+    ("language", "code", "units"),
+    [
+        ("javascript", "const f = x => x + 1\nconst g = async (a, b) => {\n  return a;\n};\nfoo(y => y * 2, 3);", [("f", 1, 1), ("g", 2, 4), ("<anonymous@5>", 5, 5)]),
+        ("typescript", "const f = (a: number): number => a;\nlist.map(x => ({ y: x }));", [("f", 1, 1), ("<anonymous@2>", 2, 2)]),
+        ("java", "class A {\n  void f() {\n    run(x -> x + 1, y);\n    go((a, b) -> {\n      use(a);\n    });\n  }\n}", [("A.f", 2, 7), ("A.f.<anonymous@3>", 3, 3), ("A.f.<anonymous@4>", 4, 6)]),
+        ("java", "class A { Run f() { return new Run() { void go() { use(1); } }; } }", [("A.f", 1, 1), ("A.f.go", 1, 1)]),
+        ("javascript", "function* gen() { yield 1; }\nrun(function (a) { return a; });", [("gen", 1, 1), ("<anonymous@2>", 2, 2)]),
+        ("go", "func f() {\n  g := func(a int) int {\n    return a\n  }\n}", [("f", 1, 5), ("f.<anonymous@2>", 2, 4)]),
+        ("java", "class A { int f(int k) { return switch (k) { case 1 -> 2; default -> 3; }; } }", [("A.f", 1, 1)]),
+        ("csharp", "class A {\n  int Twice(int a) => a + a;\n  void F() {\n    Run(x => x + 1);\n  }\n}", [("A.Twice", 2, 2), ("A.F", 3, 5), ("A.F.<anonymous@4>", 4, 4)]),
+        ("cpp", "int f() {\n  auto g = [&](int a) -> int {\n    return a;\n  };\n  int x[2] = {p->a, y[0]};\n  return g(1);\n}", [("f", 1, 7), ("f.<anonymous@2>", 2, 4)]),
+        ("rust", "fn f(v: Vec<i32>) -> i32 {\n  let g = |a, b| a + b;\n  let h = move || {\n    1\n  };\n  if v.ok || self.x || w | 1 { 2 } else { 3 }\n}\nfn m(o: O) { match o { A => { 1 } } }", [("f", 1, 7), ("f.<anonymous@2>", 2, 2), ("f.<anonymous@3>", 3, 5), ("m", 8, 8)]),
+        ("rust", "impl<'a, T: Into<Vec<T>>> std::fmt::Display for Line<'a> { fn fmt(&self) { 'x'; } }\nimpl<'a> Page<'a> { fn of(s: &'static str) { 1 } }", [("Line.fmt", 1, 1), ("Page.of", 2, 2)]),
+        ("php", "<?php function f($a) {\n  return array_map(fn($x) => $x + 1, ['k' => $a->b]);\n}\n$g = function ($y) { return $y; };", [("f", 1, 3), ("f.<anonymous@2>", 2, 2), ("<anonymous@4>", 4, 4)]),
+        ("ruby", "def f(v)\n  v.map { |x| x + 1 }\n  h = { a: 1 }\n  while v do v.pop end\n  g = ->(a) {\n    a\n  }\nend\n", [("f", 1, 8), ("f.<anonymous@2>", 2, 2), ("f.<anonymous@5>", 5, 7), ("f.<anonymous@5>", 5, 7)]),
+        ("c", "int helper(int a);\nint main(void) { for (int i = 0; i < 3; i++) { helper(i); } return 0; }", [("main", 2, 2)]),
+    ],
+)
+def test_functions_without_names_are_units(language, code, units):
+    got = provider(language).extract(code, language, 1)
+    assert [(u.qualname, u.start_line, u.end_line) for u in got.units] == units and not got.had_syntax_errors
+
+
+def test_a_head_of_any_length_and_arrows_without_end():
+    words = "\n".join(f"  int a{i}[{i}]," for i in range(400))
+    assert [u.qualname for u in provider("java").extract(f"class K {{ void f(\n{words} int z) {{ return z; }} }}", "java", 1).units] == ["K.f"]
+    chain = provider("javascript").extract("x => " * 3000 + "1", "javascript", 1).units
+    assert len(chain) == 3000 and chain[0].tokens.count("=>") in (1, 3000)
+
+
 @pytest.mark.parametrize(("language", "code"), [("javascript", "function {0}({1}, b) {{ return {1} {2} b; }}"), ("go", "func {0}({1} int, b int) int {{ return {1} {2} b }}"), ("rust", "fn {0}({1}: i32, b: i32) -> i32 {{ {1} {2} b }}"), ("python", "def {0}({1}, b):\n    return {1} {2} b\n"), ("java", "class K {{ int {0}(int {1}, int b) {{ return {1} {2} b; }} }}")])
 def test_renaming_changes_nothing_and_an_operator_does(language, code):
     tokens = lambda *a: provider(language).extract(code.format(*a), language, 1).units[0].tokens

@@ -122,9 +122,10 @@ class LexicalProvider:
         if lang is None:
             raise UnsupportedLanguage(language)
         out = Extraction()
-        lexed = list(_lex(text, lang, out))
+        places: list[tuple[int, int]] = []
+        lexed = list(_lex(text, lang, out, places))
         out.identifiers = sorted({value for kind, value, _ in lexed if kind == "name"})
-        spans = _indented(text, lexed) if lang.name == "python" else _worded(lexed) if lang.ends else _braced(lexed, lang, out)
+        spans = _indented(text, lexed) if lang.name == "python" else _worded(lexed) if lang.ends else _braced(lexed, lang, text, places)
         out.tokens = [t for kind, value, line in lexed for t in _normal(kind, value, line)]
         for name, a, z in sorted(spans, key=lambda s: (lexed[s[1]][2], lexed[s[2]][2])):
             mine = [t for kind, value, line in lexed[a : z + 1] for t, _ in _normal(kind, value, line)]
@@ -148,8 +149,8 @@ def _normal(kind: str, value: str, line: int) -> list[tuple[str, int]]:
     return [(value, line), (NODE_END, line)]
 
 
-def _lex(text: str, lang: Language, out: Extraction):
-    """(kind, value, line): name, word (keyword), literal (its tag), op, open or close (bracket)."""
+def _lex(text: str, lang: Language, out: Extraction, places: list[tuple[int, int]]):
+    """(kind, value, line): name, word (keyword), literal (its tag), op, open or close (bracket). Adds each one's place in the text to places."""
     comments = [re.escape(a) + r".*?(?:" + re.escape(b) + r"|\Z)" for a, b in lang.block_comment] + [re.escape(x) + r"[^\n]*" for x in lang.line_comment]
     strings = [rf"{re.escape(q * 3)}.*?(?:{re.escape(q * 3)}|\Z)" for q in lang.quotes if lang.name == "python"] + [rf"{re.escape(q)}(?:\\.|[^\\{re.escape(q)}{'' if q == '`' else chr(10)}])*{re.escape(q)}" for q in lang.quotes]
     if lang.name == "rust":
@@ -160,6 +161,8 @@ def _lex(text: str, lang: Language, out: Extraction):
     open_brackets: list[str] = []
     for m in rule.finditer(text):
         kind, value = m.lastgroup, m[0]
+        if kind in "snwbo":
+            places.append(m.span())
         if kind == "s":
             yield "literal", "STR", line
         elif kind == "n":
@@ -257,7 +260,14 @@ def _closures(lexed: list, lang: Language, partner: dict[int, int], closing: dic
     return found
 
 
-def _braced(lexed: list, lang: Language, out: Extraction) -> list[tuple[str, int, int]]:
+def _declarator(text: str, begin: int, name: int, close: int, brace: int) -> str:
+    """What C and its kin declare in the head of a function: its name with qualifiers and pointers, its parameters and what follows them."""
+    before = re.search(r"(?:[*&]\s*)*(?:\w+(?:<[^<>]*>)?\s*::\s*)*~?$", text[begin:name])[0]
+    after = re.split(r"(?<!:):(?!:)", text[close:brace], maxsplit=1)[0]
+    return before + text[name:close] + after.rstrip()
+
+
+def _braced(lexed: list, lang: Language, text: str, places: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """(qualified name, first, last) of functions: a name and parentheses before a brace, or a function word, or a closure."""
     spans, stack = [], []
     partner, closing = _brackets(lexed)
@@ -273,14 +283,17 @@ def _braced(lexed: list, lang: Language, out: Extraction) -> list[tuple[str, int
         if kind != "open" or value != "{" or i not in closing or i in bodies:
             continue
         j = i - 1
-        begin = i
+        top: list[int] = []  # outside brackets, last first
         while j >= 0 and not (lexed[j][0] == "open" and lexed[j][1] == "{") and not (lexed[j][0] == "close" and lexed[j][1] == "}") and lexed[j][1] != ";":
+            top.append(j)
             j = partner[j] - 1 if j in partner else j - 1
         head = range(j + 1, i)
         names = [x for x in head if lexed[x][0] == "name"]
         word = next((x for x in head if lexed[x][0] == "word" and lexed[x][1] in lang.unit_words), None)
-        scope = next((x for x in head if lexed[x][0] == "word" and lexed[x][1] in lang.scope_words), None)
+        scope = next((x for x in reversed(top) if lexed[x][0] == "word" and lexed[x][1] in lang.scope_words), None)
         call = next((x for x in head if lexed[x][0] == "open" and lexed[x][1] == "(" and closing.get(x, i) < i and x > 0 and lexed[x - 1][0] == "name" and (x < 2 or lexed[x - 2][1] != "new")), None)
+        if call is not None and lang.name in ("c", "cpp"):
+            scope = None  # struct and the like belong to a type
         control = any(lexed[x][0] == "word" and lexed[x][1] in ("if", "for", "while", "switch", "catch", "foreach", "match", "using", "synchronized", "else", "do", "try", "return") for x in head)
         begin = head[0] if len(head) else i
         name = None
@@ -304,6 +317,8 @@ def _braced(lexed: list, lang: Language, out: Extraction) -> list[tuple[str, int
             continue
         elif call is not None and not control and not lang.unit_words or (call is not None and not control and lang.name in ("javascript", "typescript", "tsx")):
             name = lexed[call - 1][1]
+            if lang.name in ("c", "cpp"):
+                name = _declarator(text, places[head[0]][0], places[call - 1][0], places[closing[call]][1], places[i][0])
         if name is None:
             continue
         qualified = ".".join([*(n for n, _ in stack), name])

@@ -59,8 +59,10 @@ def test_bytes_that_are_not_text_fail(spark, tmp_path):
         ("ruby", "class Circle\n  def area\n    3 * @r\n  end\nend\ndef add(a)\n  a\nend\n", ["Circle.area", "add"]),
         ("php", "<?php class Circle { function area() { return 3; } }\nfunction add($a) { return $a; }", ["Circle.area", "add"]),
         ("csharp", "namespace N { class Circle { int Area() { return 3; } } }", ["N.Circle.Area"]),
-        ("cpp", "class Circle { int area() { return 3; } };\nint add(int a) { return a; }", ["Circle.area", "add"]),
-        ("c", "int square(int n) { return n * n; }", ["square"]),
+        ("cpp", "class Circle { int area() { return 3; } };\nint add(int a) { return a; }", ["Circle.area()", "add(int a)"]),
+        ("cpp", "class B { B(int a) : x(a) { y = 1; } int at(int i) const { return x; } };\nint* N::C<int>::go(int a) { return 0; }", ["B.B(int a)", "B.at(int i) const", "* N::C<int>::go(int a)"]),
+        ("c", "int outer() { int inner() { return 1; } return inner(); }\nchar *name(struct s *x) { return x->n; }\nstruct s make(void) { return 1; }", ["outer()", "outer().inner()", "*name(struct s *x)", "make(void)"]),
+        ("c", "int square(int n) { return n * n; }", ["square(int n)"]),
     ],
 )
 def test_units_have_qualified_names(language, code, names):
@@ -79,12 +81,12 @@ def test_units_have_qualified_names(language, code, names):
         ("go", "func f() {\n  g := func(a int) int {\n    return a\n  }\n}", [("f", 1, 5), ("f.<anonymous@2>", 2, 4)]),
         ("java", "class A { int f(int k) { return switch (k) { case 1 -> 2; default -> 3; }; } }", [("A.f", 1, 1)]),
         ("csharp", "class A {\n  int Twice(int a) => a + a;\n  void F() {\n    Run(x => x + 1);\n  }\n}", [("A.Twice", 2, 2), ("A.F", 3, 5), ("A.F.<anonymous@4>", 4, 4)]),
-        ("cpp", "int f() {\n  auto g = [&](int a) -> int {\n    return a;\n  };\n  int x[2] = {p->a, y[0]};\n  return g(1);\n}", [("f", 1, 7), ("f.<anonymous@2>", 2, 4)]),
+        ("cpp", "int f() {\n  auto g = [&](int a) -> int {\n    return a;\n  };\n  int x[2] = {p->a, y[0]};\n  return g(1);\n}", [("f()", 1, 7), ("f().<anonymous@2>", 2, 4)]),
         ("rust", "fn f(v: Vec<i32>) -> i32 {\n  let g = |a, b| a + b;\n  let h = move || {\n    1\n  };\n  if v.ok || self.x || w | 1 { 2 } else { 3 }\n}\nfn m(o: O) { match o { A => { 1 } } }", [("f", 1, 7), ("f.<anonymous@2>", 2, 2), ("f.<anonymous@3>", 3, 5), ("m", 8, 8)]),
         ("rust", "impl<'a, T: Into<Vec<T>>> std::fmt::Display for Line<'a> { fn fmt(&self) { 'x'; } }\nimpl<'a> Page<'a> { fn of(s: &'static str) { 1 } }", [("Line.fmt", 1, 1), ("Page.of", 2, 2)]),
         ("php", "<?php function f($a) {\n  return array_map(fn($x) => $x + 1, ['k' => $a->b]);\n}\n$g = function ($y) { return $y; };", [("f", 1, 3), ("f.<anonymous@2>", 2, 2), ("<anonymous@4>", 4, 4)]),
         ("ruby", "def f(v)\n  v.map { |x| x + 1 }\n  h = { a: 1 }\n  while v do v.pop end\n  g = ->(a) {\n    a\n  }\nend\n", [("f", 1, 8), ("f.<anonymous@2>", 2, 2), ("f.<anonymous@5>", 5, 7), ("f.<anonymous@5>", 5, 7)]),
-        ("c", "int helper(int a);\nint main(void) { for (int i = 0; i < 3; i++) { helper(i); } return 0; }", [("main", 2, 2)]),
+        ("c", "int helper(int a);\nint main(void) { for (int i = 0; i < 3; i++) { helper(i); } return 0; }", [("main(void)", 2, 2)]),
     ],
 )
 def test_functions_without_names_are_units(language, code, units):

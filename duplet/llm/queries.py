@@ -92,4 +92,65 @@ SELECT doc_id, size, r.source_size, r.target,
 FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": _OP3}
+_OP1 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), starts AS (
+  SELECT r, words, unnest(range(1, len(words) - 33)) AS pos FROM texts WHERE len(words) >= 35
+), windows AS (
+  SELECT r, pos, sha256(array_to_string(words[pos : pos + 34], ' ')) AS w FROM starts
+), covered AS (
+  SELECT DISTINCT r, unnest(range(pos, pos + 35)) AS i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), placed AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN covered USING (r, i) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+# smallest id reachable over links (a, b), both ways
+_REACHED = """both_ways AS MATERIALIZED (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), walk(id, seen) AS (
+  SELECT a, b FROM both_ways UNION SELECT w.id, l.b FROM walk w JOIN both_ways l ON w.seen = l.a
+), reached AS (
+  SELECT id, least(id, min(seen)) AS component FROM walk GROUP BY id
+)"""
+
+_OP4 = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[pos : pos + 2], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS pos FROM texts WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), met AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS MATERIALIZED (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)
+), {_REACHED}
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, t.doc_id)::BIGINT AS component_id, coalesce(component, t.doc_id) = t.doc_id AS kept
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN reached ON id = t.doc_id
+"""
+
+_OP6 = rf"""
+WITH RECURSIVE parts AS (
+  SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL
+), norms AS (
+  SELECT vec_id, count(*) AS dims, sqrt(sum(x * x)) AS norm FROM parts GROUP BY vec_id HAVING bool_and(coalesce(isfinite(x), false)) AND max(abs(x)) > 0
+), units AS MATERIALIZED (
+  SELECT vec_id, label, dims, i, x / norm AS x FROM parts JOIN norms USING (vec_id)
+), links AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM units p JOIN units q ON p.label = q.label AND p.dims = q.dims AND p.i = q.i AND p.vec_id < q.vec_id
+  GROUP BY p.vec_id, q.vec_id HAVING sum(p.x * q.x) >= 0.93
+), {_REACHED}, counted AS (
+  SELECT a, count(*) AS n FROM both_ways GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id)::BIGINT AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counted ON a = vec_id LEFT JOIN reached ON id = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_source_mixing": _OP3, "op4_minhash_dedup": _OP4, "op6_embedding_dedup": _OP6}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duplet.llm.common import components, map_arrow, stored
+from duplet.llm.common import components, discard, map_arrow, stored
 
 BITS = 63
 #: Components up to this many members are compared whole in one task; larger ones go by balls around pivots.
@@ -27,7 +27,7 @@ WINDOWS = 256
 PIVOTS = 32
 #: Vectors of a label on which its crowding is measured, and passes that are under way at once.
 SAMPLE = 1024
-ROUND = 16
+ROUND = 6
 #: Angles nearer than this to a bound are compared by cosine.
 MARGIN = 1e-7
 #: More than a cosine of two unit vectors loses by rounding in double precision.
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Those of pairs (a, b) that reach the threshold within a label."""
     a, b = (rows.select(F.col("vec_id").alias(s), "label", F.size("x").alias("dims"), F.col("x").alias(f"x{s}")) for s in "ab")
     cosine = F.aggregate(F.zip_with("xa", "xb", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "label", "dims"]).where(cosine >= threshold).select("a", "b")
+    return pairs.join(a, "a").join(b, ["b", "label", "dims"]).where(cosine >= threshold).select("a", "b")
 
 
 def _grouped(rows: DataFrame, keys: list[str], then: list[str], run, fields: str) -> DataFrame:
@@ -287,7 +287,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 1
     links, component null, not kept. Vectors of different lengths are not compared. Rows that repeat whole count once;
     rows that share a vec_id are one node and share its links. No rows: no rows. Extra columns are left out.
     """
-    rows = stored(_alike(stored(usable(vectors), "vectors")), "firsts")
+    fine = stored(usable(vectors), "vectors")
+    rows = stored(_alike(fine), "firsts")
+    discard(fine)
     one = rows.where("vec_id = first").select("vec_id", "label", "dims", "x")
     plan = _planned(one, threshold, window, miss)
     most = plan.agg(F.max("passes").alias("n")).first().n or 0
@@ -300,7 +302,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, window: int = 1
         links = links.union(found.where("sure").select("a", "b"))
         unsure = found if unsure is None else unsure.union(found)
     if unsure is not None:
-        links = links.union(_verified(unsure.where("not sure"), one, threshold))
+        pairs = stored(unsure.where("not sure").select("a", "b").distinct(), "unsure")  # its true size decides on the join
+        if not pairs.isEmpty():
+            links = links.union(_verified(pairs, one, threshold))
     joined = components(links)
     rows = rows.drop("first", "dims")
     # a node belongs to one component; its label keeps vectors of other labels that share an id apart

@@ -1,13 +1,20 @@
-"""Intermediate tables in the folder that all machines share."""
+"""Intermediate tables in the folder that all machines share, and Arrow batches that workers can hold."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Rows and bytes that one Arrow batch brings to a worker; a longer row goes alone.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 22
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df by way of the shared folder, so that what reads it twice doesn't compute it twice and a lost executor costs nothing. The table goes when the application ends."""
@@ -21,4 +28,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files of the finished job
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
+    """df.mapInArrow(run, fields) with batches of BATCH_ROWS and BATCH_BYTES at most. Workers give memory back when a task ends.
+
+    Frames are lazy, so the two settings of the session must hold until the caller acts: they are only ever lowered, and stay so.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+    def freed(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim is not None:
+            trim(0)
+
+    return df.mapInArrow(freed, fields)

@@ -9,16 +9,25 @@ and "head" has all documents and, as a second source, the benchmark's texts.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duplet.functions.text import content_hash, prose_lines, prose_tokens
+from duplet.functions.hashes import SEPARATOR
+from duplet.functions.text import TOKEN, content_hash, prose_lines, prose_tokens
+from duplet.operators.storage import map_arrow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """texts, dealt out evenly if the session has more cores than they have splits: small tables come as one."""
+    return texts.repartition("path") if texts.rdd.getNumPartitions() < texts.sparkSession.sparkContext.defaultParallelism else texts
+
+
 def _path(source, number):
     return F.concat(source, F.lit("/"), F.lpad(number.cast("string"), 8, "0"))
 
@@ -43,6 +52,32 @@ def files(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> DataFrame
     return tokens.withColumn("n_tokens", F.size("tokens")).repartition("path")
 
 
+def packed(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> DataFrame:
+    """blocks.packed(file_tokens()) of the base or the head, from one search of each text: for tokens and line ends."""
+    both = documents(spark, sf_dir)
+    both = spread(both.union(benchmark(spark, sf_dir)) if snapshot == "head" else both).where("path is not null")
+    found = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(rf"{TOKEN}|\n"), F.lit(0)), SEPARATOR)
+    numbers = rf"(?<![^{SEPARATOR}\n])[0-9]+(?![^{SEPARATOR}\n])"
+    marked = both.select(F.array_join(F.split("path", "/"), "\x00").alias("key"), "path", F.regexp_replace(found, numbers, "NUM").alias("marked"))
+
+    def run(batches):
+        for batch in batches:
+            tokens, lines = [], []
+            for x in batch.column(2).to_pylist():
+                each = [line.strip(SEPARATOR) for line in x.split("\n")]
+                tokens.append(SEPARATOR.join(filter(None, each)))
+                lines.append(np.repeat(np.arange(1, len(each) + 1, dtype=np.int32), [line.count(SEPARATOR) + 1 if line else 0 for line in each]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.string()), pa.array(lines, pa.list_(pa.int32()))], ["key", "path", "tokens", "lines"])
+
+    return map_arrow(marked, run, "key string, path string, tokens string, lines array<int>")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key) of the old snapshot's files, as packed() has them."""
+    old = documents(spark, sf_dir).select("path", "unit_ord").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("unit_ord")), "unit_ord", "left_semi")
+    return old.select(F.array_join(F.split("path", "/"), "\x00").alias("key"))
+
+
 def file_tokens(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> DataFrame:
     return files(spark, sf_dir, snapshot).withColumn("lines", prose_lines(F.col("text"))).select("path", "path_parts", "tokens", "lines")
 

@@ -167,3 +167,30 @@ def test_pairs_of_many_cells_equal_a_naive_count(spark, monkeypatch):
     bound = lambda a, b: 2.0 * sum(min(a.count(x), b.count(x)) for x in set(a)) / (len(a) + len(b))
     want = {(x, y): bound(words[x], words[y]) for x in words for y in words if x < y and bound(words[x], words[y]) >= 0.6}
     assert want and got == pytest.approx(want)
+
+
+def test_paths_that_occur_once_stay_where_they_are(spark):
+    tokens = {f"f{i}": [f"{i}w{j}" for j in range(400)] for i in range(4)}
+    tokens["g"] = ["x"] + tokens["f1"][100:140]
+    sequences = blocks.packed(files_of(spark, tokens))
+    found = blocks._paths(sequences, 30).collect()
+    assert {r.key for r in found} == {"f1", "g"} and sum(len(r.windows) // 8 for r in found) < 100
+    assert blocks_of(spark, tokens, 30) == {("f1", 101, "g", 2, 40)}
+
+
+@pytest.mark.parametrize("k", [1, 2, 7])
+def test_blocks_of_periodic_tokens_equal_a_naive_search(spark, k):
+    rng = random.Random(k)
+    tokens = {f"{i % 3}/f{i}": [x for _ in range(rng.randrange(12)) for x in rng.choice(("ab", "a", "abc", "cé"))] for i in range(9)} | {"none": []}
+    places = {}
+    for p in sorted(tokens, key=lambda p: p.split("/")):
+        for s in range(len(tokens[p]) - k + 1):
+            places.setdefault(tuple(tokens[p][s : s + k]), []).append((p, s))
+    want = set()
+    for (a, sa), *others in places.values():
+        for b, sb in others:
+            ta, tb = tokens[a], tokens[b]
+            if not (sa and sb and ta[sa - 1] == tb[sb - 1]):
+                n = next((i for i, (x, y) in enumerate(zip(ta[sa:], tb[sb:], strict=False)) if x != y), min(len(ta) - sa, len(tb) - sb))
+                want.add((a, sa + 1, b, sb + 1, n))
+    assert blocks_of(spark, tokens, k) == want

@@ -194,3 +194,13 @@ def test_blocks_of_periodic_tokens_equal_a_naive_search(spark, k):
                 n = next((i for i, (x, y) in enumerate(zip(ta[sa:], tb[sb:], strict=False)) if x != y), min(len(ta) - sa, len(tb) - sb))
                 want.add((a, sa + 1, b, sb + 1, n))
     assert blocks_of(spark, tokens, k) == want
+
+
+def test_blocks_among_known_files_are_left_out_as_by_the_delta(spark):
+    rng = random.Random(5)
+    tokens = {f"f{i}": [str(rng.randrange(3)) for _ in range(rng.randrange(40))] for i in range(8)}
+    old = {p: t for p, t in tokens.items() if p in ("f0", "f2", "f3", "f6")}
+    head, base = (blocks.find_blocks(files_of(spark, t), 4) for t in (tokens, old))
+    known = spark.createDataFrame([(p,) for p in old], "key string")
+    got = blocks.find_packed_blocks(blocks.packed(files_of(spark, tokens)), 4, known)
+    assert sorted(map(str, got.collect())) == sorted(map(str, delta.new_blocks(head, base).collect())) != []

@@ -17,7 +17,7 @@ REFERENCE = r"[\p{IsAlphabetic}\p{N}_./-]+"
 def prose_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; numbers become NUM. Null: none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda x: F.when(x.rlike("^[0-9]+$"), F.lit("NUM")).otherwise(x))
+    return F.transform(found, lambda x: F.when((x < ":") & x.rlike("^[0-9]+$"), F.lit("NUM")).otherwise(x))
 
 
 def prose_lines(text: Column) -> Column:

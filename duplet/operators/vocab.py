@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duplet.functions.hashes import SEPARATOR
 from duplet.functions.text import REFERENCE, dotted_path, file_stem, is_import, lines, overlap, reference_names
-from duplet.operators.cells import Cell, compared
-from duplet.operators.storage import stored
+from duplet.operators.storage import BATCH_ROWS, map_arrow, stored
 
 SAMPLE = 25
+#: Documents of a block, at most about.
+DOCUMENTS = 25_000
 
 
 def vocabulary(identifiers: DataFrame, noise: DataFrame | None = None) -> DataFrame:
@@ -32,52 +40,134 @@ def inbound_imports(files: DataFrame, extensions: list[str]) -> DataFrame:
     return files.select("path").join(counted, "path", "left").select("path", F.coalesce("inbound", F.lit(0)).alias("inbound"))
 
 
-def _overlapping(least: float):
-    """Of a cell's pairs (the smaller set left) those that reach the overlap: ids, number of shared names, and the first of them."""
+class _Index:
+    """Which of some sets of codes hold a code."""
+
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray):
+        self.count, size = len(bounds) - 1, np.diff(bounds)
+        flat = flat[bounds[0] : bounds[-1]]
+        order = np.argsort(flat, kind="stable")
+        self.of = np.repeat(np.arange(self.count, dtype=np.int32), size)[order]
+        self.first = np.searchsorted(flat[order], np.arange(int(flat.max(initial=0)) + 2))
+
+    def shared(self, x: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that share `need` codes with x, and how many they share.
+
+        Its rarest tell which: a set must have n - len(x) + need of any n of them. The others are counted if there are any such.
+        """
+        x = x[x < len(self.first) - 1]
+        least = max(1, min(need, math.ceil(0.3 * need)))
+        size = self.first[x + 1] - self.first[x]
+        order = np.argsort(size, kind="stable")
+        return self._counted(x[order], size[order], need, least)
+
+    def _counted(self, x: np.ndarray, size: np.ndarray, need: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        cut = len(x) - need + least
+        if cut <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        met = self._met(x[:cut], size[:cut])
+        if not (met >= least).any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        met += self._met(x[cut:], size[cut:])
+        found = np.flatnonzero(met >= need)
+        return found, met[found]
 
-    def run(cell: Cell):
-        shared = cell.shared()
-        sizes = cell.sequences.value_lengths().to_numpy()
-        near = np.flatnonzero(shared >= least * sizes[cell.left] - 1e-9)
-        common = []
-        for i in near.tolist():
-            a, b = (cell.sequences[int(x)].as_py() for x in (cell.left[i], cell.right[i]))
-            common.append(sorted(set(a).intersection(b))[:SAMPLE])
-        a, b = ([cell.ids[x] for x in side[near].tolist()] for side in (cell.left, cell.right))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(shared[near]), pa.array(common, pa.list_(pa.string()))], ["small", "large", "shared", "common"])
+    def _met(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size)
+        return np.bincount(self.of[np.repeat(self.first[x] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], minlength=self.count)
 
-    return run
+
+def _meeting(docs: DataFrame, least: float, sample: bool) -> DataFrame:
+    """(a, b, shared, n1, n2, common): the pairs of docs (path, path_parts, names, n) whose overlap reaches least > 0, a before b in file order.
+
+    Documents are dealt to blocks; a pair of blocks is compared by an index of one of them.
+    """
+    count = docs.count()
+    blocks = max(1, min(4, math.ceil(count / 500)), math.ceil(count / DOCUMENTS))
+    own = docs.select("path", F.array_join("path_parts", "\x00").alias("key"), F.array_join("names", SEPARATOR).alias("names"), F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
+    dealt = dealt.select(F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "path", "key", "names")
+
+    def cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, path, key = t.column("block").to_numpy(), t.column("path").to_pylist(), t.column("key").to_pylist()
+        lists = pc.split_pattern(t.column("names").cast(pa.large_string()).combine_chunks(), SEPARATOR)
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        size = lists.value_lengths().to_numpy()
+        bounds = np.append(0, np.cumsum(size))
+        coded = lists.flatten().dictionary_encode()
+        del lists
+        place = pc.sort_indices(coded.dictionary).to_numpy()
+        words = coded.dictionary.take(pa.array(place))
+        rank = np.empty(len(place), np.int32)
+        rank[place] = np.arange(len(place), dtype=np.int32)
+        codes = rank[coded.indices.to_numpy()]  # in the order of the names
+        del coded
+        sides = [(int(np.searchsorted(block, x)), int(np.searchsorted(block, x, "right"))) for x in np.unique(block)]
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        for x, y in ((0, 0),) if low == high else ((0, 1), (1, 0)) if len(sides) == 2 else ():
+            begin, end = sides[y]
+            index = _Index(codes, bounds[begin : end + 1])
+            out: list[tuple] = []
+            for i in range(*sides[x]):
+                mine = codes[bounds[i] : bounds[i + 1]]
+                for j, n in zip(*(v.tolist() for v in index.shared(mine, max(1, math.ceil(least * len(mine) - 1e-9)))), strict=True):
+                    j += begin
+                    if (size[i], key[i]) < (size[j], key[j]):
+                        first, last = (i, j) if key[i] < key[j] else (j, i)
+                        common = words.take(pa.array(np.intersect1d(mine, codes[bounds[j] : bounds[j + 1]])[:SAMPLE])).to_pylist() if sample else []
+                        out.append((path[first], path[last], n, int(size[first]), int(size[last]), common))
+                if len(out) >= BATCH_ROWS:
+                    yield as_batch(out)
+                    out = []
+            yield as_batch(out)
+
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "shared", "n1", "n2", "common"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        name = None
+        for batch in batches:
+            at = 0
+            for cell_name, group in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                n = len(list(group))
+                if cell_name != name and held:
+                    yield from cell(pa.Table.from_batches(held))
+                    held = []
+                name = cell_name
+                held.append(batch.slice(at, n))
+                at += n
+        if held:
+            yield from cell(pa.Table.from_batches(held))
+
+    at_once = lambda some: map_arrow(some.repartition("low", "high").sortWithinPartitions("low", "high", "block"), run, "a string, b string, shared long, n1 long, n2 long, common array<string>")
+    if blocks <= 4:
+        return stored(at_once(dealt), "met")
+    # one block with the others after it at a time, so that shuffle files of all cells never lie side by side
+    return reduce(DataFrame.union, [stored(at_once(dealt.where(F.col("low") == i)), "met") for i in range(blocks)])
 
 
 def find_vocab_pairs(vocab: DataFrame, inbound: DataFrame | None = None, min_overlap: float = 0.55, min_vocabulary: int = 30) -> DataFrame:
-    """Pairs of files whose vocabularies overlap: shared / size of the smaller >= min_overlap, both sizes >= min_vocabulary.
+    """overlapping() of the vocabularies (path, path_parts, name), names distinct."""
+    return overlapping(vocab.groupBy("path", "path_parts").agg(F.collect_list("name").alias("names")), inbound, min_overlap, min_vocabulary)
+
+
+def overlapping(docs: DataFrame, inbound: DataFrame | None = None, min_overlap: float = 0.55, min_vocabulary: int = 30, sample: bool = True) -> DataFrame:
+    """Pairs of files (path, path_parts, names) whose vocabularies overlap: shared / size of the smaller >= min_overlap, both sizes >= min_vocabulary.
 
-    For min_overlap > 0 the smaller side brings only its rarest n - ceil(t n) + 1 names, one of which the other must have;
-    shared names are counted for the pairs found that way, cell by cell. min_overlap = 0 asks for every pair and gets all.
+    min_overlap = 0 asks for every pair and gets all. sample: whether sample_shared is wanted; else it is empty.
     """
-    vocab = stored(vocab, "names")
-    sizes = vocab.groupBy("path", "path_parts").agg(F.count("*").cast("long").alias("n")).where((F.col("n") >= min_vocabulary) & (F.col("n") > 0))
-    named = vocab.join(sizes, ["path", "path_parts"])
-    order = F.struct("n", "path_parts")
+    docs = stored(docs.withColumn("n", F.size("names").cast("long")).where((F.col("n") >= min_vocabulary) & (F.col("n") > 0)), "names")
     if min_overlap > 0:
-        rarity = named.groupBy("name").agg(F.count("*").alias("df")).where("df > 1")
-        rare = named.join(rarity, "name").groupBy("path", "path_parts", "n").agg(F.sort_array(F.collect_list(F.struct("df", "name"))).alias("e"))
-        # names of one file only sort before all others, so what they take of the prefix meets nothing
-        keep = F.col("n") - F.ceil(F.lit(min_overlap) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("e"))
-        prefix = rare.select("path", "path_parts", "n", F.explode(F.slice("e", F.lit(1), F.greatest(F.lit(0), keep.cast("int")))["name"]).alias("name"))
-        x = prefix.select("name", F.col("path").alias("small"), order.alias("small_order"))
-        y = named.select("name", F.col("path").alias("large"), order.alias("large_order"))
-        met = x.join(y, "name").where("small_order < large_order").select("small", "large").distinct()
+        counted = _meeting(docs, min_overlap, sample)
     else:
-        x, y = sizes.select(F.col("path").alias("small"), order.alias("o1")), sizes.select(F.col("path").alias("large"), order.alias("o2"))
-        met = x.join(y, F.col("o1") < F.col("o2")).select("small", "large")
-    names = vocab.groupBy("path").agg(F.collect_list("name").alias("tokens")).withColumnRenamed("path", "id")
-    counted = compared(met.select(F.col("small").alias("a"), F.col("large").alias("b"), F.lit(0).alias("marks")), names, _overlapping(min_overlap), "small string, large string, shared long, common array<string>")
-    a, b = (sizes.select(F.col("path").alias(side), F.col("path_parts").alias(f"p{i}"), F.col("n").alias(f"n{i}")) for i, side in ((1, "small"), (2, "large")))
-    both = counted.join(a, "small").join(b, "large")
-    ahead = F.col("p1") < F.col("p2")
-    pick = lambda p, q, name: F.when(ahead, F.col(p)).otherwise(F.col(q)).alias(name)
-    found = both.select(pick("small", "large", "a"), pick("large", "small", "b"), overlap(F.col("shared"), F.col("n1"), F.col("n2")).alias("overlap"), "shared", pick("n1", "n2", "a_vocabulary"), pick("n2", "n1", "b_vocabulary"), F.col("common").alias("sample_shared")).where(F.col("overlap") >= min_overlap)
+        x, y = (docs.select(F.col("path").alias(s), F.col("path_parts").alias(f"p{i}"), F.col("names").alias(f"s{i}"), F.col("n").alias(f"n{i}")) for i, s in ((1, "a"), (2, "b")))
+        both = x.join(y, F.col("p1") < F.col("p2")).withColumn("common", F.array_sort(F.array_intersect("s1", "s2")))
+        counted = both.select("a", "b", F.size("common").cast("long").alias("shared"), "n1", "n2", F.slice("common", 1, SAMPLE).alias("common"))
+    found = counted.select("a", "b", overlap(F.col("shared"), F.col("n1"), F.col("n2")).alias("overlap"), "shared", F.col("n1").alias("a_vocabulary"), F.col("n2").alias("b_vocabulary"), F.col("common").alias("sample_shared")).where(F.col("overlap") >= min_overlap)
     if inbound is None:
         found = found.withColumn("a_inbound_imports", F.lit(0).cast("long")).withColumn("b_inbound_imports", F.lit(0).cast("long"))
     else:

@@ -42,12 +42,16 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(_path(F.lit("benchmark"), F.col("item_id")).alias("path"), F.lit("und").alias("language"), F.coalesce("text", F.lit("")).alias("text"), F.col("item_id").alias("unit_ord"))
 
 
-def files(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> DataFrame:
-    """(path, path_parts, language, text, unit_ord, tokens, n_tokens). Dealt out evenly: small tables come as one split."""
+def _texts(spark: SparkSession, sf_dir: str, snapshot: str) -> DataFrame:
     base = documents(spark, sf_dir)
     if snapshot == "old":
         base = base.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("unit_ord")), "unit_ord", "left_semi").select(*base.columns)
-    both = base.union(benchmark(spark, sf_dir)) if snapshot == "head" else base
+    return base.union(benchmark(spark, sf_dir)) if snapshot == "head" else base
+
+
+def files(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> DataFrame:
+    """(path, path_parts, language, text, unit_ord, tokens, n_tokens). Dealt out evenly: small tables come as one split."""
+    both = _texts(spark, sf_dir, snapshot)
     tokens = both.withColumn("path_parts", F.split("path", "/")).withColumn("tokens", prose_tokens(F.col("text")))
     return tokens.withColumn("n_tokens", F.size("tokens")).repartition("path")
 
@@ -86,6 +90,14 @@ def identifiers(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> Dat
     return files(spark, sf_dir, snapshot).select("path", "path_parts", "language", F.explode("tokens").alias("name"))
 
 
+def vocabularies(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> DataFrame:
+    """(path, path_parts, names): the distinct words of each file."""
+    own = spread(_texts(spark, sf_dir, snapshot)).where("path is not null").select("path", F.split("path", "/").alias("path_parts"), F.array_distinct(prose_tokens(F.col("text"))).alias("names"))
+    if own.groupBy("path").count().where("count > 1").isEmpty():
+        return own
+    return own.groupBy("path", "path_parts").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+
+
 def units(spark: SparkSession, sf_dir: str, snapshot: str = "base", min_nodes: int = 40) -> DataFrame:
     f = files(spark, sf_dir, snapshot).where(F.col("n_tokens") >= min_nodes)
     return f.select("unit_ord", "path", "path_parts", F.element_at("path_parts", -1).alias("qualname"), F.lit(1).cast("long").alias("start_line"), F.size(F.split("text", "\n")).cast("long").alias("end_line"), "n_tokens", "tokens", content_hash(F.col("tokens")).alias("hash"))

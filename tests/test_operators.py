@@ -204,3 +204,12 @@ def test_blocks_among_known_files_are_left_out_as_by_the_delta(spark):
     known = spark.createDataFrame([(p,) for p in old], "key string")
     got = blocks.find_packed_blocks(blocks.packed(files_of(spark, tokens)), 4, known)
     assert sorted(map(str, got.collect())) == sorted(map(str, delta.new_blocks(head, base).collect())) != []
+
+
+def test_vocab_pairs_across_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "DOCUMENTS", 6)
+    rng = random.Random(8)
+    sets = {f"{i % 4}/f{i}": set(rng.sample("abcdefghijklmnopqé", rng.randrange(3, 15))) for i in range(30)}
+    docs = spark.createDataFrame([(p, p.split("/"), sorted(s)) for p, s in sets.items()], "path string, path_parts array<string>, names array<string>")
+    want = {(a, b, len(sets[a] & sets[b]), tuple(sorted(sets[a] & sets[b]))) for a in sets for b in sets if a.split("/") < b.split("/") and len(sets[a] & sets[b]) >= 0.6 * min(len(sets[a]), len(sets[b]))}
+    assert want == {(r.a, r.b, r.shared, tuple(r.sample_shared)) for r in vocab.overlapping(docs, None, 0.6, 3).collect()}

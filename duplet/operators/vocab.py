@@ -20,6 +20,8 @@ from duplet.operators.storage import BATCH_ROWS, map_arrow, stored
 SAMPLE = 25
 #: Documents of a block, at most about.
 DOCUMENTS = 25_000
+#: Names of a cell that go by bits, and sets that are counted at once.
+COMMON, SETS = 512, 16
 
 
 def vocabulary(identifiers: DataFrame, noise: DataFrame | None = None) -> DataFrame:
@@ -41,59 +43,89 @@ def inbound_imports(files: DataFrame, extensions: list[str]) -> DataFrame:
 
 
 class _Index:
-    """Which of some sets of codes hold a code."""
+    """Some sets of codes, to count what others share with them: places in lists for rare codes, a bit a set for the most common ones."""
 
-    def __init__(self, flat: np.ndarray, bounds: np.ndarray):
-        self.count, size = len(bounds) - 1, np.diff(bounds)
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray, common: np.ndarray, n_common: int):
+        """flat[bounds[i] : bounds[i + 1]] is a set; common: of each code, its number among the n_common most common ones, or -1."""
+        self.count, self.common = len(bounds) - 1, common
         flat = flat[bounds[0] : bounds[-1]]
-        order = np.argsort(flat, kind="stable")
-        self.of = np.repeat(np.arange(self.count, dtype=np.int32), size)[order]
-        self.first = np.searchsorted(flat[order], np.arange(int(flat.max(initial=0)) + 2))
-
-    def shared(self, x: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sets that share `need` codes with x, and how many they share.
-
-        Its rarest tell which: a set must have n - len(x) + need of any n of them. The others are counted if there are any such.
-        """
-        x = x[x < len(self.first) - 1]
-        least = max(1, min(need, math.ceil(0.3 * need)))
-        size = self.first[x + 1] - self.first[x]
-        order = np.argsort(size, kind="stable")
-        return self._counted(x[order], size[order], need, least)
-
-    def _counted(self, x: np.ndarray, size: np.ndarray, need: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        cut = len(x) - need + least
-        if cut <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        met = self._met(x[:cut], size[:cut])
-        if not (met >= least).any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        met += self._met(x[cut:], size[cut:])
-        found = np.flatnonzero(met >= need)
-        return found, met[found]
-
-    def _met(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        self.bounds = bounds - bounds[0]
+        of = np.repeat(np.arange(self.count, dtype=np.int32), np.diff(bounds))
+        often = common[flat] >= 0
+        self.bits = _bits(of[often], common[flat[often]], self.count, n_common)
+        self.flat, of = np.where(often, np.int32(-1), flat), of[~often]
+        order = np.argsort(flat[~often], kind="stable")
+        self.of = of[order]
+        first = np.searchsorted(flat[~often][order], np.arange(len(common) + 1))
+        self.first, self.end, self.begun = first[:-1].copy(), first[1:], 0
+
+    def _begin(self, at: int) -> None:
+        """Leaves the sets before `at` out of the lists."""
+        gone = self.flat[self.bounds[self.begun] : self.bounds[at]]
+        np.add.at(self.first, gone[gone >= 0], 1)
+        self.begun = at
+
+    def shared(self, sets: list[np.ndarray], bits: np.ndarray, need: np.ndarray, after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of a few sets, the sets from after[i] on that share need[i] codes with it, and how many they share. after never falls, from call to call either."""
+        low = min(int(after[0]), self.count)
+        self._begin(low)
+        width = self.count - low
+        rare = [x[self.common[x] < 0] for x in sets]
+        codes = np.concatenate(rare)
+        size = self.end[codes] - self.first[codes]
         ends = np.cumsum(size)
-        return np.bincount(self.of[np.repeat(self.first[x] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], minlength=self.count)
+        places = self.of[np.repeat(self.first[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        each = np.repeat(np.arange(len(sets)), [len(x) for x in rare])
+        met = np.bincount(places + np.repeat(each * width - low, size), minlength=len(sets) * width).reshape(len(sets), width)
+        for i, mine in enumerate(bits):
+            skip = int(after[i]) - low
+            found, count = self._with_bits(met[i, skip:], mine, low + skip, int(need[i]))
+            yield found, count
+
+    def _with_bits(self, count: np.ndarray, mine: np.ndarray, at: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sets from `at` on that have `need` with the common codes in `mine`, rarest words of bits first; a set goes when those left can't suffice."""
+        sets = None
+        left = int(np.bitwise_count(mine).sum())
+        for w in range(len(mine) - 1, -1, -1):
+            if need > left and len(count):
+                open_ = np.flatnonzero(count >= need - left)
+                if len(open_) <= len(count) // 2:
+                    sets, count = open_ + at if sets is None else sets[open_], count[open_]
+            if mine[w]:
+                column = self.bits[w, at:] if sets is None else self.bits[w, sets]
+                count = count + np.bitwise_count(column & mine[w])
+                left -= int(np.bitwise_count(mine[w]))
+        found = np.flatnonzero(count >= need)
+        return found + at if sets is None else sets[found], count[found]
+
+
+def _bits(rows: np.ndarray, codes: np.ndarray, count: int, n_codes: int) -> np.ndarray:
+    """Words of 64 bits, word by row: those of each row's codes."""
+    out = np.zeros((count, 64 * math.ceil(n_codes / 64)), bool)
+    out[rows, codes] = True
+    return np.ascontiguousarray(np.packbits(out, axis=1, bitorder="little").view(np.uint64).T)
 
 
 def _meeting(docs: DataFrame, least: float, sample: bool) -> DataFrame:
     """(a, b, shared, n1, n2, common): the pairs of docs (path, path_parts, names, n) whose overlap reaches least > 0, a before b in file order.
 
-    Documents are dealt to blocks; a pair of blocks is compared by an index of one of them.
+    Documents are dealt to blocks; a pair of blocks is compared by an index of one of them, each set with those that come after it
+    by size. Where docs have a column `known`, pairs of two known ones are left out.
     """
     count = docs.count()
     blocks = max(1, min(4, math.ceil(count / 500)), math.ceil(count / DOCUMENTS))
-    own = docs.select("path", F.array_join("path_parts", "\x00").alias("key"), F.array_join("names", SEPARATOR).alias("names"), F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("block"))
+    known = F.col("known") if "known" in docs.columns else F.lit(False)
+    own = docs.select("path", F.array_join("path_parts", "\x00").alias("key"), F.array_join("names", SEPARATOR).alias("names"), known.alias("known"), F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("block"))
     dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
-    dealt = dealt.select(F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "path", "key", "names")
+    dealt = dealt.select(F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "path", "key", "names", "known")
 
     def cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        block, path, key = t.column("block").to_numpy(), t.column("path").to_pylist(), t.column("key").to_pylist()
+        block, path, known = t.column("block").to_numpy(), t.column("path").combine_chunks(), t.column("known").to_numpy()
         lists = pc.split_pattern(t.column("names").cast(pa.large_string()).combine_chunks(), SEPARATOR)
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         size = lists.value_lengths().to_numpy()
-        bounds = np.append(0, np.cumsum(size))
+        key = np.empty(len(t), np.int64)
+        key[pc.sort_indices(t.column("key")).to_numpy()] = np.arange(len(t))
         coded = lists.flatten().dictionary_encode()
         del lists
         place = pc.sort_indices(coded.dictionary).to_numpy()
@@ -102,31 +134,50 @@ def _meeting(docs: DataFrame, least: float, sample: bool) -> DataFrame:
         rank[place] = np.arange(len(place), dtype=np.int32)
         codes = rank[coded.indices.to_numpy()]  # in the order of the names
         del coded
+        # in each block by size, so that a set meets those after it
+        order = np.lexsort((key, size, block))
+        bounds = np.append(0, np.cumsum(size))
+        turn = np.append(0, np.cumsum(size[order]))
+        codes = codes[np.repeat(bounds[order] - turn[:-1], size[order]) + np.arange(len(codes))]
+        block, size, key, known, path, bounds = block[order], size[order], key[order], known[order], path.take(pa.array(order)), turn
+        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")[:COMMON]
+        common = np.full(len(words), -1, np.int32)
+        common[often] = np.arange(len(often), dtype=np.int32)
+        by_size = np.empty(len(size), np.int64)
+        by_size[np.lexsort((key, size))] = np.arange(len(size))
+        mine = common[codes]
+        bits = _bits(np.repeat(np.arange(len(size)), size)[mine >= 0], mine[mine >= 0], len(size), len(often))
+        del mine
+        def as_batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            i, j, n = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
+            swap = key[i] > key[j]
+            a, b = np.where(swap, j, i), np.where(swap, i, j)
+            texts = ([words.take(pa.array(np.intersect1d(codes[bounds[v] : bounds[v + 1]], codes[bounds[w] : bounds[w + 1]])[:SAMPLE])).to_pylist() for v, w in zip(a.tolist(), b.tolist(), strict=True)]) if sample else [[]] * len(a)
+            return pa.RecordBatch.from_arrays([path.take(pa.array(a)), path.take(pa.array(b)), *(pa.array(c.astype(np.int64)) for c in (n, size[a], size[b])), pa.array(texts, pa.list_(pa.string()))], ["a", "b", "shared", "n1", "n2", "common"])
+
         sides = [(int(np.searchsorted(block, x)), int(np.searchsorted(block, x, "right"))) for x in np.unique(block)]
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
         for x, y in ((0, 0),) if low == high else ((0, 1), (1, 0)) if len(sides) == 2 else ():
             begin, end = sides[y]
-            index = _Index(codes, bounds[begin : end + 1])
-            out: list[tuple] = []
-            for i in range(*sides[x]):
-                mine = codes[bounds[i] : bounds[i + 1]]
-                for j, n in zip(*(v.tolist() for v in index.shared(mine, max(1, math.ceil(least * len(mine) - 1e-9)))), strict=True):
-                    j += begin
-                    if (size[i], key[i]) < (size[j], key[j]):
-                        first, last = (i, j) if key[i] < key[j] else (j, i)
-                        common = words.take(pa.array(np.intersect1d(mine, codes[bounds[j] : bounds[j + 1]])[:SAMPLE])).to_pylist() if sample else []
-                        out.append((path[first], path[last], n, int(size[first]), int(size[last]), common))
-                if len(out) >= BATCH_ROWS:
+            index = _Index(codes, bounds[begin : end + 1], common, len(often))
+            after = np.searchsorted(by_size[begin:end], by_size[slice(*sides[x])], "right")
+            out: list[tuple[np.ndarray, ...]] = []
+            held = 0
+            for i in range(sides[x][0], sides[x][1], SETS):
+                some = np.arange(i, min(i + SETS, sides[x][1]))
+                need = np.maximum(1, np.ceil(least * size[some] - 1e-9).astype(np.int64))
+                for i, (j, n) in zip(some, index.shared([codes[bounds[v] : bounds[v + 1]] for v in some], bits[:, some].T, need, after[some - sides[x][0]]), strict=True):
+                    j = j + begin
+                    if known[i]:
+                        j, n = j[~known[j]], n[~known[j]]
+                    if len(j):
+                        out.append((np.full(len(j), i), j, n))
+                        held += len(j)
+                if held >= BATCH_ROWS:
                     yield as_batch(out)
-                    out = []
+                    out, held = [], 0
             yield as_batch(out)
 
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "shared", "n1", "n2", "common"])
-
     def run(batches):
         held: list[pa.RecordBatch] = []
         name = None
@@ -158,14 +209,15 @@ def find_vocab_pairs(vocab: DataFrame, inbound: DataFrame | None = None, min_ove
 def overlapping(docs: DataFrame, inbound: DataFrame | None = None, min_overlap: float = 0.55, min_vocabulary: int = 30, sample: bool = True) -> DataFrame:
     """Pairs of files (path, path_parts, names) whose vocabularies overlap: shared / size of the smaller >= min_overlap, both sizes >= min_vocabulary.
 
-    min_overlap = 0 asks for every pair and gets all. sample: whether sample_shared is wanted; else it is empty.
+    min_overlap = 0 asks for every pair and gets all. Where docs have a column `known`, pairs of two known ones are left out. sample: whether sample_shared is wanted; else it is empty.
     """
     docs = stored(docs.withColumn("n", F.size("names").cast("long")).where((F.col("n") >= min_vocabulary) & (F.col("n") > 0)), "names")
     if min_overlap > 0:
         counted = _meeting(docs, min_overlap, sample)
     else:
-        x, y = (docs.select(F.col("path").alias(s), F.col("path_parts").alias(f"p{i}"), F.col("names").alias(f"s{i}"), F.col("n").alias(f"n{i}")) for i, s in ((1, "a"), (2, "b")))
-        both = x.join(y, F.col("p1") < F.col("p2")).withColumn("common", F.array_sort(F.array_intersect("s1", "s2")))
+        known = F.col("known") if "known" in docs.columns else F.lit(False)
+        x, y = (docs.select(F.col("path").alias(s), F.col("path_parts").alias(f"p{i}"), F.col("names").alias(f"s{i}"), F.col("n").alias(f"n{i}"), known.alias(f"k{i}")) for i, s in ((1, "a"), (2, "b")))
+        both = x.join(y, (F.col("p1") < F.col("p2")) & ~(F.col("k1") & F.col("k2"))).withColumn("common", F.array_sort(F.array_intersect("s1", "s2")))
         counted = both.select("a", "b", F.size("common").cast("long").alias("shared"), "n1", "n2", F.slice("common", 1, SAMPLE).alias("common"))
     found = counted.select("a", "b", overlap(F.col("shared"), F.col("n1"), F.col("n2")).alias("overlap"), "shared", F.col("n1").alias("a_vocabulary"), F.col("n2").alias("b_vocabulary"), F.col("common").alias("sample_shared")).where(F.col("overlap") >= min_overlap)
     if inbound is None:

@@ -213,3 +213,16 @@ def test_vocab_pairs_across_blocks_equal_all_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(p, p.split("/"), sorted(s)) for p, s in sets.items()], "path string, path_parts array<string>, names array<string>")
     want = {(a, b, len(sets[a] & sets[b]), tuple(sorted(sets[a] & sets[b]))) for a in sets for b in sets if a.split("/") < b.split("/") and len(sets[a] & sets[b]) >= 0.6 * min(len(sets[a]), len(sets[b]))}
     assert want == {(r.a, r.b, r.shared, tuple(r.sample_shared)) for r in vocab.overlapping(docs, None, 0.6, 3).collect()}
+
+
+def test_pairs_beyond_the_bits_and_across_batches_equal_a_naive_count(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "COMMON", 70)  # two words of bits, with rare names beside them
+    monkeypatch.setattr(vocab, "SETS", 3)
+    rng = random.Random(11)
+    sets = {f"d{i}": sorted({f"w{int(200 * rng.random() ** 2)}" for _ in range(rng.randrange(5, 90))}) for i in range(40)}
+    known = {p for p in sets if rng.random() < 0.4}
+    docs = spark.createDataFrame([(p, [p], s, p in known) for p, s in sets.items()], "path string, path_parts array<string>, names array<string>, known boolean")
+    for least in (0.0, 0.3, 0.55):
+        want = {(a, b, len(set(x) & set(y))) for a, x in sets.items() for b, y in sets.items() if a < b and min(len(x), len(y)) >= 6 and len(set(x) & set(y)) >= least * min(len(x), len(y)) - 1e-9}
+        assert want == {(r.a, r.b, r.shared) for r in vocab.overlapping(docs.drop("known"), None, least, 6).collect()}
+        assert {w for w in want if not {w[0], w[1]} <= known} == {(r.a, r.b, r.shared) for r in vocab.overlapping(docs, None, least, 6).collect()}

@@ -98,6 +98,19 @@ def vocabularies(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> Da
     return own.groupBy("path", "path_parts").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
 
 
+def vocabularies_since(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """vocabularies() of the head with `known`: whether the old snapshot has the file, as it is. None if it has some of a path's texts and not others."""
+    old = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("unit_ord"), F.lit("base").alias("of")).distinct().withColumn("known", F.lit(True))
+    both = spread(documents(spark, sf_dir).withColumn("of", F.lit("base")).union(benchmark(spark, sf_dir).withColumn("of", F.lit("added")))).where("path is not null")
+    own = both.join(old, ["unit_ord", "of"], "left").select("path", F.split("path", "/").alias("path_parts"), F.array_distinct(prose_tokens(F.col("text"))).alias("names"), F.coalesce("known", F.lit(False)).alias("known"))
+    again = own.groupBy("path").agg(F.count("*").alias("count"), F.count_if("known").alias("known")).where("count > 1")
+    if again.isEmpty():
+        return own
+    if not again.where("known > 0 and known < count").isEmpty():
+        return None
+    return own.groupBy("path", "path_parts", "known").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+
+
 def units(spark: SparkSession, sf_dir: str, snapshot: str = "base", min_nodes: int = 40) -> DataFrame:
     f = files(spark, sf_dir, snapshot).where(F.col("n_tokens") >= min_nodes)
     return f.select("unit_ord", "path", "path_parts", F.element_at("path_parts", -1).alias("qualname"), F.lit(1).cast("long").alias("start_line"), F.size(F.split("text", "\n")).cast("long").alias("end_line"), "n_tokens", "tokens", content_hash(F.col("tokens")).alias("hash"))

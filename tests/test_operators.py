@@ -226,3 +226,24 @@ def test_pairs_beyond_the_bits_and_across_batches_equal_a_naive_count(spark, mon
         want = {(a, b, len(set(x) & set(y))) for a, x in sets.items() for b, y in sets.items() if a < b and min(len(x), len(y)) >= 6 and len(set(x) & set(y)) >= least * min(len(x), len(y)) - 1e-9}
         assert want == {(r.a, r.b, r.shared) for r in vocab.overlapping(docs.drop("known"), None, least, 6).collect()}
         assert {w for w in want if not {w[0], w[1]} <= known} == {(r.a, r.b, r.shared) for r in vocab.overlapping(docs, None, least, 6).collect()}
+
+
+def test_vocab_delta_counts_its_pairs_once(spark, tmp_path, monkeypatch):
+    from duplet.plans import queries
+
+    text = [" ".join(f"w{j}" for j in range(i, i + 40)) for i in range(6)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(text)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0,), (1,), (2,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    asked = []
+    real = vocab.overlapping
+    monkeypatch.setattr(vocab, "overlapping", lambda *a, **k: asked.append(1) or real(*a, **k))
+    rows = queries.delta_vocab(spark, str(tmp_path)).collect()
+    assert len(asked) == 1 and {r.change for r in rows} == {"new"}
+    names = ["benchmark/00000001", *(f"s/{i:08}" for i in range(6))]
+    old = set(names[1:4])
+    assert {(r.a, r.b) for r in rows} == {(a, b) for a in names for b in names if a < b and not {a, b} <= old}
+    # a path with one text in the old snapshot and one outside it takes both runs
+    spark.createDataFrame([(1, text[2], "en", "benchmark")], "doc_id long, text string, lang string, source string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.delta_vocab(spark, str(tmp_path)).collect()
+    assert len(asked) == 3 and ("benchmark/00000001", "s/00000000") not in {(r.a, r.b) for r in rows}

@@ -1,8 +1,8 @@
 """Exact comparison of candidate pairs of sequences, many at once.
 
-Pairs are dealt to the cells of a square grid, by hash of either end. A sequence goes once to each cell in which it has a pair,
-not once for each pair, and the grid grows with sequences and pairs, so that a cell holds about SEQUENCES of either side and
-PAIRS pairs, whatever their number.
+Pairs are dealt to the cells of a square grid, by the family of either end. A sequence goes once to each cell in which it has a
+pair, not once for each pair, and the grid grows with the sequences, so that a cell holds about SEQUENCES of either side; a family
+of more than FAMILY pairs is dealt to a grid of its own.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duplet.operators.storage import stored
+from duplet.functions.hashes import bit_map, has_bits
+from duplet.operators.storage import map_arrow, stored
 
-SEQUENCES, PAIRS = 1000, 100_000
+SEQUENCES, FAMILY = 1000, 10_000
 
 
 class Cell:
@@ -62,12 +63,32 @@ class Cell:
         return out
 
 
+def _dealt(pairs: DataFrame, n_ids: int) -> DataFrame:
+    """(row, column, a, b, marks): a cell of each pair. Ends are dealt by the least id that they have a pair with, so that a family of similar sequences meets in one cell; a large one has a grid of its own."""
+    leads = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("lead"))
+    leads = stored(leads, "leads")
+    for s in "ab":
+        pairs = pairs.join(leads.select(F.col("id").alias(s), F.col("lead").alias(f"lead_{s}")), s)
+    large = pairs.groupBy("lead_a", "lead_b").agg(F.ceil(F.sqrt(F.count("*") / F.lit(FAMILY))).alias("parts")).where("parts > 1")
+    grid = F.lit(max(1, math.ceil(n_ids / SEQUENCES)))
+    parts = F.coalesce("parts", F.lit(1))
+    at = lambda s: F.pmod(F.xxhash64(f"lead_{s}"), grid)
+    name = lambda s: F.when(parts > 1, F.xxhash64("lead_a", "lead_b", F.lit(s), F.pmod(F.xxhash64(s), parts))).otherwise(at(s))
+    return pairs.join(large, ["lead_a", "lead_b"], "left").select(name("a").alias("row"), name("b").alias("column"), "a", "b", "marks")
+
+
 def compared(pairs: DataFrame, sequences: DataFrame, run: Callable[[Cell], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
-    """run of every cell. pairs: (a, b, marks int, not null); sequences: (id, tokens), ids distinct."""
+    """run of every cell. pairs: (a, b, marks int, not null); sequences: (id, tokens); rows of one id are alike."""
     pairs = stored(pairs.select("a", "b", "marks"), "pairs")
-    grid = max(1, math.ceil(math.sqrt(pairs.count() / PAIRS)), math.ceil(sequences.count() / SEQUENCES))
-    row, column = (F.pmod(F.xxhash64(c), F.lit(grid)).cast("int") for c in "ab")
-    dealt = pairs.select(row.alias("row"), column.alias("column"), "a", "b", "marks")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    bits = bit_map(ids.select(F.xxhash64("id").alias("m")), "m")
+
+    def met(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has_bits(bits.value, batch.column(0).to_numpy()))).select([1, 2])
+
+    sequences = stored(map_arrow(sequences.select(F.xxhash64("id").alias("m"), "id", "tokens"), met, "id string, tokens array<string>").dropDuplicates(["id"]), "met")
+    dealt = stored(_dealt(pairs, ids.count()), "dealt")
     ends = dealt.select("row", "column", F.col("a").alias("id")).union(dealt.select("row", "column", F.col("b").alias("id"))).distinct()
     blank = lambda kind: F.lit(None).cast(kind)
     sides = ends.join(sequences, "id").select("row", "column", "id", blank("string").alias("other"), blank("int").alias("marks"), "tokens")
@@ -90,4 +111,4 @@ def compared(pairs: DataFrame, sequences: DataFrame, run: Callable[[Cell], Itera
         if held:
             yield from run(Cell(pa.Table.from_batches(held)))
 
-    return together.mapInArrow(stream, fields)
+    return map_arrow(together, stream, fields)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duplet.functions.similarity import Matcher
-from duplet.functions.text import length_bound
+from duplet.operators import prefixes
 from duplet.operators.cells import Cell, compared
 from duplet.operators.storage import stored
 
@@ -24,69 +24,72 @@ def streams(units: DataFrame) -> DataFrame:
     return units.groupBy("hash").agg(F.any_value("tokens").alias("tokens"), F.any_value("n_tokens").alias("n_tokens"), F.count("*").alias("units"), F.min(place).alias("first"), F.max(place).alias("last"))
 
 
-def elements(sequences: DataFrame) -> DataFrame:
-    """(hash, n_tokens, token, nth): a multiset of tokens as a set, its nth occurrence each."""
-    counted = sequences.select("hash", "n_tokens", F.explode("tokens").alias("token")).groupBy("hash", "n_tokens", "token").count()
-    return counted.select("hash", "n_tokens", "token", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"))
-
-
 def candidates(sequences: DataFrame, least: float) -> DataFrame:
-    """(hash_a, hash_b), hash_a < hash_b: pairs of distinct sequences that may reach a ratio of `least` > 0. Loses none.
+    """(hash_a, hash_b), hash_a < hash_b: pairs of distinct sequences (hash, tokens) that may reach a ratio of `least`, all of them for 0. Loses none.
 
-    The ratio is at most the Dice coefficient of the multisets. To reach t, a sequence of n tokens must share at least t n / (2 - t)
-    of them with the other, so the rarest n - that + 1 elements of each must meet. Rarest first keeps common tokens out of
-    the join; lengths are compared in it.
+    The ratio is at most the Dice coefficient of the multisets, of which prefixes.candidates() has what may reach it.
     """
-    items = elements(sequences)
-    rarity = items.groupBy("token", "nth").agg(F.count("*").alias("df")).where("df > 1")
-    need = F.ceil(F.lit(least) * F.col("n_tokens") / F.lit(2.0 - least) - 1e-9).cast("int")
-    ranked = items.join(rarity, ["token", "nth"], "left").groupBy("hash", "n_tokens").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token", "nth"))).alias("e"))
-    prefix = ranked.select("hash", "n_tokens", F.explode(F.slice("e", F.lit(1), F.greatest(F.lit(0), F.col("n_tokens").cast("int") - need + 1))).alias("e")).where("e.df > 1").select("hash", "n_tokens", "e.token", "e.nth")
-    a, b = (prefix.select("token", "nth", F.col("hash").alias(f"hash_{s}"), F.col("n_tokens").alias(f"n_{s}")) for s in "ab")
-    met = a.join(b, ["token", "nth"]).where((F.col("hash_a") < F.col("hash_b")) & (length_bound(F.col("n_a"), F.col("n_b")) >= least))
-    return met.select("hash_a", "hash_b").distinct()
+    if least > 0:
+        found = prefixes.candidates(sequences.select(F.col("hash").alias("id"), "tokens"), least)
+        return found.select(F.least("a", "b").alias("hash_a"), F.greatest("a", "b").alias("hash_b"))
+    ids = sequences.select("hash").distinct()
+    return ids.withColumnRenamed("hash", "hash_a").join(ids.withColumnRenamed("hash", "hash_b"), F.col("hash_a") < F.col("hash_b"))
+
+
+def _first(units: DataFrame) -> DataFrame:
+    """streams(units) without the tokens."""
+    return streams(units).select("hash", "first", "last")
 
 
-def similar_streams(sequences: DataFrame, least: float) -> DataFrame:
-    """(hash_a, hash_b, similarity) of distinct sequences; a is the one whose first unit comes first, as the ratio has a direction.
+def similar_streams(units: DataFrame, least: float) -> DataFrame:
+    """(hash_a, hash_b, similarity) of distinct sequences of units; a is the one whose first unit comes first, as the ratio has a direction.
 
     least = 0 asks for every pair by definition and compares all.
     """
-    sequences = stored(sequences, "sequences")
-    if least > 0:
-        pairs = candidates(sequences, least)
-    else:
-        pairs = sequences.select(F.col("hash").alias("hash_a")).join(sequences.select(F.col("hash").alias("hash_b")), F.col("hash_a") < F.col("hash_b"))
-    x, y = (sequences.select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
+    sequences = units = stored(units.select("hash", "tokens", "n_tokens", "path_parts", "start_line", "end_line", "unit_ord"), "sequences")
+    return _scored(_by_first(candidates(sequences, least), units), sequences, least)
+
+
+def similar_blocks(units: DataFrame, least: float) -> DataFrame:
+    """(hash_a, hash_b, at_a, at_b, size): the matching runs of each pair that similar_streams() has."""
+    sequences = units = stored(units.select("hash", "tokens", "n_tokens", "path_parts", "start_line", "end_line", "unit_ord"), "sequences")
+    return _scored(_by_first(candidates(sequences, least), units), sequences, least, runs=True)
+
+
+def _by_first(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    x, y = (_first(units).select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
     turn = F.col("first_b") < F.col("first_a")
-    both = pairs.join(x, "hash_a").join(y, "hash_b").select("hash_a", "hash_b", F.when(turn, F.lit(BACK)).otherwise(F.lit(FORTH)).alias("marks"))
-    return _scored(both, sequences, least)
+    return pairs.join(x, "hash_a").join(y, "hash_b").select("hash_a", "hash_b", F.when(turn, F.lit(BACK)).otherwise(F.lit(FORTH)).alias("marks"))
 
 
-def _scored(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """(hash_a, hash_b, similarity) of pairs (hash_a, hash_b, marks) that reach least, in the directions that marks ask for: FORTH, BACK or both. The multiset bound goes first, once for both."""
+def _scored(pairs: DataFrame, sequences: DataFrame, least: float, runs: bool = False) -> DataFrame:
+    """(hash_a, hash_b, similarity), or with runs similar_blocks(), of pairs (hash_a, hash_b, marks) that reach least, in the directions that marks ask for: FORTH, BACK or both. The multiset bound goes first, once for both."""
+    names = ["hash_a", "hash_b", "at_a", "at_b", "size"] if runs else ["hash_a", "hash_b", "similarity"]
+    kinds = [pa.string(), pa.string(), *([pa.int32()] * 3 if runs else [pa.float64()])]
 
     def run(cell: Cell):
         lengths = cell.sequences.value_lengths().to_numpy()
         total = lengths[cell.left] + lengths[cell.right]
         near = np.flatnonzero(2.0 * cell.shared() >= least * total - 1e-9)
         asked = sorted([(int(b), int(a)) for i in near.tolist() for a, b, way in ((cell.left[i], cell.right[i], FORTH), (cell.right[i], cell.left[i], BACK)) if cell.marks[i] & way])
-        rows: list[tuple[str, str, float]] = []
+        rows: list[tuple] = []
         for b, group in groupby(asked, key=lambda x: x[0]):
             matcher = Matcher(cell.sequences[b].as_py())
             for _, a in group:
-                if (r := matcher.ratio(cell.sequences[a].as_py())) >= least:
-                    rows.append((cell.ids[a], cell.ids[b], r))
-        a, b, r = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(r, pa.float64())], ["hash_a", "hash_b", "similarity"])
+                mine = cell.sequences[a].as_py()
+                if (r := matcher.ratio(mine)) >= least:
+                    rows += [(cell.ids[a], cell.ids[b], *m) for m in matcher.matching_blocks(mine)] if runs else [(cell.ids[a], cell.ids[b], r)]
+        cols = list(zip(*rows, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     named = pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"), "marks")
-    return compared(named, sequences.select(F.col("hash").alias("id"), "tokens"), run, "hash_a string, hash_b string, similarity double")
+    fields = "hash_a string, hash_b string, " + ("at_a int, at_b int, size int" if runs else "similarity double")
+    return compared(named, sequences.select(F.col("hash").alias("id"), "tokens"), run, fields)
 
 
 def quick_ratios(sequences: DataFrame, least: float) -> DataFrame:
-    """(hash_a, hash_b, quick_ratio) of the pairs of distinct sequences whose multiset bound reaches least > 0."""
-    sequences = stored(sequences, "sequences")
+    """(hash_a, hash_b, quick_ratio) of the pairs of distinct sequences (hash, tokens) whose multiset bound reaches least > 0."""
+    sequences = stored(sequences.select("hash", "tokens"), "sequences")
     pairs = candidates(sequences, least)
 
     def run(cell: Cell):
@@ -116,23 +119,19 @@ def find_clones(units: DataFrame, min_similarity: float = 0.85) -> DataFrame:
     Equal sequences need no comparison. Sequences that differ are compared once each way that their units come in.
     Every pair of copies is a row, as in a report; for copies in bulk use streams() with similar_streams().
     """
+    units = stored(units.select(*(c for c in units.columns if c != "text")), "units") if min_similarity < 1 else units
     known = units.withColumnRenamed("path", "file")
     order = F.struct("path_parts", "start_line", "end_line", "unit_ord")
     row = known.select("hash", F.struct(*UNIT_REF, order.alias("order")).alias("u"))
-    sequences = streams(units)
     same = row.select("hash", F.col("u").alias("a")).join(row.select("hash", F.col("u").alias("b")), "hash").where(F.col("a.order") < F.col("b.order")).select(F.lit(1.0).alias("similarity"), "a", "b")
     same = same.where(F.lit(1.0 >= min_similarity)).where(~nested(F.col("a"), F.col("b"))).select("similarity", unit_ref("a"), unit_ref("b"))
     if min_similarity >= 1:  # sequences that differ never reach it
         return same
-    sequences = stored(sequences, "sequences")
-    if min_similarity > 0:
-        near = candidates(sequences, min_similarity)
-    else:
-        near = sequences.select(F.col("hash").alias("hash_a")).join(sequences.select(F.col("hash").alias("hash_b")), F.col("hash_a") < F.col("hash_b"))
-    sides = [sequences.select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")) for s in "ab"]
+    near = candidates(units, min_similarity)
+    sides = [_first(units).select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")) for s in "ab"]
     # a direction counts only if some unit of a comes before some unit of b
     marks = F.when(F.col("first_a") < F.col("last_b"), F.lit(FORTH)).otherwise(F.lit(0)) + F.when(F.col("first_b") < F.col("last_a"), F.lit(BACK)).otherwise(F.lit(0))
-    scored = _scored(near.join(sides[0], "hash_a").join(sides[1], "hash_b").select("hash_a", "hash_b", marks.alias("marks")), sequences, min_similarity)
+    scored = _scored(near.join(sides[0], "hash_a").join(sides[1], "hash_b").select("hash_a", "hash_b", marks.alias("marks")), units, min_similarity)
     left = row.select(F.col("hash").alias("hash_a"), F.col("u").alias("a"))
     right = row.select(F.col("hash").alias("hash_b"), F.col("u").alias("b"))
     other = scored.join(left, "hash_a").join(right, "hash_b").where(F.col("a.order") < F.col("b.order")).select("similarity", "a", "b")

@@ -112,5 +112,6 @@ def vocabularies_since(spark: SparkSession, sf_dir: str) -> DataFrame | None:
 
 
 def units(spark: SparkSession, sf_dir: str, snapshot: str = "base", min_nodes: int = 40) -> DataFrame:
-    f = files(spark, sf_dir, snapshot).where(F.col("n_tokens") >= min_nodes)
+    both = spread(_texts(spark, sf_dir, snapshot)).withColumn("path_parts", F.split("path", "/")).withColumn("tokens", prose_tokens(F.col("text")))
+    f = both.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= min_nodes)
     return f.select("unit_ord", "path", "path_parts", F.element_at("path_parts", -1).alias("qualname"), F.lit(1).cast("long").alias("start_line"), F.size(F.split("text", "\n")).cast("long").alias("end_line"), "n_tokens", "tokens", content_hash(F.col("tokens")).alias("hash"))

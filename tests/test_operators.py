@@ -1,11 +1,12 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from duplet.functions.similarity import ratio
 from duplet.functions.text import content_hash
-from duplet.operators import blocks, cells, classes, clones, delta, vocab
+from duplet.operators import blocks, cells, classes, clones, delta, prefixes, vocab
 
 
 def units_of(spark, rows):
@@ -247,3 +248,22 @@ def test_vocab_delta_counts_its_pairs_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, text[2], "en", "benchmark")], "doc_id long, text string, lang string, source string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
     rows = queries.delta_vocab(spark, str(tmp_path)).collect()
     assert len(asked) == 3 and ("benchmark/00000001", "s/00000000") not in {(r.a, r.b) for r in rows}
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.85])
+def test_only_near_pairs_are_candidates_and_none_is_lost(spark, monkeypatch, least):
+    monkeypatch.setattr(prefixes, "SEQUENCES", 25)  # bands in parts
+    monkeypatch.setattr(cells, "FAMILY", 4)
+    rng = random.Random(3)
+    word = lambda: f"w{int(400 * rng.random() ** 3)}"
+    made = [[word() for _ in range(rng.randrange(20, 200))] for _ in range(60)]
+    made += [[x if rng.random() > 0.2 * rng.random() else word() for x in t][: rng.randrange(15, 210)] for t in made for _ in range(2)]
+    made += [t[::-1] for t in made[:9]]
+    words = {f"s{i:03}": t for i, t in enumerate(made)}
+    sequences = spark.createDataFrame([*words.items(), *list(words.items())[::7]], "hash string, tokens array<string>")  # some twice
+    bag = {h: Counter(t) for h, t in words.items()}
+    bound = lambda a, b: 2.0 * sum((bag[a] & bag[b]).values()) / (len(words[a]) + len(words[b]))
+    want = {(x, y): q for x in words for y in words if x < y and (q := bound(x, y)) >= least}
+    found = [(r.hash_a, r.hash_b) for r in clones.candidates(sequences, least).collect()]
+    assert len(found) == len(set(found)) and set(want) <= set(found) and (least < 0.8 or len(found) < 3 * len(want) + 60)
+    assert {(r.hash_a, r.hash_b): r.quick_ratio for r in clones.quick_ratios(sequences, least).collect()} == pytest.approx(want)

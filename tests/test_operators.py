@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duplet.functions.similarity import ratio
 from duplet.functions.text import content_hash
-from duplet.operators import blocks, cells, classes, clones, delta, prefixes, vocab
+from duplet.operators import blocks, cells, classes, clones, delta, prefixes, storage, vocab
 
 
 def units_of(spark, rows):
@@ -267,3 +267,8 @@ def test_only_near_pairs_are_candidates_and_none_is_lost(spark, monkeypatch, lea
     found = [(r.hash_a, r.hash_b) for r in clones.candidates(sequences, least).collect()]
     assert len(found) == len(set(found)) and set(want) <= set(found) and (least < 0.8 or len(found) < 3 * len(want) + 60)
     assert {(r.hash_a, r.hash_b): r.quick_ratio for r in clones.quick_ratios(sequences, least).collect()} == pytest.approx(want)
+
+
+def test_stored_tables_are_packed_tightly(spark):
+    files = storage.stored(spark.range(5), "numbers").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)

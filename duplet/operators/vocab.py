@@ -22,6 +22,10 @@ SAMPLE = 25
 DOCUMENTS = 25_000
 #: Names of a cell that go by bits, and sets that are counted at once.
 COMMON, SETS = 512, 16
+#: Sets whose names are put in order at once.
+SLICE = 1000
+#: One in so many names of a set, and one, must be met among its rarest before it is counted in full.
+SPARE = 8
 
 
 def vocabulary(identifiers: DataFrame, noise: DataFrame | None = None) -> DataFrame:
@@ -43,60 +47,77 @@ def inbound_imports(files: DataFrame, extensions: list[str]) -> DataFrame:
 
 
 class _Index:
-    """Some sets of codes, to count what others share with them: places in lists for rare codes, a bit a set for the most common ones."""
-
-    def __init__(self, flat: np.ndarray, bounds: np.ndarray, common: np.ndarray, n_common: int):
-        """flat[bounds[i] : bounds[i + 1]] is a set; common: of each code, its number among the n_common most common ones, or -1."""
-        self.count, self.common = len(bounds) - 1, common
-        flat = flat[bounds[0] : bounds[-1]]
-        self.bounds = bounds - bounds[0]
-        of = np.repeat(np.arange(self.count, dtype=np.int32), np.diff(bounds))
-        often = common[flat] >= 0
-        self.bits = _bits(of[often], common[flat[often]], self.count, n_common)
-        self.flat, of = np.where(often, np.int32(-1), flat), of[~often]
-        order = np.argsort(flat[~often], kind="stable")
-        self.of = of[order]
-        first = np.searchsorted(flat[~often][order], np.arange(len(common) + 1))
-        self.first, self.end, self.begun = first[:-1].copy(), first[1:], 0
+    """Some sets of codes, in order of size, to find which of them share enough with others."""
+
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray, bits: np.ndarray, often: int, n_codes: int):
+        """flat[bounds[i] : bounds[i + 1]] is a set, its codes rising from the rarest on; bits: of those from the code `often` on, by _bits()."""
+        self.count, self.bits, self.often = len(bounds) - 1, bits, often
+        self.flat, self.bounds = flat[bounds[0] : bounds[-1]], bounds - bounds[0]
+        # where the codes from each of some on begin in each set: the common ones, twice, four times as many and so on, all
+        common = max(1, n_codes - often)
+        self.steps = np.array([max(0, n_codes - (common << i)) for i in range(math.ceil(n_codes / common).bit_length() + 1)])
+        step = np.searchsorted(-self.steps, -np.arange(n_codes))
+        of = np.repeat(np.arange(self.count), np.diff(self.bounds))
+        held = np.bincount(of * len(self.steps) + step[self.flat], minlength=self.count * len(self.steps)).reshape(self.count, -1)
+        self.from_step = (self.bounds[1:, None] - np.cumsum(held, axis=1)).T.copy()
+        key = self.flat * np.int64(self.count)
+        key += of
+        key.sort()
+        key %= max(self.count, 1)
+        self.of = key.astype(np.int32)
+        self.end = np.cumsum(np.bincount(self.flat, minlength=n_codes))
+        self.first, self.begun = np.append(0, self.end[:-1])[:n_codes], 0
+        self.flag = np.zeros(n_codes, bool)
 
     def _begin(self, at: int) -> None:
         """Leaves the sets before `at` out of the lists."""
-        gone = self.flat[self.bounds[self.begun] : self.bounds[at]]
-        np.add.at(self.first, gone[gone >= 0], 1)
+        np.add.at(self.first, self.flat[self.bounds[self.begun] : self.bounds[at]], 1)
         self.begun = at
 
     def shared(self, sets: list[np.ndarray], bits: np.ndarray, need: np.ndarray, after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each of a few sets, the sets from after[i] on that share need[i] codes with it, and how many they share. after never falls, from call to call either."""
+        """For each of a few sets, the sets from after[i] on that share need[i] codes with it, and how many they share. after never falls, from call to call either.
+
+        Of the n - need + s rarest codes of a set, s are in every set that shares `need` with it: lists of those tell which sets are worth the other codes.
+        """
         low = min(int(after[0]), self.count)
         self._begin(low)
         width = self.count - low
-        rare = [x[self.common[x] < 0] for x in sets]
-        codes = np.concatenate(rare)
+        n = np.array([len(x) for x in sets])
+        spare = np.minimum(need, 1 + n // SPARE)
+        kept = n - need + spare
+        codes = np.concatenate([x[:k] for x, k in zip(sets, kept.tolist(), strict=True)])
         size = self.end[codes] - self.first[codes]
         ends = np.cumsum(size)
         places = self.of[np.repeat(self.first[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        each = np.repeat(np.arange(len(sets)), [len(x) for x in rare])
-        met = np.bincount(places + np.repeat(each * width - low, size), minlength=len(sets) * width).reshape(len(sets), width)
-        for i, mine in enumerate(bits):
-            skip = int(after[i]) - low
-            found, count = self._with_bits(met[i, skip:], mine, low + skip, int(need[i]))
-            yield found, count
-
-    def _with_bits(self, count: np.ndarray, mine: np.ndarray, at: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sets from `at` on that have `need` with the common codes in `mine`, rarest words of bits first; a set goes when those left can't suffice."""
-        sets = None
-        left = int(np.bitwise_count(mine).sum())
-        for w in range(len(mine) - 1, -1, -1):
-            if need > left and len(count):
-                open_ = np.flatnonzero(count >= need - left)
-                if len(open_) <= len(count) // 2:
-                    sets, count = open_ + at if sets is None else sets[open_], count[open_]
-            if mine[w]:
-                column = self.bits[w, at:] if sets is None else self.bits[w, sets]
-                count = count + np.bitwise_count(column & mine[w])
-                left -= int(np.bitwise_count(mine[w]))
-        found = np.flatnonzero(count >= need)
-        return found + at if sets is None else sets[found], count[found]
+        each = np.repeat(np.arange(len(sets)) * width - low, kept)
+        met = np.bincount(places + np.repeat(each, size), minlength=len(sets) * width).reshape(len(sets), width)
+        for i, mine in enumerate(sets):
+            skip = max(int(after[i]) - low, 0)
+            found = np.flatnonzero(met[i, skip:] >= spare[i])
+            yield self._counted(found + low + skip, met[i, skip:][found], mine[int(kept[i]) :], bits[i], int(need[i]))
+
+    def _counted(self, found: np.ndarray, count: np.ndarray, rest: np.ndarray, bits: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of found that share `need` codes with a set, and how many. count: without those of `rest`, of which the common ones go by bits, the others for the sets that can still have enough."""
+        if not len(found) or not len(rest):
+            return found[count >= need], count[count >= need]
+        middle = rest[: np.searchsorted(rest, self.often)]
+        if not len(middle) and rest[0] > self.often:  # common codes ahead of the rest are counted
+            word, bit = divmod(int(rest[0]) - self.often, 64)
+            bits = bits.copy()
+            bits[:word] = 0
+            bits[word] &= np.uint64((1 << 64) - (1 << bit))
+        count = count + np.bitwise_count(self.bits[:, found] & bits[:, None]).sum(axis=0, dtype=np.int64)
+        open_ = count + len(middle) >= need
+        found, count = found[open_], count[open_]
+        if len(middle) and len(found):
+            self.flag[middle] = True
+            begin, stop = self.from_step[np.argmax(self.steps <= middle[0])][found], self.from_step[0][found]
+            flags = self.flag[np.concatenate([self.flat[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])]
+            of = np.repeat(np.arange(len(found)), stop - begin)[flags]
+            count = count + np.bincount(of, minlength=len(found))
+            self.flag[middle] = False
+        enough = count >= need
+        return found[enough], count[enough]
 
 
 def _bits(rows: np.ndarray, codes: np.ndarray, count: int, n_codes: int) -> np.ndarray:
@@ -106,6 +127,12 @@ def _bits(rows: np.ndarray, codes: np.ndarray, count: int, n_codes: int) -> np.n
     return np.ascontiguousarray(np.packbits(out, axis=1, bitorder="little").view(np.uint64).T)
 
 
+def _keys(docs: DataFrame, n: int) -> DataFrame:
+    """(cell, to): for each of n cells a key by which repartition(n) gives it a partition of its own."""
+    each = docs.sparkSession.range(20 * n * n).select(F.col("id").alias("to"), F.pmod(F.hash("id"), F.lit(n)).alias("cell"))
+    return each.groupBy("cell").agg(F.min("to").alias("to"))
+
+
 def _meeting(docs: DataFrame, least: float, sample: bool) -> DataFrame:
     """(a, b, shared, n1, n2, common): the pairs of docs (path, path_parts, names, n) whose overlap reaches least > 0, a before b in file order.
 
@@ -128,38 +155,51 @@ def _meeting(docs: DataFrame, least: float, sample: bool) -> DataFrame:
         key[pc.sort_indices(t.column("key")).to_numpy()] = np.arange(len(t))
         coded = lists.flatten().dictionary_encode()
         del lists
-        place = pc.sort_indices(coded.dictionary).to_numpy()
-        words = coded.dictionary.take(pa.array(place))
-        rank = np.empty(len(place), np.int32)
-        rank[place] = np.arange(len(place), dtype=np.int32)
-        codes = rank[coded.indices.to_numpy()]  # in the order of the names
+        words, codes = coded.dictionary, coded.indices.to_numpy()
         del coded
-        # in each block by size, so that a set meets those after it
+        rarest = np.argsort(np.bincount(codes, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[rarest] = np.arange(len(words), dtype=np.int32)
+        codes, words = rank[codes], words.take(pa.array(rarest))  # the rarest name is 0
+        by_name = np.empty(len(words) if sample else 0, np.int32)
+        if sample:
+            by_name[pc.sort_indices(words).to_numpy()] = np.arange(len(words), dtype=np.int32)
+        # in each block by size, so that a set meets those after it; in each set the rarest first
         order = np.lexsort((key, size, block))
         bounds = np.append(0, np.cumsum(size))
         turn = np.append(0, np.cumsum(size[order]))
-        codes = codes[np.repeat(bounds[order] - turn[:-1], size[order]) + np.arange(len(codes))]
+        turned = np.empty_like(codes)
+        for i in range(0, len(size), SLICE):
+            some = order[i : i + SLICE]
+            at = np.repeat(bounds[some] - turn[i : i + len(some)], size[some]) + np.arange(turn[i], turn[i + len(some)])
+            both = np.repeat(np.arange(len(some)) * len(words), size[some]) + codes[at]
+            both.sort()
+            turned[turn[i] : turn[i + len(some)]] = both % len(words)
+        codes = turned
         block, size, key, known, path, bounds = block[order], size[order], key[order], known[order], path.take(pa.array(order)), turn
-        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")[:COMMON]
-        common = np.full(len(words), -1, np.int32)
-        common[often] = np.arange(len(often), dtype=np.int32)
         by_size = np.empty(len(size), np.int64)
         by_size[np.lexsort((key, size))] = np.arange(len(size))
-        mine = common[codes]
-        bits = _bits(np.repeat(np.arange(len(size)), size)[mine >= 0], mine[mine >= 0], len(size), len(often))
-        del mine
+        low_common = max(0, len(words) - COMMON)
+        often = codes >= low_common
+        bits = _bits(np.repeat(np.arange(len(size)), size)[often], codes[often] - low_common, len(size), len(words) - low_common)
+        del often
+
+        def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            both = np.intersect1d(x, y, assume_unique=True)
+            return both[np.argsort(by_name[both])[:SAMPLE]]
+
         def as_batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             i, j, n = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
             swap = key[i] > key[j]
             a, b = np.where(swap, j, i), np.where(swap, i, j)
-            texts = ([words.take(pa.array(np.intersect1d(codes[bounds[v] : bounds[v + 1]], codes[bounds[w] : bounds[w + 1]])[:SAMPLE])).to_pylist() for v, w in zip(a.tolist(), b.tolist(), strict=True)]) if sample else [[]] * len(a)
+            texts = ([words.take(pa.array(first_shared(codes[bounds[v] : bounds[v + 1]], codes[bounds[w] : bounds[w + 1]]))).to_pylist() for v, w in zip(a.tolist(), b.tolist(), strict=True)]) if sample else [[]] * len(a)
             return pa.RecordBatch.from_arrays([path.take(pa.array(a)), path.take(pa.array(b)), *(pa.array(c.astype(np.int64)) for c in (n, size[a], size[b])), pa.array(texts, pa.list_(pa.string()))], ["a", "b", "shared", "n1", "n2", "common"])
 
         sides = [(int(np.searchsorted(block, x)), int(np.searchsorted(block, x, "right"))) for x in np.unique(block)]
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
         for x, y in ((0, 0),) if low == high else ((0, 1), (1, 0)) if len(sides) == 2 else ():
             begin, end = sides[y]
-            index = _Index(codes, bounds[begin : end + 1], common, len(often))
+            index = _Index(codes, bounds[begin : end + 1], bits[:, begin:end], low_common, len(words))
             after = np.searchsorted(by_size[begin:end], by_size[slice(*sides[x])], "right")
             out: list[tuple[np.ndarray, ...]] = []
             held = 0
@@ -194,11 +234,11 @@ def _meeting(docs: DataFrame, least: float, sample: bool) -> DataFrame:
         if held:
             yield from cell(pa.Table.from_batches(held))
 
-    at_once = lambda some: map_arrow(some.repartition("low", "high").sortWithinPartitions("low", "high", "block"), run, "a string, b string, shared long, n1 long, n2 long, common array<string>")
+    at_once = lambda some, n: map_arrow(some.join(F.broadcast(_keys(docs, n)), F.col("nth") == F.col("cell")).drop("nth", "cell").repartition(n, "to").sortWithinPartitions("low", "high", "block").drop("to"), run, "a string, b string, shared long, n1 long, n2 long, common array<string>")
     if blocks <= 4:
-        return stored(at_once(dealt), "met")
+        return stored(at_once(dealt.withColumn("nth", F.expr("high * (high + 1) div 2 + low")), blocks * (blocks + 1) // 2), "met")
     # one block with the others after it at a time, so that shuffle files of all cells never lie side by side
-    return reduce(DataFrame.union, [stored(at_once(dealt.where(F.col("low") == i)), "met") for i in range(blocks)])
+    return reduce(DataFrame.union, [stored(at_once(dealt.where(F.col("low") == i).withColumn("nth", F.col("high") - i), blocks - i), "met") for i in range(blocks)])
 
 
 def find_vocab_pairs(vocab: DataFrame, inbound: DataFrame | None = None, min_overlap: float = 0.55, min_vocabulary: int = 30) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,27 @@ def test_only_near_pairs_are_candidates_and_none_is_lost(spark, monkeypatch, lea
 def test_stored_tables_are_packed_tightly(spark):
     files = storage.stored(spark.range(5), "numbers").inputFiles()
     assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_sets_are_counted_in_full_only_if_their_rarest_names_meet(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = sorted((sorted(set((rng.zipf(1.3, rng.integers(5, 90)) % 3000).tolist())) for _ in range(300)), key=len)
+    sets += [sets[-1]] * 2
+    codes = np.unique(np.concatenate(sets))
+    place = {c: i for i, c in enumerate(sorted(codes.tolist(), key=lambda c: (sum(c in s for s in sets), c)))}
+    coded = [np.array(sorted(place[c] for c in s), np.int32) for s in sets]
+    flat, bounds = np.concatenate(coded), np.append(0, np.cumsum([len(c) for c in coded]))
+    for common in (70, 5000):
+        low = max(0, len(codes) - common)
+        bits = vocab._bits(np.repeat(np.arange(len(sets)), np.diff(bounds))[flat >= low], flat[flat >= low] - low, len(sets), len(codes) - low)
+        index = vocab._Index(flat, bounds, bits, low, len(codes))
+        counted, whole = [], vocab._Index._counted
+        monkeypatch.setattr(vocab._Index, "_counted", lambda self, found, *x: counted.append(len(found)) or whole(self, found, *x))  # noqa: B023
+        for i in range(0, len(sets), 7):
+            some = np.arange(i, min(i + 7, len(sets)))
+            need = np.maximum(1, np.ceil(0.55 * np.diff(bounds)[some]).astype(np.int64))
+            for x, (found, n) in zip(some.tolist(), index.shared([coded[v] for v in some], bits[:, some].T, need, some + 1), strict=True):
+                want = {y: k for y in range(x + 1, len(sets)) if (k := len(set(sets[x]) & set(sets[y]))) >= need[x - i]}
+                assert dict(zip(found.tolist(), n.tolist(), strict=True)) == want
+        monkeypatch.setattr(vocab._Index, "_counted", whole)
+        assert sum(counted) < len(sets) * (len(sets) - 1) // 4

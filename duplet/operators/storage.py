@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that one Arrow batch brings to a worker; a longer row goes alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 1 << 22
@@ -28,11 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files of the finished job
+    released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs, whose frames nothing holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
     """df.mapInArrow(run, fields) with batches of BATCH_ROWS and BATCH_BYTES at most. Workers give memory back when a task ends.
 

@@ -297,3 +297,12 @@ def test_sets_are_counted_in_full_only_if_their_rarest_names_meet(monkeypatch):
                 assert dict(zip(found.tolist(), n.tolist(), strict=True)) == want
         monkeypatch.setattr(vocab._Index, "_counted", whole)
         assert sum(counted) < len(sets) * (len(sets) - 1) // 4
+
+
+def test_minimizers_are_let_go_before_the_paths_travel(spark, monkeypatch):
+    frames, let_go = [], []
+    real = blocks.bit_map
+    monkeypatch.setattr(blocks, "bit_map", lambda df, c: frames.append(c) or real(df, c))
+    monkeypatch.setattr(blocks, "released", lambda s: let_go.append(len(frames)))
+    blocks._paths(blocks.packed(files_of(spark, {"a": "x y z u v".split(), "b": "x y z u w".split()})), 3)
+    assert let_go == [1]

@@ -8,6 +8,7 @@ of more than FAMILY pairs is dealt to a grid of its own.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -22,30 +23,53 @@ from duplet.operators.storage import map_arrow, stored
 SEQUENCES, FAMILY = 1000, 10_000
 
 
+def packed(tokens: pa.Array) -> pa.Array:
+    """Token lists as they travel: the lengths of a list's tokens, by bytes of equal weight, and then the tokens, deflated, after their number."""
+    bounds = np.append(0, np.cumsum(tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)))
+    flat = tokens.flatten().fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8) if len(flat) else np.zeros(1, np.int64)
+    data = flat.buffers()[2] or b""
+    lengths = np.diff(offsets).astype("<u4").view(np.uint8).reshape(-1, 4)
+    found = [n.to_bytes(4, "little") + zlib.compress(lengths[a : a + n].T.tobytes() + memoryview(data)[offsets[a] : offsets[a + n]], 1) for a, n in zip(bounds[:-1].tolist(), np.diff(bounds).tolist(), strict=True)]
+    return pa.array(found, pa.binary())
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """The token lists of packed()."""
+    n = [int.from_bytes(x.as_buffer()[:4], "little") for x in column]
+    held = [zlib.decompress(memoryview(x.as_buffer())[4:]) for x in column]
+    lengths = [np.frombuffer(x, np.uint8, 4 * k).reshape(4, k).T.copy().view("<u4")[:, 0].astype(np.int64) for x, k in zip(held, n, strict=True)]
+    offsets = np.concatenate([[0], *lengths]).cumsum()
+    data = b"".join(memoryview(x)[4 * k :] for x, k in zip(held, n, strict=True))
+    flat = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), flat)
+
+
 class Cell:
-    """sequences: token lists; left, right: of each pair, the places of its ends among them; marks: what each pair carries."""
+    """sequences: token lists; codes, bounds: their tokens as numbers, equal ones alike, and where each begins; left, right: of each pair, the places of its ends among them; marks: what each pair carries."""
 
     def __init__(self, table: pa.Table):
         kind = table.column("marks").is_valid().to_numpy()
         own, pairs = table.filter(pa.array(~kind)), table.filter(pa.array(kind))
         self.ids = own.column("id").to_pylist()
         place = {x: i for i, x in enumerate(self.ids)}
-        self.sequences = own.column("tokens").combine_chunks()
+        self.names = pa.array(self.ids, pa.string())
+        self.sequences = unpacked(own.column("tokens").combine_chunks())
+        self.bounds = np.concatenate([[0], np.cumsum(self.sequences.value_lengths().to_numpy())]).astype(np.int64)
+        self.codes = self.sequences.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
         self.left, self.right = (np.array([place[x] for x in pairs.column(c).to_pylist()], np.int64) for c in ("id", "other"))
         self.marks = pairs.column("marks").to_numpy()
 
     def shared(self) -> np.ndarray:
         """For each pair, how many tokens its ends share, as multisets."""
-        bounds = np.concatenate([[0], np.cumsum(self.sequences.value_lengths().to_numpy())])
-        codes = self.sequences.flatten().dictionary_encode()
-        tokens = codes.indices.to_numpy().astype(np.int64)
+        bounds, tokens = self.bounds, self.codes
         # the nth occurrence of a token in its sequence is an element of its own
         of = np.repeat(np.arange(len(self.ids)), np.diff(bounds))
         order = np.lexsort((tokens, of))
         t, s = tokens[order], of[order]
         lead = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])))[: len(t)]
         nth = np.arange(len(t)) - np.repeat(lead, np.diff(np.append(lead, len(t))))
-        elements = np.unique(t + nth * len(codes.dictionary), return_inverse=True)[1]
+        elements = np.unique(t + nth * (int(tokens.max(initial=0)) + 1), return_inverse=True)[1]
         flag = np.zeros(len(elements) + 1, bool)
         out = np.zeros(len(self.left), np.int64)
         order = np.argsort(self.right, kind="stable")
@@ -85,14 +109,15 @@ def compared(pairs: DataFrame, sequences: DataFrame, run: Callable[[Cell], Itera
 
     def met(batches):
         for batch in batches:
-            yield batch.filter(pa.array(has_bits(bits.value, batch.column(0).to_numpy()))).select([1, 2])
+            own = batch.filter(pa.array(has_bits(bits.value, batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([own.column(1), packed(own.column(2))], ["id", "tokens"])
 
-    sequences = stored(map_arrow(sequences.select(F.xxhash64("id").alias("m"), "id", "tokens"), met, "id string, tokens array<string>").dropDuplicates(["id"]), "met")
+    sequences = stored(map_arrow(sequences.select(F.xxhash64("id").alias("m"), "id", "tokens"), met, "id string, tokens binary").dropDuplicates(["id"]), "met")
     dealt = stored(_dealt(pairs, ids.count()), "dealt")
     ends = dealt.select("row", "column", F.col("a").alias("id")).union(dealt.select("row", "column", F.col("b").alias("id"))).distinct()
     blank = lambda kind: F.lit(None).cast(kind)
     sides = ends.join(sequences, "id").select("row", "column", "id", blank("string").alias("other"), blank("int").alias("marks"), "tokens")
-    asked = dealt.select("row", "column", F.col("a").alias("id"), F.col("b").alias("other"), "marks", blank("array<string>").alias("tokens"))
+    asked = dealt.select("row", "column", F.col("a").alias("id"), F.col("b").alias("other"), "marks", blank("binary").alias("tokens"))
     together = sides.union(asked).repartition("row", "column").sortWithinPartitions("row", "column")
 
     def stream(batches):

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duplet.functions.similarity import Matcher
+from duplet.functions.matching import matched
 from duplet.operators import prefixes
 from duplet.operators.cells import Cell, compared
-from duplet.operators.storage import stored
+from duplet.operators.storage import discard, stored
 
 FORTH, BACK = 1, 2
 UNIT_REF = ("file", "qualname", "start_line", "end_line", "hash")
@@ -36,9 +34,10 @@ def candidates(sequences: DataFrame, least: float) -> DataFrame:
     return ids.withColumnRenamed("hash", "hash_a").join(ids.withColumnRenamed("hash", "hash_b"), F.col("hash_a") < F.col("hash_b"))
 
 
-def _first(units: DataFrame) -> DataFrame:
-    """streams(units) without the tokens."""
-    return streams(units).select("hash", "first", "last")
+def first_and_last(units: DataFrame) -> DataFrame:
+    """(hash, first, last) of streams(units), which may be without tokens."""
+    place = F.struct("path_parts", "start_line", "end_line", "unit_ord")
+    return units.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
 
 def similar_streams(units: DataFrame, least: float) -> DataFrame:
@@ -47,17 +46,21 @@ def similar_streams(units: DataFrame, least: float) -> DataFrame:
     least = 0 asks for every pair by definition and compares all.
     """
     sequences = units = stored(units.select("hash", "tokens", "n_tokens", "path_parts", "start_line", "end_line", "unit_ord"), "sequences")
-    return _scored(_by_first(candidates(sequences, least), units), sequences, least)
+    found = _scored(_by_first(candidates(sequences, least), units), sequences, least)
+    discard(sequences)
+    return found
 
 
 def similar_blocks(units: DataFrame, least: float) -> DataFrame:
     """(hash_a, hash_b, at_a, at_b, size): the matching runs of each pair that similar_streams() has."""
     sequences = units = stored(units.select("hash", "tokens", "n_tokens", "path_parts", "start_line", "end_line", "unit_ord"), "sequences")
-    return _scored(_by_first(candidates(sequences, least), units), sequences, least, runs=True)
+    found = _scored(_by_first(candidates(sequences, least), units), sequences, least, runs=True)
+    discard(sequences)
+    return found
 
 
 def _by_first(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    x, y = (_first(units).select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
+    x, y = (first_and_last(units).select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
     turn = F.col("first_b") < F.col("first_a")
     return pairs.join(x, "hash_a").join(y, "hash_b").select("hash_a", "hash_b", F.when(turn, F.lit(BACK)).otherwise(F.lit(FORTH)).alias("marks"))
 
@@ -71,16 +74,17 @@ def _scored(pairs: DataFrame, sequences: DataFrame, least: float, runs: bool = F
         lengths = cell.sequences.value_lengths().to_numpy()
         total = lengths[cell.left] + lengths[cell.right]
         near = np.flatnonzero(2.0 * cell.shared() >= least * total - 1e-9)
-        asked = sorted([(int(b), int(a)) for i in near.tolist() for a, b, way in ((cell.left[i], cell.right[i], FORTH), (cell.right[i], cell.left[i], BACK)) if cell.marks[i] & way])
-        rows: list[tuple] = []
-        for b, group in groupby(asked, key=lambda x: x[0]):
-            matcher = Matcher(cell.sequences[b].as_py())
-            for _, a in group:
-                mine = cell.sequences[a].as_py()
-                if (r := matcher.ratio(mine)) >= least:
-                    rows += [(cell.ids[a], cell.ids[b], *m) for m in matcher.matching_blocks(mine)] if runs else [(cell.ids[a], cell.ids[b], r)]
-        cols = list(zip(*rows, strict=True)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        forth, back = (near[cell.marks[near] & way > 0] for way in (FORTH, BACK))
+        a, b = np.concatenate([cell.left[forth], cell.right[back]]), np.concatenate([cell.right[forth], cell.left[back]])
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        for at, stop, pair, i, j, k in matched(cell.codes, cell.bounds, a, b):
+            both = lengths[a[at:stop]] + lengths[b[at:stop]]
+            ratio = np.where(both > 0, 2.0 * np.bincount(pair - at, k, stop - at) / np.maximum(both, 1), 1.0)
+            kept = ratio >= least
+            pair, *values = (x[kept[pair - at]] for x in (pair, i, j, k)) if runs else (np.flatnonzero(kept) + at, ratio[kept])
+            cols = [cell.names.take(pa.array(side[pair])) for side in (a, b)] + [pa.array(x).cast(kind) for x, kind in zip(values, kinds[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     named = pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"), "marks")
     fields = "hash_a string, hash_b string, " + ("at_a int, at_b int, size int" if runs else "similarity double")
@@ -119,7 +123,9 @@ def find_clones(units: DataFrame, min_similarity: float = 0.85) -> DataFrame:
     Equal sequences need no comparison. Sequences that differ are compared once each way that their units come in.
     Every pair of copies is a row, as in a report; for copies in bulk use streams() with similar_streams().
     """
-    units = stored(units.select(*(c for c in units.columns if c != "text")), "units") if min_similarity < 1 else units
+    if min_similarity < 1:
+        whole = stored(units.select(*(c for c in units.columns if c != "text")), "units")
+        units, sequences = stored(whole.drop("tokens"), "units"), whole.select("hash", "tokens")
     known = units.withColumnRenamed("path", "file")
     order = F.struct("path_parts", "start_line", "end_line", "unit_ord")
     row = known.select("hash", F.struct(*UNIT_REF, order.alias("order")).alias("u"))
@@ -127,11 +133,12 @@ def find_clones(units: DataFrame, min_similarity: float = 0.85) -> DataFrame:
     same = same.where(F.lit(1.0 >= min_similarity)).where(~nested(F.col("a"), F.col("b"))).select("similarity", unit_ref("a"), unit_ref("b"))
     if min_similarity >= 1:  # sequences that differ never reach it
         return same
-    near = candidates(units, min_similarity)
-    sides = [_first(units).select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")) for s in "ab"]
+    near = candidates(sequences, min_similarity)
+    sides = [first_and_last(units).select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")) for s in "ab"]
     # a direction counts only if some unit of a comes before some unit of b
     marks = F.when(F.col("first_a") < F.col("last_b"), F.lit(FORTH)).otherwise(F.lit(0)) + F.when(F.col("first_b") < F.col("last_a"), F.lit(BACK)).otherwise(F.lit(0))
-    scored = _scored(near.join(sides[0], "hash_a").join(sides[1], "hash_b").select("hash_a", "hash_b", marks.alias("marks")), units, min_similarity)
+    scored = _scored(near.join(sides[0], "hash_a").join(sides[1], "hash_b").select("hash_a", "hash_b", marks.alias("marks")), sequences, min_similarity)
+    discard(whole)
     left = row.select(F.col("hash").alias("hash_a"), F.col("u").alias("a"))
     right = row.select(F.col("hash").alias("hash_b"), F.col("u").alias("b"))
     other = scored.join(left, "hash_a").join(right, "hash_b").where(F.col("a.order") < F.col("b.order")).select("similarity", "a", "b")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from duplet.functions.hashes import mix, run_hashes
 from duplet.operators.blocks import _groups
-from duplet.operators.storage import BATCH_ROWS, map_arrow, stored
+from duplet.operators.storage import BATCH_ROWS, discard, map_arrow, stored
 
 #: Counters of how often elements occur; those of one counter count as one. Parts that they are summed in.
 COUNTERS, PARTS = 1 << 21, 64
@@ -220,7 +220,7 @@ def candidates(sequences: DataFrame, least: float) -> DataFrame:
                 codes = pa.array([x.tobytes() for x in prefixes(tokens, counts.value, least)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(tokens)), n.cast(pa.int64()), codes], ["id", "n", "codes"])
 
-    kept = stored(map_arrow(sequences.select("id", "tokens"), run, "id string, n long, codes binary").where("n > 0").dropDuplicates(["id"]), "prefixes")
+    kept = prefixed = stored(map_arrow(sequences.select("id", "tokens"), run, "id string, n long, codes binary").where("n > 0").dropDuplicates(["id"]), "prefixes")
     # sequences that are near enough in length are in one band or in two that follow each other
     band = F.floor(F.log(F.col("n").cast("double") + 1e-6) / F.lit(max(1e-3, math.log((2.0 - least) / least) + 1e-6))).cast("long")
     kept = kept.withColumn("band", band)
@@ -233,4 +233,6 @@ def candidates(sequences: DataFrame, least: float) -> DataFrame:
     above = F.transform(every, lambda i: F.struct(cell(F.col("band") - 1, i, part).alias("cell"), F.lit(1).alias("role")))
     beside = F.transform(F.filter(every, lambda i: i < part), lambda i: F.struct(cell(F.col("band"), i, part).alias("cell"), F.lit(2).alias("role")))
     dealt = kept.withColumn("to", F.explode(F.concat(left, above, beside))).select("to.cell", "to.role", "n", "id", "codes")
-    return pairs_of_cells(dealt, least, parts)
+    found = stored(pairs_of_cells(dealt, least, parts), "candidates")
+    discard(prefixed)
+    return found

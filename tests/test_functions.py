@@ -1,10 +1,12 @@
 import hashlib
 import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duplet.functions import text
+from duplet.functions import matching, text
 from duplet.functions.similarity import Matcher, matching_blocks, quick_ratio, ratio, real_quick_ratio
 
 SEQUENCES = [[], [1], [1, 2, 3], [3, 2, 1], [1, 2, 3, 4, 5, 6], [4, 5, 6, 1, 2, 3], [1, 1, 1, 1], [9, 9, 1, 2], [1, 2, 8]]
@@ -51,3 +53,21 @@ def test_import_lines_need_the_whole_first_word(spark):
     lines = ["import x", "  from a import b", "require_relative 'x'", "#include <a>", "const a = require('./b')", "importer()", ""]
     rows = spark.createDataFrame([(x,) for x in lines], "t string").select(text.is_import(F.col("t")).alias("i")).collect()
     assert [r.i for r in rows] == [True, True, False, False, True, False, False]
+
+
+@pytest.mark.parametrize("limits", [(1 << 17, 1 << 20), (50, 300), (1, 1)])  # all at once, in parts, regions one at a time the plain way
+def test_matching_of_many_pairs_equals_one_at_a_time(monkeypatch, limits):
+    monkeypatch.setattr(matching, "TOKENS", limits[0])
+    monkeypatch.setattr(matching, "HITS", limits[1])
+    rng = random.Random(limits[0])
+    made = [*SEQUENCES, [1, 2, 3, 4] * 20, [rng.randrange(3) for _ in range(90)], [int(rng.paretovariate(0.7)) % 500 for _ in range(250)]]
+    for t in made[9:] * 2:
+        cut = rng.randrange(len(t))
+        made.append([x if rng.random() > 0.15 else rng.randrange(5) for x in t[:cut]] + t[max(0, cut - 5) :])
+    bounds, codes = np.append(0, np.cumsum([len(t) for t in made])), np.concatenate(made).astype(np.int64)
+    left, right = np.array(list(itertools.product(range(len(made)), repeat=2))).T
+    got = {p: [] for p in range(len(left))}
+    for _, _, pair, *runs in matching.matched(codes, bounds, left, right):
+        for p, *run in zip(pair.tolist(), *(x.tolist() for x in runs), strict=True):
+            got[p].append(tuple(run))
+    assert got == {p: matching_blocks(made[a], made[b]) for p, (a, b) in enumerate(zip(left, right, strict=True))}

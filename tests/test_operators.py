@@ -1,7 +1,9 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +308,21 @@ def test_minimizers_are_let_go_before_the_paths_travel(spark, monkeypatch):
     monkeypatch.setattr(blocks, "released", lambda s: let_go.append(len(frames)))
     blocks._paths(blocks.packed(files_of(spark, {"a": "x y z u v".split(), "b": "x y z u w".split()})), 3)
     assert let_go == [1]
+
+
+def test_token_lists_travel_whole():
+    lists = [["a", "", "Ä" * 300], [], ["x\x1fy", "z"] * 900]
+    column = pa.array([["left out"], *lists], pa.list_(pa.string()))[1:]
+    assert cells.unpacked(cells.packed(column)).to_pylist() == lists
+    assert cells.unpacked(cells.packed(column[:0])).to_pylist() == []
+
+
+def test_tables_of_tokens_go_before_pairs_are_matched(spark, monkeypatch):
+    frames = {}
+    for module in (clones, prefixes, cells):
+        monkeypatch.setattr(module, "stored", lambda df, name: frames.setdefault(name, storage.stored(df, name)))
+    rows = [(f"{x}.py", x, 1, 2, [*"abcdefghij", x]) for x in "xyz"]
+    found = clones.similar_blocks(units_of(spark, rows), 0.6)
+    left = lambda name: Path(frames[name].inputFiles()[0].removeprefix("file://")).exists()
+    assert not left("sequences") and not left("prefixes") and left("met")
+    assert {(r.at_a, r.at_b, r.size) for r in found.collect()} == {(0, 0, 10)} and found.count() == 3

@@ -46,19 +46,18 @@ def unpacked(column: pa.Array) -> pa.Array:
 
 
 class Cell:
-    """sequences: token lists; codes, bounds: their tokens as numbers, equal ones alike, and where each begins; left, right: of each pair, the places of its ends among them; marks: what each pair carries."""
+    """sequences: token lists; codes, bounds: their tokens as numbers, equal ones alike, and where each begins; left, right: of each pair, the places of its ends among them; names, first, last: of each sequence, if its ids are numbers."""
 
     def __init__(self, table: pa.Table):
-        kind = table.column("marks").is_valid().to_numpy()
+        kind = table.column("other").is_valid().to_numpy()
         own, pairs = table.filter(pa.array(~kind)), table.filter(pa.array(kind))
         self.ids = own.column("id").to_pylist()
         place = {x: i for i, x in enumerate(self.ids)}
-        self.names = pa.array(self.ids, pa.string())
+        self.names, self.first, self.last = (own.column(c).combine_chunks() for c in ("name", "id", "last"))
         self.sequences = unpacked(own.column("tokens").combine_chunks())
         self.bounds = np.concatenate([[0], np.cumsum(self.sequences.value_lengths().to_numpy())]).astype(np.int64)
         self.codes = self.sequences.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
         self.left, self.right = (np.array([place[x] for x in pairs.column(c).to_pylist()], np.int64) for c in ("id", "other"))
-        self.marks = pairs.column("marks").to_numpy()
 
     def shared(self) -> np.ndarray:
         """For each pair, how many tokens its ends share, as multisets."""
@@ -88,7 +87,7 @@ class Cell:
 
 
 def _dealt(pairs: DataFrame, n_ids: int) -> DataFrame:
-    """(row, column, a, b, marks): a cell of each pair. Ends are dealt by the least id that they have a pair with, so that a family of similar sequences meets in one cell; a large one has a grid of its own."""
+    """(row, column, a, b): a cell of each pair. Ends are dealt by the least id that they have a pair with, so that a family of similar sequences meets in one cell; a large one has a grid of its own."""
     leads = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("lead"))
     leads = stored(leads, "leads")
     for s in "ab":
@@ -98,26 +97,29 @@ def _dealt(pairs: DataFrame, n_ids: int) -> DataFrame:
     parts = F.coalesce("parts", F.lit(1))
     at = lambda s: F.pmod(F.xxhash64(f"lead_{s}"), grid)
     name = lambda s: F.when(parts > 1, F.xxhash64("lead_a", "lead_b", F.lit(s), F.pmod(F.xxhash64(s), parts))).otherwise(at(s))
-    return pairs.join(large, ["lead_a", "lead_b"], "left").select(name("a").alias("row"), name("b").alias("column"), "a", "b", "marks")
+    return pairs.join(large, ["lead_a", "lead_b"], "left").select(name("a").alias("row"), name("b").alias("column"), "a", "b")
 
 
-def compared(pairs: DataFrame, sequences: DataFrame, run: Callable[[Cell], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
-    """run of every cell. pairs: (a, b, marks int, not null); sequences: (id, tokens); rows of one id are alike."""
-    pairs = stored(pairs.select("a", "b", "marks"), "pairs")
+def compared(pairs: DataFrame, sequences: DataFrame, run: Callable[[Cell], Iterator[pa.RecordBatch]], fields: str, numbers: DataFrame | None = None) -> DataFrame:
+    """run of every cell. pairs: (a, b); sequences: (name, tokens); rows of one name are alike. A pair's ends are names, or else ids of numbers (name, id, last)."""
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    blank = lambda kind: F.lit(None).cast(kind)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    bits = bit_map(ids.select(F.xxhash64("id").alias("m")), "m")
+    names = ids.select(F.col("id").alias("name")) if numbers is None else numbers.join(ids, "id", "left_semi")
+    bits = bit_map(names.select(F.xxhash64("name").alias("m")), "m")
 
     def met(batches):
         for batch in batches:
             own = batch.filter(pa.array(has_bits(bits.value, batch.column(0).to_numpy())))
-            yield pa.RecordBatch.from_arrays([own.column(1), packed(own.column(2))], ["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([own.column(1), packed(own.column(2))], ["name", "tokens"])
 
-    sequences = stored(map_arrow(sequences.select(F.xxhash64("id").alias("m"), "id", "tokens"), met, "id string, tokens binary").dropDuplicates(["id"]), "met")
+    own = map_arrow(sequences.select(F.xxhash64("name").alias("m"), "name", "tokens"), met, "name string, tokens binary").dropDuplicates(["name"])
+    own = own.select(F.col("name").alias("id"), "name", blank("long").alias("last"), "tokens") if numbers is None else own.join(numbers, "name").select("id", "name", "last", "tokens")
+    sequences = stored(own, "met")
     dealt = stored(_dealt(pairs, ids.count()), "dealt")
     ends = dealt.select("row", "column", F.col("a").alias("id")).union(dealt.select("row", "column", F.col("b").alias("id"))).distinct()
-    blank = lambda kind: F.lit(None).cast(kind)
-    sides = ends.join(sequences, "id").select("row", "column", "id", blank("string").alias("other"), blank("int").alias("marks"), "tokens")
-    asked = dealt.select("row", "column", F.col("a").alias("id"), F.col("b").alias("other"), "marks", blank("binary").alias("tokens"))
+    sides = ends.join(sequences, "id").select("row", "column", "id", blank(pairs.schema["b"].dataType).alias("other"), "name", "last", "tokens")
+    asked = dealt.select("row", "column", F.col("a").alias("id"), F.col("b").alias("other"), blank("string").alias("name"), blank("long").alias("last"), blank("binary").alias("tokens"))
     together = sides.union(asked).repartition("row", "column").sortWithinPartitions("row", "column")
 
     def stream(batches):

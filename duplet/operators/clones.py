@@ -12,7 +12,6 @@ from duplet.operators import prefixes
 from duplet.operators.cells import Cell, compared
 from duplet.operators.storage import discard, stored
 
-FORTH, BACK = 1, 2
 UNIT_REF = ("file", "qualname", "start_line", "end_line", "hash")
 
 
@@ -40,33 +39,42 @@ def first_and_last(units: DataFrame) -> DataFrame:
     return units.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
 
+def numbered(units: DataFrame) -> DataFrame:
+    """(name, id, last) of each distinct sequence of units: its hash, and the numbers of its first and its last unit in file order."""
+    ranked = units.orderBy(F.struct("path_parts", "start_line", "end_line", "unit_ord"), "hash").select("hash", F.monotonically_increasing_id().alias("at"))
+    return stored(ranked.groupBy(F.col("hash").alias("name")).agg(F.min("at").alias("id"), F.max("at").alias("last")), "numbers")
+
+
 def similar_streams(units: DataFrame, least: float) -> DataFrame:
     """(hash_a, hash_b, similarity) of distinct sequences of units; a is the one whose first unit comes first, as the ratio has a direction.
 
     least = 0 asks for every pair by definition and compares all.
     """
-    sequences = units = stored(units.select("hash", "tokens", "n_tokens", "path_parts", "start_line", "end_line", "unit_ord"), "sequences")
-    found = _scored(_by_first(candidates(sequences, least), units), sequences, least)
-    discard(sequences)
-    return found
+    return _similar(units, least)
 
 
 def similar_blocks(units: DataFrame, least: float) -> DataFrame:
     """(hash_a, hash_b, at_a, at_b, size): the matching runs of each pair that similar_streams() has."""
-    sequences = units = stored(units.select("hash", "tokens", "n_tokens", "path_parts", "start_line", "end_line", "unit_ord"), "sequences")
-    found = _scored(_by_first(candidates(sequences, least), units), sequences, least, runs=True)
+    return _similar(units, least, runs=True)
+
+
+def _similar(units: DataFrame, least: float, runs: bool = False) -> DataFrame:
+    sequences = stored(units.select("hash", "tokens", "path_parts", "start_line", "end_line", "unit_ord"), "sequences")
+    found = _scored(sequences, least, runs)
     discard(sequences)
     return found
 
 
-def _by_first(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    x, y = (first_and_last(units).select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
-    turn = F.col("first_b") < F.col("first_a")
-    return pairs.join(x, "hash_a").join(y, "hash_b").select("hash_a", "hash_b", F.when(turn, F.lit(BACK)).otherwise(F.lit(FORTH)).alias("marks"))
-
+def _scored(units: DataFrame, least: float, runs: bool = False, both: bool = False) -> DataFrame:
+    """(hash_a, hash_b, similarity), or with runs similar_blocks(), of the distinct sequences of units (hash, tokens and place) that reach least: from the one whose first unit comes first or, if both, in each direction in which units of theirs come.
 
-def _scored(pairs: DataFrame, sequences: DataFrame, least: float, runs: bool = False) -> DataFrame:
-    """(hash_a, hash_b, similarity), or with runs similar_blocks(), of pairs (hash_a, hash_b, marks) that reach least, in the directions that marks ask for: FORTH, BACK or both. The multiset bound goes first, once for both."""
+    The multiset bound goes first, once for both. Up to the result, sequences go by numbers.
+    """
+    numbers = numbered(units)
+    if least > 0:
+        pairs = prefixes.candidates(units.select(F.col("hash").alias("id"), "tokens"), least, numbers)
+    else:
+        pairs = numbers.select(F.col("id").alias("a")).join(numbers.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
     names = ["hash_a", "hash_b", "at_a", "at_b", "size"] if runs else ["hash_a", "hash_b", "similarity"]
     kinds = [pa.string(), pa.string(), *([pa.int32()] * 3 if runs else [pa.float64()])]
 
@@ -74,21 +82,21 @@ def _scored(pairs: DataFrame, sequences: DataFrame, least: float, runs: bool = F
         lengths = cell.sequences.value_lengths().to_numpy()
         total = lengths[cell.left] + lengths[cell.right]
         near = np.flatnonzero(2.0 * cell.shared() >= least * total - 1e-9)
-        forth, back = (near[cell.marks[near] & way > 0] for way in (FORTH, BACK))
+        first, last = cell.first.to_numpy(), (cell.last if both else cell.first).to_numpy()
+        forth, back = near[first[cell.left[near]] < last[cell.right[near]]], near[first[cell.right[near]] < last[cell.left[near]]]
         a, b = np.concatenate([cell.left[forth], cell.right[back]]), np.concatenate([cell.right[forth], cell.left[back]])
         order = np.lexsort((a, b))
         a, b = a[order], b[order]
         for at, stop, pair, i, j, k in matched(cell.codes, cell.bounds, a, b):
-            both = lengths[a[at:stop]] + lengths[b[at:stop]]
-            ratio = np.where(both > 0, 2.0 * np.bincount(pair - at, k, stop - at) / np.maximum(both, 1), 1.0)
+            n = lengths[a[at:stop]] + lengths[b[at:stop]]
+            ratio = np.where(n > 0, 2.0 * np.bincount(pair - at, k, stop - at) / np.maximum(n, 1), 1.0)
             kept = ratio >= least
             pair, *values = (x[kept[pair - at]] for x in (pair, i, j, k)) if runs else (np.flatnonzero(kept) + at, ratio[kept])
             cols = [cell.names.take(pa.array(side[pair])) for side in (a, b)] + [pa.array(x).cast(kind) for x, kind in zip(values, kinds[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    named = pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"), "marks")
     fields = "hash_a string, hash_b string, " + ("at_a int, at_b int, size int" if runs else "similarity double")
-    return compared(named, sequences.select(F.col("hash").alias("id"), "tokens"), run, fields)
+    return compared(pairs, units.select(F.col("hash").alias("name"), "tokens"), run, fields, numbers)
 
 
 def quick_ratios(sequences: DataFrame, least: float) -> DataFrame:
@@ -103,8 +111,8 @@ def quick_ratios(sequences: DataFrame, least: float) -> DataFrame:
         a, b = (pa.array([cell.ids[x] for x in side[near].tolist()], pa.string()) for side in (cell.left, cell.right))
         yield pa.RecordBatch.from_arrays([a, b, pa.array(bound[near])], ["hash_a", "hash_b", "quick_ratio"])
 
-    named = pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"), F.lit(0).alias("marks"))
-    return compared(named, sequences.select(F.col("hash").alias("id"), "tokens"), run, "hash_a string, hash_b string, quick_ratio double")
+    named = pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"))
+    return compared(named, sequences.select(F.col("hash").alias("name"), "tokens"), run, "hash_a string, hash_b string, quick_ratio double")
 
 
 def unit_ref(side: str) -> Column:
@@ -125,7 +133,7 @@ def find_clones(units: DataFrame, min_similarity: float = 0.85) -> DataFrame:
     """
     if min_similarity < 1:
         whole = stored(units.select(*(c for c in units.columns if c != "text")), "units")
-        units, sequences = stored(whole.drop("tokens"), "units"), whole.select("hash", "tokens")
+        units = stored(whole.drop("tokens"), "units")
     known = units.withColumnRenamed("path", "file")
     order = F.struct("path_parts", "start_line", "end_line", "unit_ord")
     row = known.select("hash", F.struct(*UNIT_REF, order.alias("order")).alias("u"))
@@ -133,11 +141,7 @@ def find_clones(units: DataFrame, min_similarity: float = 0.85) -> DataFrame:
     same = same.where(F.lit(1.0 >= min_similarity)).where(~nested(F.col("a"), F.col("b"))).select("similarity", unit_ref("a"), unit_ref("b"))
     if min_similarity >= 1:  # sequences that differ never reach it
         return same
-    near = candidates(sequences, min_similarity)
-    sides = [first_and_last(units).select(F.col("hash").alias(f"hash_{s}"), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")) for s in "ab"]
-    # a direction counts only if some unit of a comes before some unit of b
-    marks = F.when(F.col("first_a") < F.col("last_b"), F.lit(FORTH)).otherwise(F.lit(0)) + F.when(F.col("first_b") < F.col("last_a"), F.lit(BACK)).otherwise(F.lit(0))
-    scored = _scored(near.join(sides[0], "hash_a").join(sides[1], "hash_b").select("hash_a", "hash_b", marks.alias("marks")), sequences, min_similarity)
+    scored = _scored(whole, min_similarity, both=True)
     discard(whole)
     left = row.select(F.col("hash").alias("hash_a"), F.col("u").alias("a"))
     right = row.select(F.col("hash").alias("hash_b"), F.col("u").alias("b"))

@@ -198,15 +198,15 @@ def pairs_of_cells(dealt: DataFrame, least: float, parts: int) -> DataFrame:
             if left:
                 yield _named(ids, left, right)
 
-    return map_arrow(dealt.repartition("cell").sortWithinPartitions("cell"), run, "a string, b string")
+    return map_arrow(dealt.repartition("cell").sortWithinPartitions("cell"), run, "a {0}, b {0}".format(dealt.schema["id"].dataType.simpleString()))
 
 
 def _named(ids: pa.Array, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))) for x in (left, right)], ["a", "b"])
 
 
-def candidates(sequences: DataFrame, least: float) -> DataFrame:
-    """(a, b), in no order and each pair once: the pairs of sequences (id, tokens) that may share as many elements as a ratio of `least` > 0 takes. Loses none. Rows of one id are alike.
+def candidates(sequences: DataFrame, least: float, numbers: DataFrame | None = None) -> DataFrame:
+    """(a, b), in no order and each pair once: the pairs of sequences (id, tokens) that may share as many elements as a ratio of `least` > 0 takes. Loses none. Rows of one id are alike. With numbers (name, id long, ...) of the ids, a and b are those.
 
     To reach t, a sequence of n tokens shares at least c = t n / (2 - t) of them with the other, so that of the rarest n - c + s of
     each, s are shared. Rarity is by counters of fixed number: any order does.
@@ -220,7 +220,10 @@ def candidates(sequences: DataFrame, least: float) -> DataFrame:
                 codes = pa.array([x.tobytes() for x in prefixes(tokens, counts.value, least)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(tokens)), n.cast(pa.int64()), codes], ["id", "n", "codes"])
 
-    kept = prefixed = stored(map_arrow(sequences.select("id", "tokens"), run, "id string, n long, codes binary").where("n > 0").dropDuplicates(["id"]), "prefixes")
+    kept = map_arrow(sequences.select("id", "tokens"), run, "id string, n long, codes binary").where("n > 0").dropDuplicates(["id"])
+    if numbers is not None:
+        kept = kept.withColumnRenamed("id", "name").join(numbers.select("name", "id"), "name").select("id", "n", "codes")
+    kept = prefixed = stored(kept, "prefixes")
     # sequences that are near enough in length are in one band or in two that follow each other
     band = F.floor(F.log(F.col("n").cast("double") + 1e-6) / F.lit(max(1e-3, math.log((2.0 - least) / least) + 1e-6))).cast("long")
     kept = kept.withColumn("band", band)

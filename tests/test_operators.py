@@ -326,3 +326,14 @@ def test_tables_of_tokens_go_before_pairs_are_matched(spark, monkeypatch):
     left = lambda name: Path(frames[name].inputFiles()[0].removeprefix("file://")).exists()
     assert not left("sequences") and not left("prefixes") and left("met")
     assert {(r.at_a, r.at_b, r.size) for r in found.collect()} == {(0, 0, 10)} and found.count() == 3
+
+
+def test_pairs_travel_as_numbers(spark, monkeypatch):
+    frames = {}
+    for module in (clones, prefixes, cells):
+        monkeypatch.setattr(module, "stored", lambda df, name: frames.setdefault(name, storage.stored(df, name)))
+    rows = [("z.py", "z", 1, 2, [*"abcdefghij", "z"]), ("a.py", "a", 1, 2, [*"abcdefghij", "y"]), ("zz.py", "zz", 1, 2, [*"abcdefghij", "y"])]
+    found = clones.similar_streams(units_of(spark, rows), 0.6).collect()
+    assert {frames[x].schema[s].dataType.simpleString() for x in ("pairs", "dealt") for s in "ab"} == {"bigint"}
+    hashes = {r.path: r.hash for r in units_of(spark, rows).collect()}
+    assert [(r.hash_a, r.hash_b) for r in found] == [(hashes["a.py"], hashes["z.py"])]  # from the one that comes first

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS, BATCH_BYTES = 2000, 1 << 22
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df by way of the shared folder, so that what reads it twice doesn't compute it twice and a lost executor costs nothing. The table goes when the application ends."""
+def stored(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """df by way of the shared folder, so that what reads it twice doesn't compute it twice and a lost executor costs nothing. The table goes when the application ends. rows: of a file, at most, if any."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -25,7 +25,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/duplet-checkpoints"
     path = f"{folder}/duplet/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     released(spark)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from duplet.functions.hashes import SEPARATOR
 from duplet.functions.text import REFERENCE, dotted_path, file_stem, is_import, lines, overlap, reference_names
+from duplet.operators import planes
 from duplet.operators.storage import BATCH_ROWS, map_arrow, stored
 
 SAMPLE = 25
@@ -246,19 +247,24 @@ def find_vocab_pairs(vocab: DataFrame, inbound: DataFrame | None = None, min_ove
     return overlapping(vocab.groupBy("path", "path_parts").agg(F.collect_list("name").alias("names")), inbound, min_overlap, min_vocabulary)
 
 
-def overlapping(docs: DataFrame, inbound: DataFrame | None = None, min_overlap: float = 0.55, min_vocabulary: int = 30, sample: bool = True) -> DataFrame:
+def overlapping(docs: DataFrame, inbound: DataFrame | None = None, min_overlap: float = 0.55, min_vocabulary: int = 30, sample: bool = True, joined: str | None = None) -> DataFrame:
     """Pairs of files (path, path_parts, names) whose vocabularies overlap: shared / size of the smaller >= min_overlap, both sizes >= min_vocabulary.
 
     min_overlap = 0 asks for every pair and gets all. Where docs have a column `known`, pairs of two known ones are left out. sample: whether sample_shared is wanted; else it is empty.
+    joined: sample_shared is one text, joined by this, and the caller reads the frame once.
     """
-    docs = stored(docs.withColumn("n", F.size("names").cast("long")).where((F.col("n") >= min_vocabulary) & (F.col("n") > 0)), "names")
-    if min_overlap > 0:
-        counted = _meeting(docs, min_overlap, sample)
+    docs = docs.withColumn("n", F.size("names").cast("long")).where((F.col("n") >= min_vocabulary) & (F.col("n") > 0))
+    known = F.col("known") if "known" in docs.columns else F.lit(False)
+    if min_overlap > 0 and sample:
+        counted = planes.meeting(docs.withColumn("known", known), min_overlap, SAMPLE, joined, once=joined is not None)
+    elif min_overlap > 0:
+        counted = _meeting(stored(docs, "names"), min_overlap, sample)
     else:
-        known = F.col("known") if "known" in docs.columns else F.lit(False)
+        docs = stored(docs, "names")
         x, y = (docs.select(F.col("path").alias(s), F.col("path_parts").alias(f"p{i}"), F.col("names").alias(f"s{i}"), F.col("n").alias(f"n{i}"), known.alias(f"k{i}")) for i, s in ((1, "a"), (2, "b")))
         both = x.join(y, (F.col("p1") < F.col("p2")) & ~(F.col("k1") & F.col("k2"))).withColumn("common", F.array_sort(F.array_intersect("s1", "s2")))
-        counted = both.select("a", "b", F.size("common").cast("long").alias("shared"), "n1", "n2", F.slice("common", 1, SAMPLE).alias("common"))
+        common = F.slice("common", 1, SAMPLE)
+        counted = both.select("a", "b", F.size("common").cast("long").alias("shared"), "n1", "n2", (common if joined is None else F.array_join(common, joined)).alias("common"))
     found = counted.select("a", "b", overlap(F.col("shared"), F.col("n1"), F.col("n2")).alias("overlap"), "shared", F.col("n1").alias("a_vocabulary"), F.col("n2").alias("b_vocabulary"), F.col("common").alias("sample_shared")).where(F.col("overlap") >= min_overlap)
     if inbound is None:
         found = found.withColumn("a_inbound_imports", F.lit(0).cast("long")).withColumn("b_inbound_imports", F.lit(0).cast("long"))

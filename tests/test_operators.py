@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duplet.functions.similarity import ratio
 from duplet.functions.text import content_hash
-from duplet.operators import blocks, cells, classes, clones, delta, prefixes, storage, vocab
+from duplet.operators import blocks, cells, classes, clones, delta, planes, prefixes, storage, vocab
 
 
 def units_of(spark, rows):
@@ -337,3 +337,41 @@ def test_pairs_travel_as_numbers(spark, monkeypatch):
     assert {frames[x].schema[s].dataType.simpleString() for x in ("pairs", "dealt") for s in "ab"} == {"bigint"}
     hashes = {r.path: r.hash for r in units_of(spark, rows).collect()}
     assert [(r.hash_a, r.hash_b) for r in found] == [(hashes["a.py"], hashes["z.py"])]  # from the one that comes first
+
+
+def test_counts_of_rows_by_bits():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 8, 31, 200):
+        rows = rng.integers(0, 1 << 63, (n, 3), dtype=np.uint64)
+        want = np.unpackbits(rows.view(np.uint8).reshape(n, 24), axis=1).sum(axis=0)
+        got = sum((np.unpackbits(p.view(np.uint8)).astype(int) << j for j, p in enumerate(planes.added(rows))), np.zeros(192, int))
+        assert (got == want).all()
+
+
+@pytest.mark.parametrize(("common", "seldom", "ahead"), [(1 << 14, 400, 64), (5, 3, 8), (0, 400, 64), (40, 1, 8)])
+def test_vocab_samples_by_bits_equal_all_pairs(spark, monkeypatch, common, seldom, ahead):
+    for name, value in (("PACK", 1500), ("HELD", 4000), ("MEETING", 6000), ("TASKS", 4), ("ROWS", common), ("SELDOM", seldom), ("AHEAD", ahead)):
+        monkeypatch.setattr(planes, name, value)
+    rng = random.Random(common + ahead)
+    most = rng.sample(range(300), 60)
+    docs = [(f"{'ab'[i % 2]}/{i:03d}", sorted({f"n{x}" if x % 5 else f"é{x}" for x in rng.sample(most if i % 3 else range(300), rng.randrange(12, 55))}), i % 4 == 0) for i in range(90)]
+    docs += [(p + "x", names, known) for p, names, known in docs[:9]]
+    both = [(x, y, sorted(set(x[1]) & set(y[1]))) for x in docs for y in docs if x[0].split("/") < y[0].split("/") and not (x[2] and y[2])]
+    want = sorted((x[0], y[0], len(s), len(x[1]), len(y[1]), " ".join(s[:25])) for x, y, s in both if len(s) / min(len(x[1]), len(y[1])) >= 0.55)
+    own = spark.createDataFrame([(p, p.split("/"), names, known) for p, names, known in docs], "path string, path_parts array<string>, names array<string>, known boolean").repartition(3)
+    columns = ("a", "b", "shared", "a_vocabulary", "b_vocabulary", "sample_shared")
+    assert want == sorted(map(tuple, vocab.overlapping(own, None, 0.55, 12, joined=" ").select(*columns).collect()))
+    assert want == sorted((*r[:5], " ".join(r[5])) for r in vocab.overlapping(own, None, 0.55, 12).select(*columns).collect())
+
+
+def test_vocab_samples_store_packs_alone(spark, tmp_path, monkeypatch):
+    from duplet.plans import queries
+
+    words = [f"w{i}" for i in range(60)]
+    spark.createDataFrame([(i, " ".join(words[i : i + 50]), "en", "s") for i in range(6)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = []
+    for module in (vocab, planes):
+        monkeypatch.setattr(module, "stored", lambda df, name, *x, real=module.stored, **k: names.append(name) or real(df, name, *x, **k))
+    found = queries.vocab_samples(spark, str(tmp_path))
+    assert names == ["packs"] and found.count() == 15
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -24,10 +24,12 @@ from duplet.operators.storage import BATCH_ROWS, map_arrow, stored
 PACK, HELD, MEETING = 1 << 20, 1 << 24, 1 << 25
 #: Names that have a row of bits, at most, and one in so many sets that must have such a name.
 ROWS, SELDOM = 1 << 14, 400
-#: Words of 64 bits of a slab's row; rows of a slab that are added up at once.
-WORDS, ADDED = 64, 2400
-#: Rare names that a pair may share without being looked at by itself.
-RARE = 4
+#: Words of 64 bits of a slab's row; names, and sets, whose rows are added up at once.
+WORDS, ADDED, SETS = 32, 9600, 128
+#: Rare names that a pair may share without being looked at by itself; one in so many needed names must be met beside the common ones.
+RARE, SPARE = 4, 4
+#: Pairs of a set that are looked up at once.
+AT_ONCE = 1024
 #: Names, in order, among which the first shared ones are sought before all of a set's are.
 AHEAD = 64
 #: Tasks of a job.
@@ -148,10 +150,11 @@ class _Held:
 
     def __init__(self, rows: list[dict]):
         """rows: of packs()."""
-        words = [_one(r["words"]).column(0) for r in rows]
+        words = [_one(r.pop("words")).column(0) for r in rows]
         coded = pa.concat_arrays(words).dictionary_encode()
         self.words, code_of = coded.dictionary, np.split(coded.indices.to_numpy(), np.cumsum([len(w) for w in words])[:-1])
-        parts = [_Sets(r["heads"], r["steps"], c) for r, c in zip(rows, code_of, strict=True)]
+        del coded, words
+        parts = [_Sets(r.pop("heads"), r.pop("steps"), c) for r, c in zip(rows, code_of, strict=True)]
         size, key = np.concatenate([p.size for p in parts]), [k for p in parts for k in p.key]
         order = np.array(sorted(range(len(size)), key=lambda i: (size[i], key[i])), np.int64)
         self.count, self.size, self.places = len(order), size[order], [(int(size[i]), key[i]) for i in order]
@@ -160,7 +163,7 @@ class _Held:
         self.keys = sorted(key)
         rank = {k: i for i, k in enumerate(self.keys)}
         self.rank = np.array([rank[key[i]] for i in order], np.int64)
-        flat = np.concatenate([p.codes for p in parts]).astype(np.int32)
+        flat = np.concatenate([p.codes for p in parts])
         first = np.append(0, np.cumsum(np.concatenate([np.diff(p.bounds) for p in parts])))
         del parts
         often = np.bincount(flat, minlength=len(self.words))
@@ -170,7 +173,7 @@ class _Held:
         self.row[common] = np.arange(len(common), dtype=np.int32)
         self.rows = len(common)  # one more is empty
         self.slabs = np.zeros((math.ceil(self.count / (64 * WORDS)), self.rows + 1, WORDS), np.uint64)
-        rare_code, rare_of, step = [], [], 1024
+        rare_code, rare_of, step = [], [], 32 * WORDS  # half a slab
         for at in range(0, self.count, step):
             some = order[at : at + step]
             n = first[some + 1] - first[some]
@@ -184,35 +187,48 @@ class _Held:
             slab, word = divmod(at // 64, WORDS)
             self.slabs[slab, :, word : word + step // 64] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
         del flat
-        code, of = np.concatenate(rare_code), np.concatenate(rare_of)
-        self.of = of[np.argsort(code, kind="stable")]
-        self.seldom = np.bincount(code, minlength=len(self.words))
+        self.seldom = sum(np.bincount(c, minlength=len(self.words)) for c in rare_code)
+        by_code = np.concatenate([c * np.int64(self.count) + of for c, of in zip(rare_code, rare_of, strict=True)])
+        del rare_code, rare_of
+        by_code.sort()
+        by_code %= max(1, self.count)
+        self.of = by_code.astype(np.int32)
         self.first = np.cumsum(self.seldom) - self.seldom
         self.bits = self.slabs.reshape(-1)
+        pa.default_memory_pool().release_unused()
 
-    def rare(self, codes: np.ndarray, rows: np.ndarray, after: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sets from `after` on that have each code without a row, and which code that is, by its place."""
-        at = np.flatnonzero(rows < 0)
-        n = self.seldom[codes[at]]
-        of, at = self.of[_spans(self.first[codes[at]], n)], np.repeat(at, n)
-        late = of >= after
-        return of[late], at[late]
+    def has(self, rows: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """Whether each of some sets has the name of each row, set by row, as 0 and 1. A row of -1 is empty."""
+        base = sets // (64 * WORDS) * ((self.rows + 1) * WORDS) + sets % (64 * WORDS) // 64
+        line = np.where(rows < 0, self.rows, rows).astype(np.int64) * WORDS
+        return self.bits[base[:, None] + line] >> (sets % 64).astype(np.uint64)[:, None] & np.uint64(1)
 
     def meeting(self, sets: list[tuple[np.ndarray, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
-        """For each (codes, need, after) of some sets: its number, the held sets from `after` on that share `need` names with it, how many, its names' rows and rare()."""
+        """For each (codes, need, after) of some sets: its number, the held sets from `after` on that share `need` names with it, how many, its names' rows, and which held sets have which names without a row.
+
+        Whoever shares `need` names with a set shares need - e without its e most common ones: those are looked up only for who does.
+        """
         rows = [self.row[codes] for codes, _, _ in sets]
-        idx = np.full((max((int((r >= 0).sum()) for r in rows), default=0), len(sets)), self.rows)
-        low, after = np.array([need for _, need, _ in sets]), np.array([a for _, _, a in sets])
-        rare, alone = [], []
-        for k, (codes, need, begin) in enumerate(sets):
-            held = rows[k][rows[k] >= 0]
-            idx[: len(held), k] = held
-            rare.append(self.rare(codes, rows[k], begin))
-            of, n = np.unique(rare[k][0], return_counts=True)
-            alone.append((of, n))
-            low[k] = max(0, need - min(RARE, n.max(initial=0)))
-        special = [(np.full(int((n > RARE).sum()), k), of[n > RARE]) for k, (of, n) in enumerate(alone)]
-        s_set, s_of = (np.concatenate(x).astype(np.int64) for x in zip(*special, strict=True))
+        need, after = np.array([n for _, n, _ in sets]), np.array([a for _, _, a in sets])
+        held = [np.sort(r[r >= 0]) for r in rows]
+        skipped = np.minimum(need - np.minimum(need, RARE + 1 + need // SPARE), [len(h) for h in held])
+        asked = need - skipped
+        idx = np.full((max((len(h) - e for h, e in zip(held, skipped.tolist(), strict=True)), default=0), len(sets)), self.rows)
+        for k, (h, e) in enumerate(zip(held, skipped.tolist(), strict=True)):
+            idx[: len(h) - e, k] = h[e:]
+        # names without a row, of all the sets at once
+        at = [np.flatnonzero(r < 0) for r in rows]
+        codes = np.concatenate([c[x] for (c, _, _), x in zip(sets, at, strict=True)])
+        n = self.seldom[codes]
+        of = self.of[_spans(self.first[codes], n)]
+        by, place = np.repeat(np.repeat(np.arange(len(sets)), [len(x) for x in at]), n), np.repeat(np.concatenate(at), n)
+        late = of >= after[by]
+        of, by, place = of[late], by[late], place[late]
+        key, n = np.unique(by * self.count + of, return_counts=True)
+        most = np.zeros(len(sets), np.int64)
+        np.maximum.at(most, key // self.count, n)
+        low = np.maximum(0, asked - np.minimum(RARE, most))
+        special, s_of = key[n > RARE] // self.count, key[n > RARE] % self.count
         found = []
         for slab in range(int(after.min()) // (64 * WORDS), len(self.slabs)):
             took = np.take(self.slabs[slab], idx, axis=0, mode="clip").reshape(len(idx), len(sets) * WORDS)
@@ -220,36 +236,39 @@ class _Held:
             reached = _reached(planes, low)
             here = s_of // (64 * WORDS) == slab
             bit = s_of[here] % (64 * WORDS)
-            np.bitwise_or.at(reached, (s_set[here], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-            if not reached.any():
-                continue
+            np.bitwise_or.at(reached, (special[here], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
             k, word = np.nonzero(reached)
-            at, bit = np.nonzero(np.unpackbits(reached[k, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            k, word = k[at], word[at]
-            of = (slab * WORDS + word) * 64 + bit
-            late = (of >= after[k]) & (of < self.count)
-            k, word, bit, of = k[late], word[late], bit[late].astype(np.uint64), of[late]
-            found.append((k, of, sum((p[k, word] >> bit & np.uint64(1)).astype(np.int64) << j for j, p in enumerate(planes))))
+            if not len(k):
+                continue
+            each, bit = np.nonzero(np.unpackbits(reached[k, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            k, word = k[each], word[each]
+            whose = (slab * WORDS + word) * 64 + bit
+            late = (whose >= after[k]) & (whose < self.count)
+            k, word, bit, whose = k[late], word[late], bit[late].astype(np.uint64), whose[late]
+            found.append((k * self.count + whose, sum((p[k, word] >> bit & np.uint64(1)).astype(np.int64) << j for j, p in enumerate(planes))))
         if not found:
             return
-        k, of, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(k, kind="stable")
-        k, of, n = k[order], of[order], n[order]
-        ends = np.searchsorted(k, np.arange(len(sets) + 1))
-        for i, (_, need, _) in enumerate(sets):
-            mine, count = of[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
-            if len(mine) and len(alone[i][0]):
-                at = np.minimum(np.searchsorted(alone[i][0], mine), len(alone[i][0]) - 1)
-                count = count + np.where(alone[i][0][at] == mine, alone[i][1][at], 0)
-            enough = count >= need
-            if enough.any():
-                yield i, mine[enough], count[enough], rows[i], rare[i]
+        both, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(key):
+            x = np.minimum(np.searchsorted(key, both), len(key) - 1)
+            count += np.where(key[x] == both, n[x], 0)
+        enough = count >= asked[both // self.count]
+        both, count = both[enough], count[enough]
+        order = np.argsort(both)
+        both, count = both[order], count[order]
+        ends, rare = np.searchsorted(both, np.arange(len(sets) + 1) * self.count), np.searchsorted(by, np.arange(len(sets) + 1))
+        for k in range(len(sets)):
+            for i in range(int(ends[k]), int(ends[k + 1]), AT_ONCE):
+                part = slice(i, min(i + AT_ONCE, int(ends[k + 1])))
+                mine, shared = both[part] - k * self.count, count[part]
+                if skipped[k]:
+                    shared = shared + self.has(held[k][: skipped[k]], mine).sum(axis=1, dtype=np.int64)
+                    mine, shared = mine[shared >= need[k]], shared[shared >= need[k]]
+                if len(mine):
+                    yield k, mine, shared, rows[k], (of[rare[k] : rare[k + 1]], place[rare[k] : rare[k + 1]])
 
     def first_shared(self, rows: np.ndarray, rare: tuple[np.ndarray, np.ndarray], found: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places of the first `most` names, by their rows, that found sets have, list by list, the length of each list, and the list of each found set."""
-        base = found // (64 * WORDS) * ((self.rows + 1) * WORDS) + found % (64 * WORDS) // 64
-        shift = (found % 64).astype(np.uint64)
-        line = np.where(rows < 0, self.rows, rows).astype(np.int64) * WORDS
         at = np.minimum(np.searchsorted(found, rare[0]), len(found) - 1)
         hit = found[at] == rare[0]
         place, at = rare[1][hit], at[hit]
@@ -257,7 +276,7 @@ class _Held:
         todo = np.arange(len(found))
         for upto in (AHEAD, len(rows)) if len(rows) > AHEAD else (len(rows),):
             has = np.zeros((len(todo), max(upto, AHEAD)), np.uint8)
-            has[:, :upto] = self.bits[base[todo][:, None] + line[:upto]] >> shift[todo][:, None] & np.uint64(1)
+            has[:, :upto] = self.has(rows[:upto], found[todo])
             back = np.full(len(found), -1)
             back[todo] = np.arange(len(todo))
             in_it = (place < upto) & (back[at] >= 0)
@@ -282,9 +301,10 @@ class _Held:
 def _cell(held: list[dict], others: list[dict], least: float, most: int, joined: str | None) -> Iterator[pa.RecordBatch]:
     """(a, b, shared, n1, n2, common) of the sets of `others` with the held ones after them by size and file."""
     y = _Held(held)
-    words = [_one(r["words"]).column(0) for r in others]
-    code_of = pc.index_in(pa.concat_arrays(words), value_set=y.words).fill_null(-1).to_numpy()
-    code_of = np.split(code_of, np.cumsum([len(w) for w in words])[:-1])
+    held.clear()
+    words = [_one(r.pop("words")).column(0) for r in others]
+    found = pc.index_in(pa.concat_arrays(words), value_set=y.words).fill_null(-1).to_numpy()
+    code_of = np.split(found, np.cumsum([len(w) for w in words])[:-1])
     del words
 
     def as_batch(out: list[tuple], x: _Sets) -> pa.RecordBatch:
@@ -299,8 +319,10 @@ def _cell(held: list[dict], others: list[dict], least: float, most: int, joined:
         common = (lists if joined is None else pc.binary_join(lists, joined)).take(pa.array(each))
         return pa.RecordBatch.from_arrays([a, b, *(pa.array(c.astype(np.int64)) for c in (shared, n1, n2)), common], ["a", "b", "shared", "n1", "n2", "common"])
 
-    for r, codes in zip(others, code_of, strict=True):
-        x = _Sets(r["heads"], r["steps"], codes)
+    others, code_of = others[::-1], code_of[::-1]
+    while others:
+        r = others.pop()
+        x = _Sets(r["heads"], r["steps"], code_of.pop())
         need = np.maximum(1, np.ceil(least * x.size - 1e-9).astype(np.int64))
         after = [bisect_right(y.places, (int(n), k)) for n, k in zip(x.size, x.key, strict=True)]
         has = np.diff(x.bounds)
@@ -308,7 +330,7 @@ def _cell(held: list[dict], others: list[dict], least: float, most: int, joined:
         out: list[tuple] = []
         held_rows = at = 0
         while at < len(asked):
-            some = asked[at : at + max(1, min(32, ADDED // int(has[asked[at]] + 1)))]
+            some = asked[at : at + max(1, min(SETS, ADDED // int(has[asked[at]] + 1)))]
             at += len(some)
             names = [x.codes[x.bounds[i] : x.bounds[i + 1]] for i in some]
             for k, found, shared, rows, rare in y.meeting([(c, int(need[i]), after[i]) for c, i in zip(names, some, strict=True)]):
@@ -353,8 +375,10 @@ def meeting(docs: DataFrame, least: float, most: int, joined: str | None = None,
         return [g for _, g in groups if g]
 
     def run(batches):
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        sides = [[r for r in rows if r["held"] == side] for side in (True, False)]
+        sides: tuple[list[dict], list[dict]] = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                sides[not r.pop("held")].append(r)
         if all(sides):
             yield from _cell(*sides, least, most, joined)
 

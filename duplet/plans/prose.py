@@ -9,8 +9,11 @@ and "head" has all documents and, as a second source, the benchmark's texts.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,12 +93,35 @@ def identifiers(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> Dat
     return files(spark, sf_dir, snapshot).select("path", "path_parts", "language", F.explode("tokens").alias("name"))
 
 
+#: What each character below 256 is in lower case, if it is a letter or a digit; else a space.
+_LATIN = "".join(chr(i).lower() if unicodedata.category(chr(i))[0] in "LN" else " " for i in range(256)).encode("latin-1")
+
+
+def latin_names(text: str) -> str:
+    """The distinct prose_tokens() of a text without characters from 256 on, in order, with spaces between."""
+    found = dict.fromkeys(text.encode("latin-1").translate(_LATIN).split())
+    return b" ".join(dict.fromkeys(b"NUM" if x.isdigit() else x for x in found)).decode("latin-1")
+
+
 def vocabularies(spark: SparkSession, sf_dir: str, snapshot: str = "base") -> DataFrame:
     """(path, path_parts, names): the distinct words of each file."""
-    own = spread(_texts(spark, sf_dir, snapshot)).where("path is not null").select("path", F.split("path", "/").alias("path_parts"), F.array_distinct(prose_tokens(F.col("text"))).alias("names"))
-    if own.groupBy("path").count().where("count > 1").isEmpty():
-        return own
-    return own.groupBy("path", "path_parts").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    texts = spread(_texts(spark, sf_dir, snapshot)).where("path is not null").select("path", "text")
+    if not texts.groupBy("path").count().where("count > 1").isEmpty():
+        own = texts.select("path", F.split("path", "/").alias("path_parts"), F.array_distinct(prose_tokens(F.col("text"))).alias("names"))
+        return own.groupBy("path", "path_parts").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    other = F.col("text").rlike(r"[^\x00-\xFF]")
+    either = texts.select("path", F.when(~other, F.col("text")).alias("text"), F.when(other, F.array_join(F.array_distinct(prose_tokens(F.col("text"))), " ")).alias("names"))
+
+    def run(batches):
+        for batch in batches:
+            names = [latin_names(x) if y is None else y for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            lists = pc.split_pattern(pa.array(names, pa.string()), " ")
+            none = pc.equal(pa.array(names, pa.string()), "")
+            if pc.any(none).as_py():
+                lists = pc.if_else(none, pa.scalar([], lists.type), lists)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["path", "names"])
+
+    return map_arrow(either, run, "path string, names array<string>").select("path", F.split("path", "/").alias("path_parts"), "names")
 
 
 def vocabularies_since(spark: SparkSession, sf_dir: str) -> DataFrame | None:

@@ -375,3 +375,14 @@ def test_vocab_samples_store_packs_alone(spark, tmp_path, monkeypatch):
     found = queries.vocab_samples(spark, str(tmp_path))
     assert names == ["packs"] and found.count() == 15
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_latin_texts_are_those_of_the_tokens(spark, tmp_path):
+    from duplet.functions.text import prose_tokens
+    from duplet.plans import prose
+
+    every = " ".join(f"{chr(i)}x{chr(i)} Q{chr(i)}" for i in range(256))
+    texts = [every, every.replace("x", ""), "", None, "12 012 a1 1a NUM num ÀÉ àé ß ẞ", "Ωmega ωmega 12 ÿ Ÿ", "٣٤ 34 ² 2² ½", "..", "a\tb\nB\x0bc\x85d\xa0e"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {r.path: r.names for r in prose.documents(spark, str(tmp_path)).select("path", F.array_distinct(prose_tokens(F.col("text"))).alias("names")).collect()}
+    assert want == {r.path: r.names for r in prose.vocabularies(spark, str(tmp_path)).collect()}

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from duplet.operators.storage import BATCH_ROWS, map_arrow, stored
 
-#: Names of a pack, of the packs that a task holds as bits, and of those that meet them, all with repeats, at most about.
-PACK, HELD, MEETING = 1 << 20, 1 << 24, 1 << 25
+#: Names, with repeats, of a pack and of the packs that a task holds as bits, at most about; packs that meet those together.
+PACK, HELD, TOGETHER = 1 << 20, 6 << 20, 4
 #: Names that have a row of bits, at most, and one in so many sets that must have such a name.
 ROWS, SELDOM = 1 << 14, 400
 #: Words of 64 bits of a slab's row; names, and sets, whose rows are added up at once.
@@ -298,10 +298,8 @@ class _Held:
         return np.concatenate(places), np.concatenate(lengths), of
 
 
-def _cell(held: list[dict], others: list[dict], least: float, most: int, joined: str | None) -> Iterator[pa.RecordBatch]:
+def _cell(y: _Held, others: list[dict], least: float, most: int, joined: str | None) -> Iterator[pa.RecordBatch]:
     """(a, b, shared, n1, n2, common) of the sets of `others` with the held ones after them by size and file."""
-    y = _Held(held)
-    held.clear()
     words = [_one(r.pop("words")).column(0) for r in others]
     found = pc.index_in(pa.concat_arrays(words), value_set=y.words).fill_null(-1).to_numpy()
     code_of = np.split(found, np.cumsum([len(w) for w in words])[:-1])
@@ -364,7 +362,7 @@ def meeting(docs: DataFrame, least: float, most: int, joined: str | None = None,
         return spark.createDataFrame([], fields)
     total, cores = sum(n for _, n in sizes), spark.sparkContext.defaultParallelism
     apart = max(1, min(cores, len(sizes)), math.ceil(total / HELD))
-    parts = min(len(sizes), max(math.ceil(3 * cores / apart), math.ceil(total / MEETING)))
+    parts = min(len(sizes), math.ceil(3 * cores / apart))
 
     def dealt(n: int) -> list[list[str]]:
         """The packs' files in n groups of about as many names."""
@@ -375,17 +373,23 @@ def meeting(docs: DataFrame, least: float, most: int, joined: str | None = None,
         return [g for _, g in groups if g]
 
     def run(batches):
-        sides: tuple[list[dict], list[dict]] = [], []
+        y, held, others = None, [], []
         for batch in batches:
             for r in batch.to_pylist():
-                sides[not r.pop("held")].append(r)
-        if all(sides):
-            yield from _cell(*sides, least, most, joined)
-
-    read = lambda files, side: spark.read.schema(table.schema).parquet(*files).select("heads", "words", "steps", F.lit(side).alias("held"))
+                first = r.pop("first")
+                (held if first else others).append(r)
+                if first and first == len(held):
+                    y, held = _Held(held), []
+                if y is not None and len(others) >= TOGETHER:
+                    yield from _cell(y, others, least, most, joined)
+                    others = []
+        if others:
+            yield from _cell(y, others, least, most, joined)
+
+    read = lambda files, first: spark.read.schema(table.schema).parquet(*files).select("heads", "words", "steps", F.lit(first).alias("first"))
     tasks = [(h, m) for h in dealt(apart) for m in dealt(parts)]
     # a task reads its packs by itself, without a shuffle; a union of single partitions alone would be a single partition
-    nothing = spark.range(0, 0, 1, 2).select(*(F.lit(b"").alias(c) for c in ("heads", "words", "steps")), F.lit(False).alias("held"))
-    jobs = [reduce(DataFrame.union, [read(h, True).union(read(m, False)).coalesce(1) for h, m in tasks[i : i + TASKS]], nothing) for i in range(0, len(tasks), TASKS)]
+    nothing = spark.range(0, 0, 1, 2).select(*(F.lit(b"").alias(c) for c in ("heads", "words", "steps")), F.lit(0).alias("first"))
+    jobs = [reduce(DataFrame.union, [read(h, len(h)).union(read(m, 0)).coalesce(1) for h, m in tasks[i : i + TASKS]], nothing) for i in range(0, len(tasks), TASKS)]
     found = [map_arrow(j, run, fields) for j in jobs]
     return found[0] if once and len(found) == 1 else reduce(DataFrame.union, [stored(f, "met") for f in found])
